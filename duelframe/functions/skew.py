@@ -26,10 +26,11 @@ def hot_key_hashes(df: DataFrame, on: Sequence[str], *, share: float | None = No
     of the join, never its rows.
     """
     share = share or 1.0 / (4 * shuffle_width(df.sparkSession))
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.approx_top_k(_key_hash(on), F.lit(_MAX_HOT_KEYS), F.lit(10_000)).alias("top"),
-    ).first()
+    row = (
+        df.select(_key_hash(on).alias(_KEY))
+        .agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k({_KEY}, {_MAX_HOT_KEYS}, 10000)").alias("top"))
+        .first()
+    )
     floor = max(1.0, row["n"] * share)
     return [item["item"] for item in (row["top"] or []) if item["count"] > floor and item["count"] > 1]
 

@@ -98,17 +98,25 @@ def parse_bool(value: Column | str) -> Column:
     return F.when(word.isin(*fv.TRUE_WORDS), F.lit(True)).when(word.isin(*fv.FALSE_WORDS), F.lit(False))
 
 
-def literal_map(pairs: dict) -> Column:
-    """Small fixed lookup table as a map literal."""
-    items: list[Column] = []
-    for key, value in pairs.items():
-        items += [F.lit(key), F.lit(value)]
-    return F.create_map(*items)
+def sql_text(value: str) -> str:
+    """Text as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def lookup(pairs: dict, key: Column) -> Column:
-    """Value of a fixed lookup table, null when the key is null or absent."""
-    return F.try_element_at(literal_map(pairs), F.coalesce(key, F.lit("\u0000")))
+def sql_array(values) -> str:
+    """Texts or numbers as a SQL array literal."""
+    parts = [sql_text(v) if isinstance(v, str) else f"{float(v)!r}D" for v in values]
+    return f"array({', '.join(parts)})"
+
+
+def sql_map(pairs: dict[str, str]) -> str:
+    """Small fixed text-to-text table as a SQL map; the optimizer folds it to a constant."""
+    return "map(" + ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in pairs.items()) + ")"
+
+
+def lookup(pairs: dict[str, str], key: Column) -> Column:
+    """Value of a fixed text table, null when the key is null or absent."""
+    return F.try_element_at(F.expr(sql_map(pairs)), F.coalesce(key, F.lit("\u0000")))
 
 
 def display_label(value: Column | str, kind: str, *, fallback: str = fv.LABEL_FALLBACK) -> Column:

@@ -1,7 +1,8 @@
 """Context class of a matchup: resolution, inference and state guard.
 
-The class table has 13 rows and 35 aliases, so both are map literals in the plan
-and no join is needed.
+The class table has 13 rows and 35 aliases, so both are constant maps in the plan
+and no join is needed. Steps build on named columns, so a cleaned label is computed
+once however many rules read it.
 """
 
 from __future__ import annotations
@@ -12,51 +13,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelframe import fixed_values as fv
-from duelframe.functions.text import blank_to_null, class_label, lookup, strip
-from duelframe.functions.values import is_finite
+from duelframe.functions.text import blank_to_null, class_label, lookup, sql_text, strip
 
-_POUNDS = {code: pounds for code, pounds, _, _ in fv.CONTEXT_CLASSES if pounds is not None}
-_WOMENS = {code: womens for code, _, womens, _ in fv.CONTEXT_CLASSES}
-_CATCH = {code: catch for code, _, _, catch in fv.CONTEXT_CLASSES}
 _CODES = [code for code, _, _, _ in fv.CONTEXT_CLASSES]
 
 
+def _class_table() -> str:
+    """Code -> (pounds, womens, catch) as a SQL map."""
+    rows = []
+    for code, pounds, womens, catch in fv.CONTEXT_CLASSES:
+        weight = "CAST(NULL AS DOUBLE)" if pounds is None else f"{pounds}D"
+        rows.append(f"{sql_text(code)}, named_struct('pounds', {weight}, 'womens', {womens}, 'catch', {catch})")
+    return f"map({', '.join(rows)})"
+
+
 def class_code(label: Column) -> Column:
     """Code of a code or label, null when unknown."""
     direct = F.upper(strip(label))
     return F.when(direct.isin(*_CODES), direct).otherwise(lookup(fv.CONTEXT_ALIASES, class_label(label)))
 
 
-def resolve_class(label: Column, pounds: Column, womens: Column, catch: Column) -> Column:
-    """Struct of code, pounds, womens, catch, supported and error.
+def with_class(
+    df: DataFrame,
+    *,
+    label: str = "division",
+    pounds: str = "division_lbs",
+    womens: str = "is_womens",
+    catch: str = "is_catch_weight",
+    prefix: str = "class_",
+) -> DataFrame:
+    """Adds class_code, class_pounds, class_womens, class_catch, class_supported and class_error.
 
     An unknown label, or none at all, is accepted as unsupported when weight and
     gender are both given; otherwise conflicting context becomes an error code.
     """
-    present = label.isNotNull() & (label != "")
-    code = F.when(present, class_code(label))
-    weight = pounds.cast("double")
-    custom = code.isNull() & weight.isNotNull() & womens.isNotNull()
-    base_pounds, base_womens, base_catch = lookup(_POUNDS, code), lookup(_WOMENS, code), lookup(_CATCH, code)
-    final_pounds = F.coalesce(weight, base_pounds)
-    error = (
-        F.when(code.isNull() & ~custom & present, F.lit("class_unsupported"))
-        .when(code.isNull() & ~custom, F.lit("class_required"))
-        .when(weight.isNotNull() & ~is_finite(weight), F.lit("class_weight_invalid"))
-        .when(custom, F.lit(None))
-        .when(final_pounds.isNull(), F.lit("class_weight_required"))
-        .when(F.abs(weight - base_pounds) > 1e-9, F.lit("class_weight_conflict"))
-        .when(womens != base_womens, F.lit("class_womens_conflict"))
-        .when(catch != base_catch, F.lit("class_catch_conflict"))
-    )
-    return F.struct(
-        F.when(code.isNotNull(), code).when(present, strip(label)).otherwise(F.lit(fv.UNSPECIFIED_CLASS)).alias("code"),
-        final_pounds.alias("pounds"),
-        F.when(code.isNotNull(), base_womens).otherwise(womens).alias("womens"),
-        F.when(code.isNotNull(), base_catch).otherwise(F.coalesce(catch, F.lit(False))).alias("catch"),
-        code.isNotNull().alias("supported"),
-        error.alias("error"),
-    )
+    given = F.col(label)
+    staged = df.withColumn("__code", F.when(given.isNotNull() & (given != ""), class_code(given)))
+    staged = staged.withColumn("__base", F.expr(f"try_element_at({_class_table()}, coalesce(__code, ''))"))
+    lbs = f"CAST(`{pounds}` AS DOUBLE)"
+    present = f"`{label}` IS NOT NULL AND `{label}` <> ''"
+    custom = f"(__code IS NULL AND {lbs} IS NOT NULL AND `{womens}` IS NOT NULL)"
+    fields = {
+        "code": f"CASE WHEN __code IS NOT NULL THEN __code WHEN {present} THEN __stripped ELSE {sql_text(fv.UNSPECIFIED_CLASS)} END",
+        "pounds": f"coalesce({lbs}, __base.pounds)",
+        "womens": f"CASE WHEN __code IS NOT NULL THEN __base.womens ELSE `{womens}` END",
+        "catch": f"CASE WHEN __code IS NOT NULL THEN __base.catch ELSE coalesce(`{catch}`, false) END",
+        "supported": "__code IS NOT NULL",
+        "error": f"""CASE WHEN __code IS NULL AND NOT {custom} AND {present} THEN 'class_unsupported'
+            WHEN __code IS NULL AND NOT {custom} THEN 'class_required'
+            WHEN {lbs} IS NOT NULL AND NOT coalesce(abs({lbs}) < double('Infinity'), false) THEN 'class_weight_invalid'
+            WHEN {custom} THEN NULL
+            WHEN coalesce({lbs}, __base.pounds) IS NULL THEN 'class_weight_required'
+            WHEN abs({lbs} - __base.pounds) > 1e-9D THEN 'class_weight_conflict'
+            WHEN `{womens}` <> __base.womens THEN 'class_womens_conflict'
+            WHEN `{catch}` <> __base.catch THEN 'class_catch_conflict' END""",
+    }
+    staged = staged.withColumn("__stripped", strip(label))
+    return staged.withColumns({prefix + name: F.expr(text) for name, text in fields.items()}).drop("__code", "__base", "__stripped")
 
 
 def snapshot_class(label: Column) -> Column:
@@ -75,9 +88,11 @@ def uses_class_state(features: Sequence[str]) -> bool:
     return any(token in name for name in features for token in fv.CLASS_STATE_TOKENS)
 
 
-def class_state_error(history: Column, last_class: Column, code: Column) -> Column:
-    """Error when an entity with history has no state in the requested class."""
-    stored = snapshot_class(last_class)
+def class_state_error(history: Column, stored: Column, code: Column) -> Column:
+    """Error when an entity with history has no state in the requested class.
+
+    `stored` is the class code kept in the snapshot (see `snapshot_class`).
+    """
     return (
         F.when(history < 0, F.lit("negative_history"))
         .when(history == 0, F.lit(None))
@@ -96,5 +111,5 @@ def supported_classes(train: DataFrame, column: str = "division") -> DataFrame:
 def known_stance(missing_flag: Column, stance: Column) -> Column:
     """Stance text in lower case, null when flagged missing or not a stance."""
     word = F.lower(blank_to_null(stance))
-    flagged = F.coalesce(F.when(is_finite(missing_flag), missing_flag), F.lit(1.0)) >= 0.5
-    return F.when(~flagged & ~word.isin(*fv.UNKNOWN_STANCES), word)
+    flag = F.when(F.abs(missing_flag) < float("inf"), missing_flag)
+    return F.when((F.coalesce(flag, F.lit(1.0)) < 0.5) & ~word.isin(*fv.UNKNOWN_STANCES), word)

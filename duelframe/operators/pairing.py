@@ -1,101 +1,137 @@
-"""Pairwise feature rows as generated column expressions."""
+"""Pairwise feature rows, generated as SQL expressions over two snapshot structs."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelframe import fixed_values as fv
-from duelframe.functions.values import count_value, finite_or_null, is_finite, number_or
-from duelframe.operators.context_class import known_stance
+from duelframe.functions.text import blank_to_null, sql_array, sql_text
 
-Side = Callable[[str], Column]
+_INF = "double('Infinity')"
 
 
-def side(struct: str, available: Sequence[str]) -> Side:
-    """Reader of one side's fields; a field the table lacks reads as null."""
-    fields = set(available)
+def _finite(value: str, default: float | None = None) -> str:
+    """Finite value or null, or the default; NaN sorts above infinity, so one test does."""
+    kept = f"CASE WHEN abs({value}) < {_INF} THEN {value} END"
+    return f"({kept})" if default is None else f"coalesce({kept}, {default}D)"
 
-    def read(name: str) -> Column:
-        return F.col(f"{struct}.`{name}`") if name in fields else F.lit(None).cast("double")
 
-    return read
+class Side:
+    """Reader of one side's numeric fields; a field the table lacks reads as null."""
 
+    def __init__(self, struct: str, available: Sequence[str]) -> None:
+        self.struct, self.fields = struct, set(available)
 
-def _flag(condition: Column) -> Column:
-    return F.when(condition, F.lit(1.0)).otherwise(F.lit(0.0))
+    def raw(self, name: str) -> str:
+        return f"CAST({self.struct}.`{name}` AS DOUBLE)" if name in self.fields else "CAST(NULL AS DOUBLE)"
 
+    def number(self, name: str, default: float | None = None) -> str:
+        return _finite(self.raw(name), default)
 
-def shared_features(a: Side, b: Side, *, pounds: Column, womens: Column, catch: Column, stance: str = "stance") -> dict[str, Column]:
+    def history(self) -> str:
+        return f"bround({self.number('feature_prior_fights', 0.0)}, 0)"
+
+    def text(self, name: str) -> Column:
+        return F.col(f"{self.struct}.`{name}`").cast("string") if name in self.fields else F.lit(None).cast("string")
+
+
+def shared_sql(a: Side, b: Side, *, pounds: str, womens: str, catch: str, same_stance: str) -> dict[str, str]:
     """The 14 features that do not depend on who comes first."""
-    prior_a, prior_b = count_value(a("feature_prior_fights")), count_value(b("feature_prior_fights"))
-    minutes = number_or(a("feature_career_minutes"), 0.0) + number_or(b("feature_career_minutes"), 0.0)
-    stance_a = known_stance(a("feature_stance_missing"), a(stance).cast("string"))
-    stance_b = known_stance(b("feature_stance_missing"), b(stance).cast("string"))
-    either = lambda name: F.greatest(number_or(a(name), 1.0), number_or(b(name), 1.0))
-    rating = lambda read: finite_or_null(read("feature_elo_global").cast("double"))
+    pa, pb = a.history(), b.history()
+    flag = lambda condition: f"CASE WHEN {condition} THEN 1D ELSE 0D END"
+    either = lambda name: f"greatest({a.number(name, 1.0)}, {b.number(name, 1.0)})"
+    minutes, fights, rating = "feature_career_minutes", "feature_division_elo_fights", "feature_elo_global"
     values = (
-        pounds.cast("double"),
-        _flag(womens),
-        _flag(catch),
-        F.least(prior_a, prior_b),
-        prior_a + prior_b,
-        F.log1p(minutes),
-        _flag((prior_a == 0) & (prior_b == 0)),
-        _flag((prior_a == 0) != (prior_b == 0)),
-        _flag(F.coalesce(stance_a == stance_b, F.lit(False))),
+        f"CAST({pounds} AS DOUBLE)",
+        flag(womens),
+        flag(catch),
+        f"least({pa}, {pb})",
+        f"({pa} + {pb})",
+        f"log1p({a.number(minutes, 0.0)} + {b.number(minutes, 0.0)})",
+        flag(f"{pa} = 0 AND {pb} = 0"),
+        flag(f"({pa} = 0) <> ({pb} = 0)"),
+        flag(same_stance),
         either("feature_age_missing"),
         either("feature_height_missing"),
         either("feature_reach_missing"),
-        F.least(number_or(a("feature_division_elo_fights"), 0.0), number_or(b("feature_division_elo_fights"), 0.0)),
-        (rating(a) + rating(b)) / 2.0,
+        f"least({a.number(fights, 0.0)}, {b.number(fights, 0.0)})",
+        f"(({a.number(rating)} + {b.number(rating)}) / 2D)",
     )
     return dict(zip(fv.SHARED_FEATURES, values))
 
 
-def difference(a: Side, b: Side, name: str) -> Column:
+def difference_sql(a: Side, b: Side, name: str) -> str:
     """First minus second of one stored feature; null when either is unusable."""
     stored = "feature_" + name[len(fv.DIFFERENCE_PREFIX):]
-    return finite_or_null(a(stored).cast("double")) - finite_or_null(b(stored).cast("double"))
-
-
-def feature_row(names: Sequence[str], a: Side, b: Side, shared: dict[str, Column], extra: Column | None = None) -> dict[str, Column]:
-    """One orientation in the saved order: difference, then shared, then extra."""
-    row: dict[str, Column] = {}
-    for name in names:
+    return f"({a.number(stored)} - {b.number(stored)})"
+
+
+def with_feature_rows(
+    df: DataFrame,
+    names: Sequence[str],
+    fields: Sequence[str],
+    *,
+    a: str = "a",
+    b: str = "b",
+    pounds: str = "class_pounds",
+    womens: str = "class_womens",
+    catch: str = "class_catch",
+    stance: str = "stance",
+    extra: str | None = "extra",
+    ab: str = "x_ab",
+    ba: str = "x_ba",
+) -> DataFrame:
+    """Adds both orientations as arrays in the saved feature order.
+
+    A feature is a difference, else a shared one, else taken from the request's
+    map. Swapping the sides negates the differences and changes nothing else, so
+    the second row is derived from the first.
+    """
+    from duelframe.operators.context_class import known_stance
+
+    left, right = Side(a, fields), Side(b, fields)
+    same = "false"
+    if stance in fields and "feature_same_known_stance" in names:
+        stances = [
+            known_stance(F.expr(side.raw("feature_stance_missing")), side.text(stance)) for side in (left, right)
+        ]
+        df = df.withColumn("__same_stance", F.coalesce(stances[0] == stances[1], F.lit(False)))
+        same = "__same_stance"
+    shared = shared_sql(left, right, pounds=pounds, womens=womens, catch=catch, same_stance=same)
+    values, swapped = [], []
+    for i, name in enumerate(names):
         if name.startswith(fv.DIFFERENCE_PREFIX):
-            row[name] = difference(a, b, name)
-        elif name in shared:
-            row[name] = shared[name]
+            values.append(difference_sql(left, right, name))
+            swapped.append(f"0D - get({ab}, {i})")
+            continue
+        if name in shared:
+            values.append(shared[name])
         elif extra is not None:
-            row[name] = F.try_element_at(extra, F.lit(name)).cast("double")
+            values.append(f"CAST(try_element_at(`{extra}`, {sql_text(name)}) AS DOUBLE)")
         else:
-            row[name] = F.lit(None).cast("double")
-    return row
+            values.append("CAST(NULL AS DOUBLE)")
+        swapped.append(f"get({ab}, {i})")
+    framed = df.withColumn(ab, F.expr(f"array({', '.join(values)})"))
+    return framed.withColumn(ba, F.expr(f"array({', '.join(swapped)})")).drop("__same_stance")
 
 
-def feature_error(names: Sequence[str], values: Column) -> Column:
+def feature_error(names: Sequence[str], row: str = "x_ab") -> Column:
     """Error naming the first feature of a row array that is missing or not finite."""
-    labels = F.array(*[F.lit(n) for n in names])
-    bad = F.filter(
-        F.zip_with(labels, values, lambda n, v: F.when(is_finite(v), F.lit(None)).otherwise(n)), lambda n: n.isNotNull()
-    )
-    return F.when(F.size(bad) > 0, F.concat(F.lit("feature_unusable:"), F.get(bad, F.lit(0))))
+    position = f"array_position(transform({row}, v -> coalesce(abs(v) < {_INF}, false)), false)"
+    return F.expr(f"CASE WHEN {position} > 0 THEN concat('feature_unusable:', element_at({sql_array(names)}, CAST({position} AS INT))) END")
 
 
-def history_error(a: Side, b: Side, *, strict: bool, needs_rating: bool) -> Column:
+def history_error(a: Side, b: Side, *, needs_rating: bool) -> Column:
     """Errors the shared features raise before any feature is looked at."""
-    code = (
-        F.when((count_value(a("feature_prior_fights")) < 0) | (count_value(b("feature_prior_fights")) < 0), F.lit("negative_history"))
-        .when((number_or(a("feature_career_minutes"), 0.0) < 0) | (number_or(b("feature_career_minutes"), 0.0) < 0), F.lit("negative_minutes"))
-    )
-    if strict or needs_rating:
-        missing = ~is_finite(a("feature_elo_global").cast("double")) | ~is_finite(b("feature_elo_global").cast("double"))
-        code = code.when(missing, F.lit("rating_missing"))
-    return code
+    minutes, rating = "feature_career_minutes", "feature_elo_global"
+    text = f"""CASE WHEN {a.history()} < 0 OR {b.history()} < 0 THEN 'negative_history'
+        WHEN {a.number(minutes, 0.0)} < 0 OR {b.number(minutes, 0.0)} < 0 THEN 'negative_minutes'"""
+    if needs_rating:
+        text += f" WHEN {a.number(rating)} IS NULL OR {b.number(rating)} IS NULL THEN 'rating_missing'"
+    return F.expr(text + " END")
 
 
 def orientation_rows(df: DataFrame, keep: Sequence[str], ab: str, ba: str, names: Sequence[str]) -> DataFrame:
@@ -108,37 +144,27 @@ def orientation_rows(df: DataFrame, keep: Sequence[str], ab: str, ba: str, names
     return long.select(*keep, "o.orientation", *[F.get("o.x", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
-def out_of_range(names: Sequence[str], ab: Column, ba: Column, ranges: dict[str, tuple[float, float]]) -> Column:
-    """Features strictly outside the training range in either orientation."""
-    hits = []
-    for i, name in enumerate(names):
-        if name not in ranges:
-            continue
-        low, high = (F.lit(float(v)) for v in ranges[name])
-        va, vb = F.get(ab, F.lit(i)), F.get(ba, F.lit(i))
-        outside = lambda v: (v < low) | (v > high)
-        hits.append(
-            F.when(
-                outside(va) | outside(vb),
-                F.struct(
-                    F.lit(name).alias("feature"), low.alias("training_min"), high.alias("training_max"),
-                    F.when(outside(va), va).alias("a_vs_b"), F.when(outside(vb), vb).alias("b_vs_a"),
-                ),
-            )
-        )
-    if not hits:
-        kind = "array<struct<feature:string,training_min:double,training_max:double,a_vs_b:double,b_vs_a:double>>"
-        return F.array().cast(kind)
-    return F.filter(F.array(*hits), lambda h: h.isNotNull())
+RANGE_HITS = "array<struct<feature:string,training_min:double,training_max:double,a_vs_b:double,b_vs_a:double>>"
 
 
-def ordered_distinct(reasons: Sequence[Column]) -> Column:
-    """Trimmed, non-empty, distinct texts in first-seen order."""
-    from duelframe.functions.text import blank_to_null
+def out_of_range(names: Sequence[str], ranges: dict[str, tuple[float, float]], ab: str = "x_ab", ba: str = "x_ba") -> Column:
+    """Features strictly outside the training range in either orientation.
 
-    return F.array_distinct(F.filter(F.array(*[blank_to_null(r) for r in reasons]), lambda r: r.isNotNull()))
+    The ranges are a constant array (one entry per feature), so the plan stays the
+    same size however many features there are.
+    """
+    rows = [
+        f"named_struct('f', {sql_text(n)}, 'i', {i}, 'lo', {float(ranges[n][0])!r}D, 'hi', {float(ranges[n][1])!r}D)"
+        for i, n in enumerate(names)
+        if n in ranges
+    ]
+    if not rows:
+        return F.expr(f"CAST(array() AS {RANGE_HITS})")
+    outside = lambda x: f"CASE WHEN get({x}, r.i) < r.lo OR get({x}, r.i) > r.hi THEN get({x}, r.i) END"
+    hit = f"named_struct('feature', r.f, 'training_min', r.lo, 'training_max', r.hi, 'a_vs_b', {outside(ab)}, 'b_vs_a', {outside(ba)})"
+    return F.expr(f"filter(transform(array({', '.join(rows)}), r -> {hit}), h -> h.a_vs_b IS NOT NULL OR h.b_vs_a IS NOT NULL)")
 
 
-def first_error(*codes: Column) -> Column:
-    """First error in stage order."""
-    return F.coalesce(*codes) if len(codes) > 1 else reduce(lambda a, _: a, codes)
+def ordered_distinct(reasons: Sequence[Column]) -> Column:
+    """Trimmed, non-empty, distinct texts in first-seen order."""
+    return F.array_distinct(F.filter(F.array(*[blank_to_null(r) for r in reasons]), lambda r: r.isNotNull()))

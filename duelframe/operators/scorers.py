@@ -22,10 +22,8 @@ class LinearScorer:
     intercept: float = 0.0
 
     def add_probability(self, df: DataFrame, array: str, names: Sequence[str], out: str) -> DataFrame:
-        total = F.lit(float(self.intercept))
-        for i, weight in enumerate(self.weights):
-            total = total + F.lit(float(weight)) * F.get(array, F.lit(i))
-        return df.withColumn(out, sigmoid(total))
+        terms = [f"{float(self.intercept)!r}D"] + [f"{float(w)!r}D * get({array}, {i})" for i, w in enumerate(self.weights)]
+        return df.withColumn(out, sigmoid(F.expr(" + ".join(terms))))
 
 
 @dataclass(frozen=True)

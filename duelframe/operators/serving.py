@@ -40,7 +40,7 @@ def clean_requests(
 
 def winner(probability: Column, name_a: Column, name_b: Column) -> Column:
     even = F.abs(probability - 0.5) <= fv.EVEN_TOLERANCE
-    return F.when(even, F.lit(None)).when(probability > 0.5, name_a).otherwise(name_b)
+    return F.when(even, F.lit(None)).when(probability > 0.5, name_a).when(probability < 0.5, name_b)
 
 
 def is_even(probability: Column) -> Column:

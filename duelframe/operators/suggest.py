@@ -52,25 +52,40 @@ def _tokens(key: Column) -> Column:
     return F.sort_array(F.transform(numbered, lambda t: (F.lit(10_000) - t["nth"]) * 100 + t["rank"]))
 
 
-def _block_keys(cutoff: float) -> Column:
-    """Pairs of head tokens, and single tokens for very short names."""
+def _head(cutoff: float) -> Column:
+    """The first tokens, enough to hold two shared ones of any partner in reach."""
     length = F.col("len")
     shortest = F.ceil(length * (cutoff / (2.0 - cutoff)))
     shared = F.greatest(F.lit(1), F.ceil((length + shortest) * (cutoff / 2.0) - 1e-9)).cast("int")
-    head = F.slice("tokens", 1, F.greatest(F.lit(1), F.least(length, length - shared + 2)))
+    return F.slice("tokens", 1, F.greatest(F.lit(1), F.least(length, length - shared + 2)))
+
+
+def _block_keys() -> Column:
+    """Pairs of head tokens, and single tokens for very short names."""
+    head = F.col("head")
     pairs = F.flatten(
         F.transform(
             head,
             lambda t, i: F.transform(F.slice(head, i + 2, F.size(head)), lambda u: F.concat_ws("-", t, u)),
         )
     )
-    singles = F.when(length <= _SHORT, F.transform("tokens", lambda t: t.cast("string"))).otherwise(F.array().cast("array<string>"))
+    singles = F.when(F.col("len") <= _SHORT, F.transform("tokens", lambda t: t.cast("string"))).otherwise(F.array().cast("array<string>"))
     return F.concat(pairs, singles)
 
 
 def _blocked(keys: DataFrame, cutoff: float) -> DataFrame:
     framed = keys.withColumn("len", F.length("name_key")).withColumn("tokens", _tokens(F.col("name_key")))
-    return framed.select("name_key", "len", "tokens", F.explode(_block_keys(cutoff)).alias("block"))
+    framed = framed.withColumn("head", _head(cutoff))
+    return framed.select("name_key", "len", "tokens", "head", F.explode(_block_keys()).alias("block"))
+
+
+def _first_block() -> Column:
+    """The one block a pair is taken from, so that no pair is produced twice."""
+    common = F.array_intersect("qh", "head")
+    both_short = (F.col("ql") <= _SHORT) & (F.col("len") <= _SHORT)
+    single = F.get(F.array_intersect("qt", "tokens"), F.lit(0)).cast("string")
+    pair = F.concat_ws("-", F.get(common, F.lit(0)), F.get(common, F.lit(1)))
+    return F.when(both_short, single).otherwise(pair)
 
 
 def close_keys(
@@ -79,15 +94,14 @@ def close_keys(
     """Best index keys of every query key: highest ratio first, then text order descending."""
     left = _blocked(queries.select("name_key").where("name_key <> ''").distinct(), cutoff)
     right = _blocked(index_keys.select("name_key").distinct(), cutoff)
-    left = left.select(F.col("name_key").alias("query_key"), F.col("len").alias("ql"), F.col("tokens").alias("qt"), "block")
+    left = left.select(F.col("name_key").alias("query_key"), F.col("len").alias("ql"), F.col("tokens").alias("qt"), F.col("head").alias("qh"), "block")
     overlap = F.size(F.array_intersect("qt", "tokens"))
     total = F.col("ql") + F.col("len")
     bound = 2.0 * F.least(F.col("ql"), F.col("len")) >= total * (cutoff - 1e-9)
     pairs = (
         left.join(right, "block")
-        .where(bound & (2.0 * overlap >= total * (cutoff - 1e-9)))
+        .where(bound & (F.col("block") == _first_block()) & (2.0 * overlap >= total * (cutoff - 1e-9)))
         .select("query_key", "name_key")
-        .distinct()
     )
     scored = pairs.withColumn("ratio", _ratio("name_key", "query_key")).where(F.col("ratio") >= cutoff)
     best = Window.partitionBy("query_key").orderBy(F.desc("ratio"), F.desc("name_key"))

@@ -18,14 +18,12 @@ from pyspark.sql import functions as F
 
 from duelframe import fixed_values as fv
 from duelframe.functions.skew import hot_key_hashes, salted_lookup
-from duelframe.functions.text import blank_to_null, id_key, strip
-from duelframe.functions.values import clip, count_value, is_finite, iso_date
+from duelframe.functions.text import blank_to_null, id_key, sql_array, strip
+from duelframe.functions.values import clip, is_finite, iso_date
 from duelframe.operators import asof, identity, serving
-from duelframe.operators.confidence import SupportPolicy, assess
-from duelframe.operators.context_class import class_state_error, inferred_class, resolve_class, uses_class_state
-from duelframe.operators.pairing import (
-    feature_error, feature_row, first_error, history_error, ordered_distinct, out_of_range, shared_features, side,
-)
+from duelframe.operators.confidence import SupportPolicy, with_support_grade
+from duelframe.operators.context_class import class_state_error, inferred_class, snapshot_class, uses_class_state, with_class
+from duelframe.operators.pairing import Side, feature_error, history_error, ordered_distinct, out_of_range, with_feature_rows
 
 ALL_CLASSES = tuple(code for code, _, _, _ in fv.CONTEXT_CLASSES)
 
@@ -113,6 +111,7 @@ def entity_states(sides: DataFrame, snapshots: DataFrame, plan: ScoringPlan, ali
         F.datediff("ref_date", as_of).alias("snapshot_age"),
         who.alias("who"),
         blank_to_null(text(c.last_class)).alias("last_class"),
+        snapshot_class(text(c.last_class)).alias("class_state"),
         text(c.stance).alias("stance"),
         *[value.alias(name) for name, value in fresh.items()],
         *[number(n).alias(n) for n in stored],
@@ -151,33 +150,23 @@ def score_requests(
         # hot keys are looked for in the plain requests, never behind a join
         hot = hot_key_hashes(base, [key]) if plan.balance else []
         joined = salted_lookup(joined, lookup, [key], spread_by=[request_id], hot=hot)
-    state_fields = [f.name for f in states.schema["state"].dataType.fields]
-    a, b = side("a", state_fields), side("b", state_fields)
-
-    label = F.coalesce(F.col("division"), inferred_class(F.col("a.last_class"), F.col("b.last_class")))
+    fields = [f.name for f in states.schema["state"].dataType.fields]
+    a, b = Side("a", fields), Side("b", fields)
     resolved = joined.withColumn(
-        "class", resolve_class(label, F.col("division_lbs"), F.col("is_womens"), F.col("is_catch_weight"))
-    )
-    history_a, history_b = count_value(F.col("a.feature_prior_fights")), count_value(F.col("b.feature_prior_fights"))
-    shared = shared_features(a, b, pounds=F.col("class.pounds"), womens=F.col("class.womens"), catch=F.col("class.catch"))
-    rows = resolved.withColumns(
-        {
-            "x_ab": F.array(*feature_row(names, a, b, shared, F.col("extra")).values()),
-            "x_ba": F.array(*feature_row(names, b, a, shared, F.col("extra")).values()),
-            "prior_a": history_a,
-            "prior_b": history_b,
-        }
+        "__label", F.coalesce(F.col("division"), inferred_class(F.col("a.last_class"), F.col("b.last_class")))
     )
+    resolved = with_class(resolved, label="__label")
+    rows = with_feature_rows(resolved, names, fields).withColumns({"prior_a": F.expr(a.history()), "prior_b": F.expr(b.history())})
     guard = F.lit(None).cast("string")
     if uses_class_state(names):
         guard = F.coalesce(
-            class_state_error(F.col("prior_a"), F.col("a.last_class"), F.col("class.code")),
-            class_state_error(F.col("prior_b"), F.col("b.last_class"), F.col("class.code")),
+            class_state_error(F.col("prior_a"), F.col("a.class_state"), F.col("class_code")),
+            class_state_error(F.col("prior_b"), F.col("b.class_state"), F.col("class_code")),
         )
-    needs_rating = "feature_mean_elo_global" in names
+    needs_rating = plan.strict_rating or "feature_mean_elo_global" in names
     coded = rows.withColumn(
         "error_code",
-        first_error(
+        F.coalesce(
             F.col("request_error"),
             asof.post_cutoff_error(F.col("ref_date"), plan.cutoff, plan.allow_post_cutoff),
             F.col("a.resolve_error"),
@@ -187,11 +176,10 @@ def score_requests(
             F.col("b.snapshot_error"),
             F.col("a.refresh_error"),
             F.col("b.refresh_error"),
-            F.col("class.error"),
+            F.col("class_error"),
             guard,
-            history_error(a, b, strict=plan.strict_rating, needs_rating=needs_rating),
-            feature_error(names, F.col("x_ab")),
-            feature_error(names, F.col("x_ba")),
+            history_error(a, b, needs_rating=needs_rating),
+            feature_error(names),
         ),
     )
     scored = plan.scorer.add_probability(coded, "x_ab", names, "raw_ab")
@@ -219,8 +207,8 @@ def symmetric_probability(cal_ab: Column, cal_ba: Column) -> tuple[Column, Colum
 def _predictions(scored: DataFrame, plan: ScoringPlan, names: list[str], request_id: str) -> DataFrame:
     ok = F.col("error_code").isNull()
     probability, gap = symmetric_probability(F.col("cal_ab"), F.col("cal_ba"))
-    code = F.col("class.code")
-    unsupported_class = ~F.col("class.supported") | ~code.isin(*plan.supported)
+    code = F.col("class_code")
+    unsupported_class = ~F.col("class_supported") | ~code.isin(*plan.supported)
     reasons = [F.when(unsupported_class, F.concat(F.lit("division '"), code, F.lit("' was not declared supported by the model")))]
     if plan.cutoff is None:
         reasons.append(F.lit("model cutoff metadata is unavailable"))
@@ -229,24 +217,12 @@ def _predictions(scored: DataFrame, plan: ScoringPlan, names: list[str], request
             "probability_a": F.when(ok, probability),
             "orientation_disagreement": F.when(ok, gap),
             "days_after_cutoff": asof.days_after_cutoff(F.col("ref_date"), plan.cutoff),
-            "outside": out_of_range(names, F.col("x_ab"), F.col("x_ba"), plan.ranges),
+            "outside": out_of_range(names, plan.ranges),
             "reasons": ordered_distinct(reasons),
         }
     )
-    grade = assess(
-        prior_a=F.col("prior_a"),
-        prior_b=F.col("prior_b"),
-        disagreement=F.col("orientation_disagreement"),
-        snapshot_age_a=F.col("a.snapshot_age"),
-        snapshot_age_b=F.col("b.snapshot_age"),
-        layoff_a=F.col("a.layoff_days"),
-        layoff_b=F.col("b.layoff_days"),
-        after_cutoff=F.col("days_after_cutoff"),
-        out_of_range=F.col("outside"),
-        unsupported=F.col("reasons"),
-        policy=plan.policy,
-    )
-    graded = measured.withColumns({name: F.when(ok, value) for name, value in grade.items()})
+    graded = with_support_grade(measured, policy=plan.policy)
+    graded = graded.withColumns({n: F.when(ok, F.col(n)) for n in ("confidence_score", "confidence_tier", "warnings")})
     p = F.col("probability_a")
     failed = F.when(F.col("error_code").isin("snapshot_unavailable", "duplicate_snapshot"), F.when(F.col("a.snapshot_error").isNotNull(), F.col("a")).otherwise(F.col("b")))
     orientation = lambda first, second, raw, cal: F.when(
@@ -291,8 +267,8 @@ def _predictions(scored: DataFrame, plan: ScoringPlan, names: list[str], request
         "confidence_tier",
         "confidence_score",
         "warnings",
-        F.when(ok, F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.col("x_ab"))).alias("features_a_vs_b"),
-        F.when(ok, F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.col("x_ba"))).alias("features_b_vs_a"),
+        F.when(ok, F.map_from_arrays(F.expr(sql_array(names)), F.col("x_ab"))).alias("features_a_vs_b"),
+        F.when(ok, F.map_from_arrays(F.expr(sql_array(names)), F.col("x_ba"))).alias("features_b_vs_a"),
         "query_a",
         "query_b",
         failed["entity_id"].alias("failed_entity_id"),
