@@ -278,14 +278,17 @@ def _predictions(scored: DataFrame, plan: ScoringPlan, names: list[str], request
 
 
 def split_outcomes(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Predictions and rejected requests. Persist or write `scored` before using both."""
-    rejected = [
-        c for c in ("error_code", "query_a", "query_b", "ref_date", "failed_entity_id", "available_first", "available_last")
-    ]
+    """Predictions and rejected requests. Persist or write `scored` before using both.
+
+    The rows pass through a generator first. A filter on the computed error code
+    would otherwise be pushed down as a copy of the whole computation.
+    """
+    sealed = scored.select(F.inline(F.array(F.struct("*"))))
+    failure = ("failed_entity_id", "available_first", "available_last")
     key = scored.columns[0]
     return (
-        scored.where("error_code IS NULL").drop("error_code", "failed_entity_id", "available_first", "available_last"),
-        scored.where("error_code IS NOT NULL").select(key, *rejected),
+        sealed.where("error_code IS NULL").drop("error_code", *failure),
+        sealed.where("error_code IS NOT NULL").select(key, "error_code", "query_a", "query_b", "ref_date", *failure),
     )
 
 

@@ -13,7 +13,7 @@ from duelframe.operators.context_class import (
     class_state_error, inferred_class, known_stance, snapshot_class, supported_classes, with_class,
 )
 from duelframe.operators.scorers import LinearScorer
-from duelframe.plans.score import ScoringPlan, score_requests, symmetric_probability
+from duelframe.plans.score import ScoringPlan, rejection_table, score_requests, split_outcomes, symmetric_probability
 from duelframe.registry import fixtures as fx
 from duelframe.registry.base import query, r6, rounded, table
 
@@ -531,7 +531,7 @@ def score_all(spark, sf):
 
 @query("r14_prediction_record")
 def full_record(spark, sf):
-    return scored(spark, sf).where("error_code IS NULL")
+    return split_outcomes(scored(spark, sf))[0]
 
 
 @query(
@@ -539,7 +539,7 @@ def full_record(spark, sf):
     f"""WITH {SCORE_SQL} SELECT d.request_id, d.division, probability_a, 'User ' || a_id AS name_a, 'User ' || b_id AS shown_b, d.confidence_tier AS tier FROM done d JOIN requests r USING (request_id) WHERE error_code IS NULL""",
 )
 def public(spark, sf):
-    shown = serving.public_predictions(scored(spark, sf).where("error_code IS NULL"), keep=["request_id"])
+    shown = serving.public_predictions(split_outcomes(scored(spark, sf))[0], keep=["request_id"])
     return shown.select(
         "request_id", "division", r6("probability_a").alias("probability_a"), F.col("fighter_a.fighter_name").alias("name_a"),
         F.col("fighter_b.display_name").alias("shown_b"), F.col("confidence.tier").alias("tier"),
@@ -557,8 +557,6 @@ def public(spark, sf):
     FROM bad LEFT JOIN span ON who = entity_id""",
 )
 def rejections(spark, sf):
-    from duelframe.plans.score import rejection_table, split_outcomes
-
     _, rejected = split_outcomes(scored(spark, sf))
     out = rejection_table(rejected, scoring_snapshots(spark, sf), columns=NAMES)
     return out.select("request_id", "error_code", "error_message")
