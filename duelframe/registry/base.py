@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ("evaluation", "data_checks", "splitting", "catalogue", "identity", "matchups")
+MODULES = ("evaluation", "data_checks", "splitting", "catalogue", "identity", "matchups", "fitting", "lineage")
 
 
 def query(name: str, sql: str | None = None):
