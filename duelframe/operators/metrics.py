@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duelframe.functions.text import sql_array
 from duelframe.functions.values import clip, is_finite, row_log_loss
 from duelframe import fixed_values as fv
 from duelframe.session import shuffle_width
@@ -187,17 +188,28 @@ def score_ranges(df: DataFrame, p: str, buckets: int | None = None) -> list[floa
     return sorted(set(cuts or []))
 
 
-def _range_of(prob: Column, cuts: Sequence[float]) -> Column:
-    """Number of boundaries at or below the score, found in two short steps."""
+def _with_range(df: DataFrame, cuts: Sequence[float]) -> DataFrame:
+    """Adds the number of boundaries at or below the score, found in two short steps.
+
+    Plain comparisons rather than a lambda over the boundaries: they compile, and
+    the optimizer knows exactly which columns they read.
+    """
     if not cuts:
-        return F.lit(0)
+        return df.withColumn(_BUCKET, F.lit(0))
     width = max(1, int(len(cuts) ** 0.5))
     chunks = [list(cuts[i : i + width]) for i in range(0, len(cuts), width)]
-    heads = F.array(*[F.lit(float(chunk[0])) for chunk in chunks])
-    nested = F.array(*[F.array(*[F.lit(float(v)) for v in chunk]) for chunk in chunks])
-    outer = F.size(F.filter(heads, lambda head: head <= prob))
-    inner = F.size(F.filter(F.get(nested, outer - 1), lambda cut: cut <= prob))
-    return F.when(outer == 0, F.lit(0)).otherwise((outer - 1) * width + inner)
+    count = lambda tests: " + ".join(f"CAST({t} AS INT)" for t in tests)
+    heads = count(f"__p >= {float(chunk[0])!r}D" for chunk in chunks)
+    # the last chunk is filled up with a boundary no score reaches
+    padded = [chunk + [2.0] * (width - len(chunk)) for chunk in chunks]
+    nested = f"array({', '.join(sql_array(chunk) for chunk in padded)})"
+    inner = count(f"__p >= get(__chunk, {i})" for i in range(width))
+    return (
+        df.withColumn("__outer", F.expr(heads))
+        .withColumn("__chunk", F.expr(f"get({nested}, __outer - 1)"))
+        .withColumn(_BUCKET, F.expr(f"CASE WHEN __outer = 0 THEN 0 ELSE (__outer - 1) * {width} + {inner} END"))
+        .drop("__outer", "__chunk")
+    )
 
 
 def _prefix_rows(scored: DataFrame, by: list[str], buckets: int | None) -> DataFrame:
@@ -206,7 +218,7 @@ def _prefix_rows(scored: DataFrame, by: list[str], buckets: int | None) -> DataF
     keys = by or [_ONE]
     base = scored if by else scored.withColumn(_ONE, F.lit(0))
     totals_of_score = (
-        base.withColumn(_BUCKET, _range_of(F.col("__p"), cuts))
+        _with_range(base, cuts)
         .groupBy(*keys, _BUCKET, "__p")
         .agg(F.count(F.lit(1)).alias("__n"), F.sum("__y").alias("__pos"))
     )
