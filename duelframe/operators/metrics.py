@@ -207,7 +207,7 @@ def _with_range(df: DataFrame, cuts: Sequence[float]) -> DataFrame:
     return (
         df.withColumn("__outer", F.expr(heads))
         .withColumn("__chunk", F.expr(f"get({nested}, __outer - 1)"))
-        .withColumn(_BUCKET, F.expr(f"CASE WHEN __outer = 0 THEN 0 ELSE (__outer - 1) * {width} + {inner} END"))
+        .withColumn(_BUCKET, F.expr(f"coalesce(CASE WHEN __outer = 0 THEN 0 ELSE (__outer - 1) * {width} + {inner} END, 0)"))
         .drop("__outer", "__chunk")
     )
 
@@ -216,7 +216,9 @@ def _prefix_rows(scored: DataFrame, by: list[str], buckets: int | None) -> DataF
     """Distinct scores per group with counts and exact counts of everything below."""
     cuts = score_ranges(scored, "__p", buckets)
     keys = by or [_ONE]
-    base = scored if by else scored.withColumn(_ONE, F.lit(0))
+    # stated here once, so that the join below adds no filter to one branch only and
+    # both branches share one shuffle of the per-score sums
+    base = scored.dropna(subset=by) if by else scored.withColumn(_ONE, F.lit(0))
     totals_of_score = (
         _with_range(base, cuts)
         .groupBy(*keys, _BUCKET, "__p")
@@ -241,7 +243,8 @@ def _prefix_rows(scored: DataFrame, by: list[str], buckets: int | None) -> DataF
     return (
         totals_of_score.withColumn("__n_in", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
         .withColumn("__pos_in", F.coalesce(F.sum("__pos").over(inside), F.lit(0)))
-        .join(offsets, [*keys, _BUCKET])
+        # the big side is already partitioned and sorted on these keys by its window
+        .join(offsets.hint("merge"), [*keys, _BUCKET])
         .select(
             *keys, _BUCKET, "__p", "__n", "__pos", "__total", "__positives",
             (F.col("__n_offset") + F.col("__n_in")).alias("__n_below"),
