@@ -119,30 +119,47 @@ def entity_states(sides: DataFrame, snapshots: DataFrame, plan: ScoringPlan, ali
     return joined.select("side_key", state.alias("state"))
 
 
+def prepare_requests(requests: DataFrame) -> DataFrame:
+    """Requests with trimmed texts, all optional columns, the reference date and side keys."""
+    base = serving.clean_requests(_complete(requests)).withColumn("ref_date", F.col("predicted_at").cast("date"))
+    return base.withColumns(
+        {f"__key_{s}": _side_key(F.col(f"query_{s}"), F.col(f"id_{s}"), F.col("ref_date")) for s in ("a", "b")}
+    )
+
+
+def request_sides(base: DataFrame) -> DataFrame:
+    """Distinct (query, id, date) of both sides."""
+    pair = F.array(
+        *[
+            F.struct(F.col(f"__key_{s}").alias("side_key"), F.col(f"query_{s}").alias("query"), F.col(f"id_{s}").cast("string").alias("explicit_id"))
+            for s in ("a", "b")
+        ]
+    )
+    return base.where("request_error IS NULL").select(F.explode(pair).alias("p"), "ref_date").select("p.*", "ref_date").distinct()
+
+
 def score_requests(
-    requests: DataFrame, snapshots: DataFrame, plan: ScoringPlan, *, aliases: DataFrame | None = None, request_id: str = "request_id"
+    requests: DataFrame,
+    snapshots: DataFrame,
+    plan: ScoringPlan,
+    *,
+    aliases: DataFrame | None = None,
+    request_id: str = "request_id",
+    states: DataFrame | None = None,
 ) -> DataFrame:
     """One row per request: prediction fields, or `error_code` when it was rejected.
 
     `requests` has request_id, query_a, query_b, predicted_at and the optional
     columns id_a, id_b, division, division_lbs, is_womens, is_catch_weight, extra.
     The reference date is the calendar date of predicted_at in the session zone.
-    """
-    c, names = plan.columns, list(plan.features)
-    base = serving.clean_requests(_complete(requests)).withColumn("ref_date", F.col("predicted_at").cast("date"))
-    base = base.withColumns(
-        {
-            "__key_a": _side_key(F.col("query_a"), F.col("id_a"), F.col("ref_date")),
-            "__key_b": _side_key(F.col("query_b"), F.col("id_b"), F.col("ref_date")),
-        }
-    )
-    pair = F.array(
-        F.struct(F.col("__key_a").alias("side_key"), F.col("query_a").alias("query"), F.col("id_a").cast("string").alias("explicit_id")),
-        F.struct(F.col("__key_b").alias("side_key"), F.col("query_b").alias("query"), F.col("id_b").cast("string").alias("explicit_id")),
-    )
-    sides = base.where("request_error IS NULL").select(F.explode(pair).alias("p"), "ref_date").select("p.*", "ref_date").distinct()
-    states = entity_states(sides, snapshots, plan, aliases)
 
+    Both sides read the same `entity_states` table. Pass it in when it is persisted
+    or written (see `persisted_states`); otherwise it is part of this plan.
+    """
+    names = list(plan.features)
+    base = prepare_requests(requests)
+    if states is None:
+        states = entity_states(request_sides(base), snapshots, plan, aliases)
     joined = base
     for letter in ("a", "b"):
         key = f"__key_{letter}"
@@ -198,6 +215,11 @@ def score_requests(
     return _predictions(scored, plan, names, request_id)
 
 
+def persisted_states(requests: DataFrame, snapshots: DataFrame, plan: ScoringPlan, *, aliases: DataFrame | None = None) -> DataFrame:
+    """Entity states of a set of requests, kept in memory and on disk until unpersisted."""
+    return entity_states(request_sides(prepare_requests(requests)), snapshots, plan, aliases).persist()
+
+
 def symmetric_probability(cal_ab: Column, cal_ba: Column) -> tuple[Column, Column]:
     """Mean of both orientations clipped to [0, 1], and their absolute gap."""
     other = 1.0 - cal_ba
