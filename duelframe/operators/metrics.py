@@ -212,9 +212,14 @@ def _with_range(df: DataFrame, cuts: Sequence[float]) -> DataFrame:
     )
 
 
-def _prefix_rows(scored: DataFrame, by: list[str], buckets: int | None) -> DataFrame:
-    """Distinct scores per group with counts and exact counts of everything below."""
-    cuts = score_ranges(scored, "__p", buckets)
+def _prefix_rows(scored: DataFrame, by: list[str], buckets: int | None, cuts: Sequence[float] | None = None) -> DataFrame:
+    """Distinct scores per group with counts and exact counts of everything below.
+
+    Rows may already be sums: then `__n` holds how many rows each stands for and
+    `__y` their positives.
+    """
+    cuts = score_ranges(scored, "__p", buckets) if cuts is None else cuts
+    rows = F.sum("__n") if "__n" in scored.columns else F.count(F.lit(1))
     keys = by or [_ONE]
     # stated here once, so that the join below adds no filter to one branch only and
     # both branches share one shuffle of the per-score sums
@@ -222,7 +227,7 @@ def _prefix_rows(scored: DataFrame, by: list[str], buckets: int | None) -> DataF
     totals_of_score = (
         _with_range(base, cuts)
         .groupBy(*keys, _BUCKET, "__p")
-        .agg(F.count(F.lit(1)).alias("__n"), F.sum("__y").alias("__pos"))
+        .agg(rows.alias("__n"), F.sum("__y").alias("__pos"))
     )
     # at most len(cuts) + 1 rows per group, so this window stays small
     per_group = Window.partitionBy(*keys)
@@ -308,11 +313,12 @@ def _bins_of_group(n_bins: int, adaptive: bool) -> Column:
 
 
 def _ranked_scores(
-    scored: DataFrame, by: list[str], *, n_bins: int, strategy: str, adaptive: bool, buckets: int | None
+    scored: DataFrame, by: list[str], *, n_bins: int, strategy: str, adaptive: bool, buckets: int | None,
+    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """Prefix rows with the reliability bin of every distinct score."""
     keys = by or [_ONE]
-    prefix = _prefix_rows(scored, by, buckets)
+    prefix = _prefix_rows(scored, by, buckets, cuts)
     bins = _bins_of_group(n_bins, adaptive)
     if strategy == "uniform":
         index = uniform_bin(F.col("__p"), bins)
@@ -397,16 +403,23 @@ def binary_metrics(
     ranking: bool = True,
     adaptive_bins: bool = False,
     buckets: int | None = None,
+    cuts: Sequence[float] | None = None,
+    rows: str | None = None,
 ) -> DataFrame:
     """All 18 metrics, one row per group (one row when `by` is empty).
 
     Group columns must not be null. Without `ranking`, uniform bins are filled in
-    one pass and the two ranking metrics stay null.
+    one pass and the two ranking metrics stay null. With `rows`, every input row
+    stands for that many rows and `y` is the number of positives among them.
     """
     _check_bins(n_bins, strategy)
     _check_threshold(threshold)
     by = list(by)
     scored = df.select(*by, F.col(y).cast("int").alias("__y"), F.col(p).alias("__p"))
+    if rows is not None:
+        if not ranking:
+            raise ValueError("summed rows need the ranking path")
+        scored = df.select(*by, F.col(y).alias("__y"), F.col(p).alias("__p"), F.col(rows).alias("__n"))
     prob = F.col("__p")
     called = F.when(prob >= threshold, F.lit(1)).otherwise(F.lit(0))
     if not ranking and strategy == "uniform" and not adaptive_bins:
@@ -427,7 +440,7 @@ def binary_metrics(
         return _fold_bins(binned, by, threshold, ranking=False)
 
     ranked = _ranked_scores(
-        scored, by, n_bins=n_bins, strategy=strategy, adaptive=adaptive_bins, buckets=buckets
+        scored, by, n_bins=n_bins, strategy=strategy, adaptive=adaptive_bins, buckets=buckets, cuts=cuts
     )
     n, pos = F.col("__n"), F.col("__pos")
     neg = n - pos

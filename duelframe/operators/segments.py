@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from duelframe import fixed_values as fv
 from duelframe.functions.text import col
 from duelframe.functions.values import experience_band, probability_band
-from duelframe.operators.metrics import METRIC_COLUMNS, assert_predictions, binary_metrics, reliability_bins
+from duelframe.operators.metrics import METRIC_COLUMNS, assert_predictions, binary_metrics, reliability_bins, score_ranges
 
 
 def shown_value(value: Column | str, dtype: str = "string") -> Column:
@@ -55,10 +55,16 @@ def subgroup_metrics(
     """
     if min_samples < 1 or (check_size and min_samples > df.count()):
         raise ValueError("min_samples must be between 1 and the sample count.")
-    long = unpivot_segments(df, segments, [y, p])
+    # rows alike in score and in every segment become one before they are multiplied
+    # by the number of segments; score ranges come from the rows as they are
+    quoted = [f"`{name}`" for name in segments]
+    summed = df.groupBy(*quoted, F.col(p).alias("__score")).agg(
+        F.count(F.lit(1)).alias("__rows"), F.sum(F.col(y).cast("int")).alias("__hits")
+    )
+    long = unpivot_segments(summed, segments, ["__score", "__rows", "__hits"])
     full = binary_metrics(
-        long, y, p, by=["segment", "value"], threshold=threshold, n_bins=n_bins,
-        strategy=strategy, adaptive_bins=True, buckets=buckets,
+        long, "__hits", "__score", by=["segment", "value"], threshold=threshold, n_bins=n_bins, strategy=strategy,
+        adaptive_bins=True, cuts=score_ranges(df, p, buckets), rows="__rows",
     )
     small = F.col("sample_count") < min_samples
     kept = [c for c in METRIC_COLUMNS if c not in ("sample_count", "positive_count")]
