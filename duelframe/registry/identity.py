@@ -309,13 +309,13 @@ def redact(spark, sf):
     return out.select("page_id", "safe_message")
 
 
-LABEL_CODES = ["m_light", "Open Stance", "no-contest", "KO/TKO", "ufc fight_night", "Catch weight bout", "Middle Bout", "", "stale"]
+LABEL_CODES = ["m_light", "Open Stance", "no-contest", "KO/TKO", "main fight_night", "Catch weight bout", "Middle Bout", "", "stale"]
 
 
 @query(
     "r20_display_labels",
     f"""WITH c AS (SELECT p_partkey, list_element({LABEL_CODES!r}, CAST(p_partkey % {len(LABEL_CODES)} + 1 AS INT)) AS code FROM part)
-    SELECT p_partkey, list_element(['Male Lightweight', 'Open stance', 'No contest', 'KO/TKO', 'Ufc Fight Night', 'Catchweight', 'Middle', 'Unknown', 'Stale fighter data'], CAST(p_partkey % {len(LABEL_CODES)} + 1 AS INT)) AS label FROM c""",
+    SELECT p_partkey, list_element(['Male Lightweight', 'Open stance', 'No contest', 'KO/TKO', 'Main Fight Night', 'Catchweight', 'Middle', 'Unknown', 'Stale fighter data'], CAST(p_partkey % {len(LABEL_CODES)} + 1 AS INT)) AS label FROM c""",
 )
 def labels(spark, sf):
     codes = F.array(*[F.lit(c) for c in LABEL_CODES])
