@@ -37,3 +37,14 @@ def op9_token_planes(spark: SparkSession, sf: str) -> DataFrame:
 
     manifest = write_token_files(table(spark, sf, "documents"), tokenizer_path("words"), end_id=2)
     return read_token_files(manifest)
+
+
+@register("op10_pieces")
+def op10_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from duelframe.llm.pieces import encode_texts
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rows = encode_texts(docs, tokenizer_path("pieces"), round_trip_col="round_trip")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
