@@ -79,3 +79,47 @@ def slices(batches: Iterator[pa.RecordBatch], size_of: str, limit: int) -> Itera
                 filled, begin = 0, i + 1
         if begin < n:
             yield batch.slice(begin, n - begin)
+
+
+_BYTE_KEYS = np.random.default_rng(20_231).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_RATIO = 0xD6E8FEB86659FD93
+_POWERS = np.ones(1, dtype=np.uint64)
+_IS_SPACE = np.zeros(256, dtype=bool)
+_IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+
+
+def mix64(h: np.ndarray) -> np.ndarray:
+    """One-to-one scrambling of 64-bit numbers."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def _powers(n: int) -> np.ndarray:
+    global _POWERS
+    while len(_POWERS) < n:
+        step = np.uint64(pow(_RATIO, len(_POWERS), 1 << 64))
+        _POWERS = np.concatenate([_POWERS, _POWERS * step])
+    return _POWERS
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in order, and how many words each text has.
+
+    A-Z count as a-z; words are what stands between the six ASCII white-space characters.
+    """
+    raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+    codes = np.frombuffer(b"\n".join([*raw, b""]), dtype=np.uint8)
+    space = _IS_SPACE[codes]
+    start = np.flatnonzero(np.concatenate([[True], space[:-1]]) & ~space) if len(codes) else np.zeros(0, np.int64)
+    if not len(start):
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+    stop = np.flatnonzero(np.concatenate([~space[:-1] & space[1:], [False]])) + 1
+    length = stop - start
+    text_end = np.cumsum(np.array([len(r) + 1 for r in raw], dtype=np.int64))
+    sizes = np.diff(np.searchsorted(start, text_end), prepend=0)
+    letters = codes[~space]
+    first = np.cumsum(length) - length
+    place = np.arange(len(letters)) - np.repeat(first, length)
+    terms = _BYTE_KEYS[letters] * _powers(int(length.max()))[place]
+    return mix64(np.add.reduceat(terms, first)), sizes

@@ -48,3 +48,35 @@ def op10_pieces(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     rows = encode_texts(docs, tokenizer_path("pieces"), round_trip_col="round_trip")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
+
+
+@register("op5_language")
+def op5_language(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from duelframe.llm.langid import is_held_out, learn_profiles, predict_language
+
+    docs = table(spark, sf, "documents")
+    profiles = learn_profiles(docs.where(~is_held_out(F.col("doc_id"))))
+    found = predict_language(docs, profiles)
+    return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@register("op3_quality")
+def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
+    from duelframe.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@register("op2_kneser_ney")
+def op2_kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from duelframe.llm.common import remainder
+    from duelframe.llm.language_model import fit, score_texts
+
+    docs = table(spark, sf, "documents")
+    held_out = remainder(F.col("doc_id"), 5) == 1
+    scored = score_texts(docs, fit(docs.where(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), *scored.columns[1:])
