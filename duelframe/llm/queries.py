@@ -80,3 +80,35 @@ def op2_kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 5) == 1
     scored = score_texts(docs, fit(docs.where(~held_out)))
     return scored.select("doc_id", held_out.alias("held_out"), *scored.columns[1:])
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+win AS (
+  SELECT item_id, least(len(w), 13) AS n, array_to_string(w[i : i + 12], ' ') AS s
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 12))) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+spots AS (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n),
+places AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS s FROM spots),
+m AS (SELECT p.doc_id, p.i, p.n, win.item_id FROM places p JOIN win ON p.s = win.s AND p.n = win.n),
+hit AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit
+  FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS pos FROM (SELECT DISTINCT doc_id, i, n FROM m)) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ks FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS k FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hit.n_hit, 0)::BIGINT AS n_hit, coalesce(it.n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(it.ks, '')) AS items_sha256,
+  coalesce(hit.n_hit, 0) > 0 AND 20 * coalesce(hit.n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
+@register("op7_decontamination", OP7_SQL)
+def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    from duelframe.llm.decontaminate import contamination, digest
+
+    return digest(contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
