@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -129,22 +130,27 @@ class PieceCache(dict):
     """White-space-free stretch of text -> its ids as little-endian bytes.
 
     The tokenizer's pre-tokens never cross white space, so a text's ids are those of its stretches in
-    order. Distinct stretches are encoded once per worker; the cache starts anew when it is full.
+    order. Distinct stretches are encoded once per worker; when the cache is full, further ones are
+    kept for the slice at hand only.
     """
 
-    def __init__(self, tokenizer, limit: int = 600_000):
+    def __init__(self, tokenizer, limit: int = 1_000_000):
         super().__init__()
         self.tokenizer, self.limit = tokenizer, limit
+        self.passing: dict[str, bytes] = {}
 
-    def learn(self, words: list[str]) -> None:
-        new = list(set(words).difference(self))
-        if len(self) + len(new) > self.limit:
-            self.clear()
-            new = list(set(words))
+    def __missing__(self, word: str) -> bytes:
+        return self.passing[word]
+
+    def learn(self, texts: list[list[str]]) -> None:
+        new = list(set().union(*texts).difference(self))
+        self.passing = {}
+        into = self if len(self) + len(new) <= self.limit else self.passing
         for begin in range(0, len(new), 20_000):
             some = new[begin : begin + 20_000]
             for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self[word] = np.array(found.ids, dtype="<u4").tobytes()
+                ids = found.ids
+                into[word] = struct.pack(f"<{len(ids)}I", *ids)
 
 
 _ENCODERS: dict[str, PieceCache] = {}
@@ -161,7 +167,7 @@ def word_encoder(tokenizer_path: str) -> Callable[[list[str]], list[np.ndarray]]
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        cache.learn([w for words in split for w in words])
+        cache.learn(split)
         return [np.frombuffer(b"".join(map(cache.__getitem__, words)), dtype="<u4") for words in split]
 
     return encode
