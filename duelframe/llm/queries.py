@@ -137,3 +137,10 @@ def op4_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     from duelframe.llm.near_duplicates import near_duplicates
 
     return near_duplicates(table(spark, sf, "documents"), n_words=2)
+
+
+@register("op1_secrets")
+def op1_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    from duelframe.llm.secrets import digest, secret_spans
+
+    return digest(secret_spans(table(spark, sf, "documents").select("doc_id", "text")))
