@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,3 +123,8 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(letters)) - np.repeat(first, length)
     terms = _BYTE_KEYS[letters] * _powers(int(length.max()))[place]
     return mix64(np.add.reduceat(terms, first)), sizes
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often a lambda in `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -144,3 +144,10 @@ def op1_secrets(spark: SparkSession, sf: str) -> DataFrame:
     from duelframe.llm.secrets import digest, secret_spans
 
     return digest(secret_spans(table(spark, sf, "documents").select("doc_id", "text")))
+
+
+@register("op6_syncmers")
+def op6_syncmers(spark: SparkSession, sf: str) -> DataFrame:
+    from duelframe.llm.syncmers import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf, "documents"))

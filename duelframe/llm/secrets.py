@@ -20,6 +20,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duelframe.llm.common import bound
+
 # fixed forms of the scan, in the order in which kinds are listed
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -58,10 +60,9 @@ def _whole(patterns: Sequence[str]) -> str:
 
 def _form_spans(text: Column, pattern: str, kind: int, matches: Column, good: Column | None) -> Column:
     """Spans of a form's matches. Gaps and matches alternate, so their lengths add up to positions."""
-    gaps = F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
 
-    def step(state, i):
+    def step(gaps, state, i):
         begin = state["at"] + F.length(F.get(gaps, i))
         stop = begin + F.length(F.get(matches, i))
         span = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop")))
@@ -70,7 +71,10 @@ def _form_spans(text: Column, pattern: str, kind: int, matches: Column, good: Co
             kept = F.when(F.length(F.get(good, i)) >= 8, kept).otherwise(state["spans"])
         return F.struct(stop.alias("at"), kept.alias("spans"))
 
-    found = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda s: s["spans"])
+    found = bound(
+        F.split(text, pattern, -1),
+        lambda gaps: F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, lambda state, i: step(gaps, state, i), lambda s: s["spans"]),
+    )
     return F.when(F.size(matches) > 0, found).otherwise(start["spans"])
 
 
@@ -130,10 +134,9 @@ def window_spans(candidate: Column, rule: EntropyRule) -> Column:
 
 def _entropy_spans(text: Column, matches: Column, rule: EntropyRule) -> Column:
     """Spans of secret windows in the candidates that no allow-list pattern describes."""
-    gaps = F.split(text, _CANDIDATE % rule.window, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
 
-    def step(state, i):
+    def step(gaps, state, i):
         begin = state["at"] + F.length(F.get(gaps, i))
         text_of = F.get(matches, i)
         found = F.transform(
@@ -143,7 +146,10 @@ def _entropy_spans(text: Column, matches: Column, rule: EntropyRule) -> Column:
         kept = F.when(rule.harmless(text_of), state["spans"]).otherwise(F.concat(state["spans"], found))
         return F.struct((begin + F.length(text_of)).alias("at"), kept.alias("spans"))
 
-    found = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda s: s["spans"])
+    found = bound(
+        F.split(text, _CANDIDATE % rule.window, -1),
+        lambda gaps: F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, lambda state, i: step(gaps, state, i), lambda s: s["spans"]),
+    )
     # most candidates are words: nothing is read further unless one of them is not allowed
     odd = F.exists(matches, lambda m: ~rule.harmless(m))
     return F.when(odd, found).otherwise(start["spans"])
