@@ -24,14 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.llm.common import file_system, new_folder, saved, slices, width, word_hashes
+from duelframe.llm.hash_arrays import FILES, SLICE_BYTES, SortedArrays, by_range, collect_ranges, count_rows, file_list, opened, write_file
 
 _END = np.uint64(0x5851F42D4C957F2D)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _UNMIX = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_SLICE_BYTES = 6 << 20
 _PAIRS_A_PART = 4_000_000
-_HELD_TOKENS = 6_000_000
-_FILES = "part long, low long, n long, path string"
 
 
 def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,110 +57,6 @@ def pair_keys(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return ((before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)) * _MIX
 
 
-def _signed(a: np.ndarray) -> pa.Array:
-    return pa.array(a.view(np.int64))
-
-
-def _unsigned(column: pa.Array) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
-
-
-def _tally(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and their summed counts."""
-    k = np.concatenate(keys)
-    order = np.argsort(k)
-    k, c = k[order], np.concatenate(counts)[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    return k[first], np.add.reduceat(c, first) if len(k) else c
-
-
-def _count_rows(of_texts):
-    """Task that counts keys over its texts, with at most `_HELD_TOKENS` keys in memory, and yields (key, n)."""
-
-    def emit(keys, counts):
-        k, c = _tally(keys, counts)
-        for a in range(0, len(k), 200_000):
-            yield pa.RecordBatch.from_arrays([_signed(k[a : a + 200_000]), pa.array(c[a : a + 200_000].astype(np.int32))], names=["key", "n"])
-
-    def run(batches):
-        keys, counts, held = [], [], 0
-        for batch in slices(batches, "text", _SLICE_BYTES):
-            k = of_texts(batch.column("text").to_pylist())
-            k, c = np.unique(k, return_counts=True)
-            keys.append(k)
-            counts.append(c)
-            held += len(k)
-            if held > _HELD_TOKENS:
-                yield from emit(keys, counts)
-                keys, counts, held = [], [], 0
-        if keys:
-            yield from emit(keys, counts)
-
-    return run
-
-
-class SortedArrays:
-    """Sorted hash ranges over files: keys, and aligned counts, mapped into memory.
-
-    A file holds n keys (uint64) and then n counts (uint32). On a file system that is not mounted the
-    file is copied to the worker first; the copy is unlinked at once and goes with the worker.
-    """
-
-    def __init__(self, files: list[tuple[int, int, int, str]]):
-        self.low = np.array([f[1] for f in files], dtype=np.int64).view(np.uint64)
-        self.first = np.cumsum([0, *(f[2] for f in files)])
-        self.n = int(self.first[-1])
-        self.files = files
-        self.maps: list[np.ndarray | None] = [None] * len(files)
-
-    def _map(self, k: int) -> np.ndarray:
-        if self.maps[k] is None:
-            system, place = file_system(self.files[k][3])
-            if system.type_name == "local":
-                self.maps[k] = np.memmap(place, dtype=np.uint8, mode="r")
-            else:
-                import tempfile
-
-                with tempfile.NamedTemporaryFile() as own, system.open_input_stream(place) as source:
-                    while piece := source.read(8 << 20):
-                        own.write(piece)
-                    own.flush()
-                    self.maps[k] = np.memmap(own.name, dtype=np.uint8, mode="r")
-        return self.maps[k]
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the whole order and counts of sorted keys; -1 and 0 for those that are absent."""
-        places, counts = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
-        cuts = np.append(np.searchsorted(keys, self.low), len(keys)) if len(self.low) else []
-        for k, (_, _, n, _) in enumerate(self.files):
-            own = keys[cuts[k] : cuts[k + 1]]
-            if not len(own):
-                continue
-            raw = self._map(k)
-            there, tallies = raw[: 8 * n].view(np.uint64), raw[8 * n : 12 * n].view(np.uint32)
-            at = np.minimum(np.searchsorted(there, own), n - 1)
-            hit = there[at] == own
-            places[cuts[k] : cuts[k + 1]] = np.where(hit, at + self.first[k], -1)
-            counts[cuts[k] : cuts[k + 1]] = np.where(hit, tallies[at], 0)
-        return places, counts
-
-
-def _write_file(folder: str, keys: np.ndarray, counts: np.ndarray) -> str:
-    system, place = file_system(folder)
-    system.create_dir(place, recursive=True)
-    name = f"{uuid.uuid4().hex}.arrays"
-    with system.open_output_stream(f"{place}/{name}") as out:
-        out.write(np.ascontiguousarray(keys, dtype="<u8"))
-        out.write(np.ascontiguousarray(np.minimum(counts, 2**32 - 1), dtype="<u4"))
-    return f"{folder}/{name}"
-
-
-def _by_range(rows: DataFrame, parts: int) -> DataFrame:
-    """Rows with the number of their hash range, dealt so that a range is in one task."""
-    top = F.shiftrightunsigned(F.col("key"), 33)
-    return rows.withColumn("part", F.floor(top * F.lit(parts) / F.lit(float(1 << 31))).cast("int")).repartition(parts, "part")
-
-
 def _parts_for(rows: float) -> int:
     return int(max(1, -(-rows // _PAIRS_A_PART)))
 
@@ -183,26 +77,6 @@ class Model:
     word_left: float
 
 
-def _files(rows: DataFrame) -> list[tuple[int, int, int, str]]:
-    """File list in the order of ranges; a range is one file, so this is as small as the number of tasks."""
-    return sorted((r["part"], r["low"], r["n"], r["path"]) for r in rows.where("path is not null").select("part", "low", "n", "path").collect())
-
-
-def _collect_ranges(batches):
-    """Per range: joined keys and counts of a task's rows."""
-    held: dict[int, tuple[list, list]] = {}
-    for batch in batches:
-        part = batch.column("part").to_numpy(zero_copy_only=False)
-        key, n = _unsigned(batch.column("key")), batch.column("n").to_numpy(zero_copy_only=False)
-        for p in np.unique(part):
-            own = part == p
-            held.setdefault(int(p), ([], []))
-            held[int(p)][0].append(key[own])
-            held[int(p)][1].append(n[own].astype(np.int64))
-    for p in list(held):
-        yield p, *_tally(*held.pop(p))
-
-
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts from counts of counts; fixed ones where a count of counts is missing."""
     if min(n1, n2, n3) == 0:
@@ -217,17 +91,17 @@ def fit(docs: DataFrame, *, text_col: str = "text") -> Model:
     spark = docs.sparkSession
     folder = new_folder(spark, "language-model")
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = 4 * width(spark)
+    parts = width(spark)
 
     def write_words(batches):
-        for p, keys, counts in _collect_ranges(batches):
+        for p, keys, counts in collect_ranges(batches):
             yield pa.RecordBatch.from_pydict(
-                {"part": [p], "low": [int(keys[:1].view(np.int64)[0])], "n": [len(keys)], "path": [_write_file(folder, keys, counts)], "total": [int(counts.sum())]}
+                {"part": [p], "low": [int(keys[:1].view(np.int64)[0])], "n": [len(keys)], "path": [write_file(folder, keys, counts)], "total": [int(counts.sum())]}
             )
 
-    counted = rows.mapInArrow(_count_rows(lambda texts: hashes(texts)[0]), "key long, n int")
-    manifest = saved(_by_range(counted, parts).mapInArrow(write_words, _FILES + ", total long"), "lm-words")
-    words = _files(manifest)
+    counted = rows.mapInArrow(count_rows(lambda texts: np.unique(hashes(texts)[0], return_counts=True)), "key long, n int")
+    manifest = saved(by_range(counted, parts).mapInArrow(write_words, FILES + ", total long"), "lm-words")
+    words = file_list(manifest)
     n_words = sum(f[2] for f in words)
     n_tokens = int(manifest.agg(F.sum("total")).first()[0] or 0)
     if n_words >= 1 << 32:
@@ -235,18 +109,18 @@ def fit(docs: DataFrame, *, text_col: str = "text") -> Model:
     pair_parts = max(parts, _parts_for(n_tokens))
 
     def pairs_of(texts):
-        store = _open(words)
-        return _pair_hashes(store, texts)[0]
+        store = opened(words)
+        return np.unique(_pair_hashes(store, texts), return_counts=True)
 
     def write_pairs(batches):
-        for p, keys, counts in _collect_ranges(batches):
-            yield _stats(p, keys, counts, _write_file(folder, keys, counts))
+        for p, keys, counts in collect_ranges(batches):
+            yield _stats(p, keys, counts, write_file(folder, keys, counts))
             yield from _partials(p, keys, counts)
 
-    schema = _FILES + ", id long, total long, n1 long, n2 long, n3 long, seen long, ones long, twos long, threes long, fours long"
-    paired = _by_range(rows.mapInArrow(_count_rows(pairs_of), "key long, n int"), pair_parts)
+    schema = FILES + ", id long, total long, n1 long, n2 long, n3 long, seen long, ones long, twos long, threes long, fours long"
+    paired = by_range(rows.mapInArrow(count_rows(pairs_of), "key long, n int"), pair_parts)
     found = saved(paired.mapInArrow(write_pairs, schema), "lm-pairs")
-    pairs = _files(found)
+    pairs = file_list(found)
     moments = found.where("path is not null").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("ones", "twos", "threes", "fours"))).first()
 
     # what each word was as a context and as a continuation, one row a word, in id order within ranges
@@ -321,19 +195,6 @@ def _partials(part: int, keys: np.ndarray, counts: np.ndarray):
         yield _batch(len(words[own]), id=pa.array(words[own]), seen=pa.array(seen[own].astype(np.int64)))
 
 
-_OPEN: dict[str, SortedArrays] = {}
-
-
-def _open(files) -> SortedArrays:
-    """Mapped files, once for each worker; those of an earlier model are let go."""
-    key = files[0][3] if files else ""
-    if key not in _OPEN:
-        if len(_OPEN) > 3:
-            _OPEN.clear()
-        _OPEN[key] = SortedArrays(files)
-    return _OPEN[key]
-
-
 def _word_ids(store: SortedArrays, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Id of each token (-1: unknown) and its count."""
     keys, place = np.unique(flat, return_inverse=True)
@@ -341,11 +202,11 @@ def _word_ids(store: SortedArrays, flat: np.ndarray) -> tuple[np.ndarray, np.nda
     return ids[place], counts[place]
 
 
-def _pair_hashes(store: SortedArrays, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _pair_hashes(store: SortedArrays, texts: list[str]) -> np.ndarray:
     flat, sizes = hashes(texts)
     ids, _ = _word_ids(store, flat)
     end = int(ids[np.cumsum(sizes)[0] - 1])
-    return pair_keys(contexts(ids, sizes, end), ids), sizes
+    return pair_keys(contexts(ids, sizes, end), ids)
 
 
 class _Tables:
@@ -385,7 +246,7 @@ def score_texts(
 
     def run(batches):
         tables = _Tables(model)
-        for batch in slices(batches, "text", _SLICE_BYTES):
+        for batch in slices(batches, "text", SLICE_BYTES):
             found = _score_block(model, tables, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in found)], names=names)
 
@@ -396,7 +257,7 @@ def score_texts(
 def _score_block(model: Model, tables: _Tables, texts: list[str]):
     flat, sizes = hashes(texts)
     keys, place = np.unique(flat, return_inverse=True)
-    ids, counts = _open(model.words).find(keys)
+    ids, counts = opened(model.words).find(keys)
     sums = tables.get(ids)  # hash order is id order
     total, n1, n2, n3, seen = sums.T.astype(np.float64)
     d1, d2, d3 = model.word_discounts
@@ -411,7 +272,7 @@ def _score_block(model: Model, tables: _Tables, texts: list[str]):
     c_pair = np.zeros(len(flat))
     if both_known.any():
         pairs, where = np.unique(pair_keys(ids[before[both_known]], ids[place[both_known]]), return_inverse=True)
-        c_pair[both_known] = _open(model.pairs).find(pairs)[1][where]
+        c_pair[both_known] = opened(model.pairs).find(pairs)[1][where]
     cut = np.select([c_pair >= 3, c_pair == 2, c_pair == 1], [b3, b2, b1], 0.0)
     p = np.maximum(c_pair - cut, 0.0) / np.maximum(total[before], 1.0) + gamma[before] * p_word[place]
     base = np.log10((counts + 0.5) / (model.n_tokens + 0.5 * (model.n_words + 1)))

@@ -151,3 +151,10 @@ def op6_syncmers(spark: SparkSession, sf: str) -> DataFrame:
     from duelframe.llm.syncmers import edited_fingerprints
 
     return edited_fingerprints(table(spark, sf, "documents"))
+
+
+@register("op8_repeats")
+def op8_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    from duelframe.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf, "documents")).drop("kept_text")

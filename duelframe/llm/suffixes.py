@@ -66,17 +66,17 @@ def _tied(head: np.ndarray) -> np.ndarray:
     return np.flatnonzero(~alone)
 
 
-def common_prefixes(codes: np.ndarray, order: np.ndarray, depth: int, sentinel: int = 0) -> np.ndarray:
+def common_prefixes(codes: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """Length of the common prefix of each suffix with the one before it in `order`, up to `depth`.
 
     Kasai: going through the text, the length falls by one at most from a place to the next, so each
-    place starts from what the last one left. The text is cut into stretches that go in step. A
-    sentinel ends the comparison, so that prefixes do not run across texts.
+    place starts from what the last one left. The text is cut into stretches that go in step. The
+    order must be that of whole suffixes.
     """
     n = len(codes)
     previous = np.full(n, -1, dtype=np.int64)
     previous[order[1:]] = order[:-1]
-    padded = np.concatenate([codes, np.full(depth + 1, sentinel, dtype=codes.dtype)])
+    padded = np.concatenate([codes, np.full(depth + 1, -1, dtype=codes.dtype)])
     found = np.zeros(n, dtype=np.int32)
     length = -(-n // _LANES)
     lane = np.arange(0, n, length)
@@ -89,9 +89,7 @@ def common_prefixes(codes: np.ndarray, order: np.ndarray, depth: int, sentinel:
         h = np.where(before < 0, 0, np.maximum(h, 0))
         grow = np.flatnonzero((before >= 0) & (h < depth))
         while len(grow):
-            a = padded[at[grow] + h[grow]]
-            same = (a == padded[before[grow] + h[grow]]) & (a != sentinel)
-            grow = grow[same]
+            grow = grow[padded[at[grow] + h[grow]] == padded[before[grow] + h[grow]]]
             h[grow] += 1
             grow = grow[h[grow] < depth]
         found[at] = h

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelframe.llm.common import bound, saved
+from duelframe.llm.common import bound, keyed, saved
 
 KMER_WORDS = 8
 _END = (1 << 63) - 1
@@ -87,20 +87,6 @@ def neighbours(rows: DataFrame) -> DataFrame:
     )
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Texts with a distinct key, and (key, id, n_chars). The id is the key where ids are distinct.
-
-    Where some id is null or repeated, rows are written once with a number of their own, which is then the key.
-    """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lengths = saved(texts.select("id", F.length("text").cast("long").alias("n_chars")), "lengths")
-    repeated = lengths.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null")
-    if repeated.limit(1).count():
-        texts = saved(texts.withColumn("key", F.monotonically_increasing_id()), "numbered-texts")
-        return texts, texts.select("key", "id", F.length("text").cast("long").alias("n_chars"))
-    return texts.withColumn("key", F.col("id")), lengths.select(F.col("id").alias("key"), "id", "n_chars")
-
-
 def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = KMER_WORDS) -> DataFrame:
     """Fingerprints of texts and of their edited texts, and what they have in common.
 
