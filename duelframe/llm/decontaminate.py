@@ -77,8 +77,9 @@ def phrase_matches(index: DataFrame, windows: DataFrame, terms: DataFrame) -> Da
     wanted = first.join(ranked.select("window_id", "offset", "term_id"), "window_id").select(
         "row", (F.col("start") + F.col("offset")).alias("pos"), "term_id", "start", "window_id", "n"
     )
-    near = postings.join(first.select("row").distinct(), "row", "left_semi")
-    there = wanted.join(near, ["row", "pos", "term_id"], "left_semi")
+    # documents with candidates grow with the corpus, so both joins are planned as merge joins at every size
+    near = postings.join(first.select("row").distinct().hint("merge"), "row", "left_semi")
+    there = wanted.join(near.hint("merge"), ["row", "pos", "term_id"], "left_semi")
     full = there.groupBy("row", "start", "window_id", "n").agg(F.count(F.lit(1)).alias("met"))
     return full.where("met = n").select("row", "start", "window_id", "n")
 
