@@ -4,9 +4,10 @@ Two collections of short keys are made from few min-hashes: `m` keys of `k` min-
 first and a key of the second collection is a table key, so m * m tables cost 2 * m * k min-hashes instead
 of 2 * m * m * k. Documents that share a table key are candidates, and candidates are confirmed on their full shingle sets.
 
-Rows with equal shingle sets are one class from the start. In a bucket, each class is compared with the
-bucket's pivot first; only pairs whose classes are still in different components after that are compared as
-well, so groups of copies cost one comparison a member and yet no candidate pair is left open.
+Rows with equal shingle sets are one class from the start. Every bucket has a pivot, and a pivot's bucket mates are its
+family. Each member is compared with the pivot and with the member next to the pivot. Members that are in
+different components after that are compared as well, unless their sizes or the triangle inequality of the Jaccard
+distance rule a link out. So groups of copies cost two comparisons a member, and no candidate pair is left open.
 
 With k = 3 and m = 14, a pair at similarity 0.8 shares no key with probability 9e-5, at 0.85 with 7e-6.
 
@@ -20,11 +21,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelframe.llm.common import mix64, saved, slices, word_hashes
 from duelframe.llm.graph import components
+from duelframe.llm.set_files import shared_sizes, wanted_ids, write_sets
 
 SHINGLE_WORDS = 5
 SIMILARITY = 80
@@ -87,35 +89,20 @@ def _shingled(docs: DataFrame, id_col: str, text_col: str, n_words: int, keys: i
     return rows.mapInArrow(run, "id long, n_shingles long, set_hash long, keys array<long>")
 
 
-def _pairs_with_sets(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n_words: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough.
+def _similar() -> Column:
+    return F.col("met") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("met")) * SIMILARITY
 
-    Only texts of documents in a pair are read again. The set of b travels with its pair and meets the set of a once
-    per partition of a.
-    """
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(named, "id", "left_semi")
 
-    def run(batches):
-        for batch in slices(batches, "text", _SLICE_BYTES):
-            sets = shingle_sets(batch.column("text").to_pylist(), n_words)
-            ends = pa.array(np.cumsum([0, *(len(s) for s in sets)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "set"])
-
-    sets = texts.mapInArrow(run, "id long, set array<long>")
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    both = pairs.join(right, "b").join(left, "a")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    met = both.select("a", "b", shared.alias("met"), (F.size("set_a") + F.size("set_b")).alias("total"))
-    return met.where(F.col("met") * 100 >= (F.col("total") - F.col("met")) * SIMILARITY).select("a", "b")
-
-
-def _reach(n_a, n_b):
+def _reach(n_a: Column, n_b: Column) -> Column:
     """Whether sets of these sizes can be similar enough at all."""
     return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * SIMILARITY
 
 
+def _distance() -> Column:
+    """Jaccard distance, which obeys the triangle inequality."""
+    return F.lit(1.0) - F.col("met") / F.greatest(F.lit(1), F.col("n_a") + F.col("n_b") - F.col("met"))
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -130,32 +117,51 @@ def near_duplicates(
     shingled = saved(_shingled(known, id_col, text_col, n_words, keys, per_key), "shingled")
     # equal sets are one class, named by its smallest id
     classes = shingled.where("n_shingles > 0").groupBy("set_hash", "n_shingles").agg(F.min("id").alias("class"))
-    heads = shingled.join(classes.select(F.col("class").alias("id")), "id", "left_semi").select("id", "n_shingles", F.explode("keys").alias("key"))
-    bucket = Window.partitionBy("key")
-    # the pivot of a bucket: its first member in an order that all buckets share, so that pairs repeat
-    placed = heads.withColumn("pivot", F.min(F.struct(F.xxhash64("id").alias("order"), F.col("id").alias("id"), F.col("n_shingles").alias("n"))).over(bucket))
-    members = saved(placed.where(F.col("pivot.id") != F.col("id")).select("key", "id", "n_shingles", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "buckets")
-    near = members.where(_reach(F.col("n_shingles"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    star = saved(_pairs_with_sets(saved(near, "star-pairs"), known, id_col, text_col, n_words), "star-links")
-    links = star
+    heads = shingled.join(classes.select(F.col("class").alias("id")), "id", "left_semi").select("id", F.explode("keys").alias("key"))
+    # the pivot of a bucket: its first member in an order that all buckets share, so that pivots repeat
+    first = F.min(F.struct(F.xxhash64("id").alias("order"), F.col("id").alias("id"))).over(Window.partitionBy("key"))
+    placed = heads.select("key", "id", first.alias("pivot")).where(F.col("pivot.id") != F.col("id"))
+    # a family is a pivot with all that share a bucket with it; every two mates of a bucket are in its family
+    family = saved(placed.select(F.col("pivot.id").alias("pivot"), "id").distinct(), "families")
+    named = family.select(F.col("pivot").alias("id")).union(family.select("id")).distinct()
+    texts = known.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    places = write_sets(texts, wanted_ids(named, "wanted"), lambda t: shingle_sets(t, n_words), "sets")
+
+    def compare(pairs: DataFrame, label: str) -> DataFrame:
+        return saved(shared_sizes(pairs, places).select("*", _similar().alias("linked"), _distance().alias("far")), label)
+
+    star = compare(family.select(F.col("pivot").alias("a"), F.col("id").alias("b")), "star")
+    # the member next to the pivot stands for the middle of the family: compared with everyone
+    middle = star.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("middle"))
+    around = star.join(middle, "a").where(F.col("b") != F.col("middle")).select(F.col("a").alias("pivot"), F.col("middle").alias("a"), "b")
+    second = compare(around, "second-star")
+    links = star.where("linked").select("a", "b").union(second.where("linked").select("a", "b"))
     joined = components(links)
-    # what pivots left open: bucket mates in different components
+    # what both left open: family members in different components that the triangle inequality does not part
     label = joined.select(F.col("node").alias("id"), "component")
-    everyone = members.select("key", "id", "n_shingles").union(members.select("key", F.col("pivot").alias("id"), F.col("pivot_n").alias("n_shingles")).distinct())
-    labelled = everyone.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    parts = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    mixed = saved(labelled.join(parts, "key", "left_semi"), "mixed-buckets")
-    one, two = (mixed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n_shingles", "component"))) for s in ("a", "b"))
+    inner = star.join(second.select(F.col("pivot").alias("a"), "b", F.col("far").alias("far_2")), ["a", "b"], "left")
+    members = inner.select(F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("n_b").alias("n"), "far", F.coalesce("far_2", F.lit(0.0)).alias("far_2"))
+    labelled = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = labelled.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("members"))
+    main = sizes.groupBy("pivot").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed = saved(labelled.join(main.select("pivot", "main"), "pivot"), "mixed-families")
+    away = mixed.where("component <> main")
+    one, two = (df.select("pivot", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "far", "far_2", "component", "main"))) for df, s in ((away, "a"), (mixed, "b")))
+    bound = (100 - SIMILARITY) / 100 + 1e-9
     open_pairs = (
-        one.join(two, "key")
-        .where((F.col("component_a") < F.col("component_b")) & _reach(F.col("n_shingles_a"), F.col("n_shingles_b")))
+        one.join(two, "pivot")
+        .where(
+            (F.col("component_a") != F.col("component_b"))
+            & ((F.col("component_b") == F.col("main_b")) | (F.col("id_a") < F.col("id_b")))
+            & _reach(F.col("n_a"), F.col("n_b"))
+            & (F.abs(F.col("far_a") - F.col("far_b")) <= bound)
+            & (F.abs(F.col("far_2_a") - F.col("far_2_b")) <= bound)
+        )
         .select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
         .distinct()
-        .join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
-    rest = saved(open_pairs, "open-pairs")
-    if rest.limit(1).count():
-        more = saved(_pairs_with_sets(rest, known, id_col, text_col, n_words), "more-links")
+    more = compare(open_pairs, "open-pairs").where("linked").select("a", "b")
+    if more.limit(1).count():
         joined = components(links.union(more))
     result = (
         shingled.join(classes, ["set_hash", "n_shingles"], "left")
