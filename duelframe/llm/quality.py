@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duelframe.llm.common import remainder, saved, slices
 
@@ -252,3 +253,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, label_col: str = "qual
 
 def is_held_out(id_column: Column) -> Column:
     return remainder(id_column, 5) == HELD_OUT_REMAINDER
+
+
+def with_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
+    """Every row with its score. Row-local: texts are not shuffled."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
+
+    def run(batches):
+        for batch in slices(batches, text_col, _SLICE_BYTES):
+            stats = np.stack([text_statistics(t or "") for t in batch.column(text_col).to_pylist()]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(stats.astype(np.float64)))], names=[f.name for f in schema.fields])
+
+    return docs.mapInArrow(run, schema)
+
+
+def learn_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", text_col: str = "text") -> QualityModel:
+    """Model from the documents that have a label; only those that can be learnt from are read closely."""
+    stats = saved(document_statistics(docs, text_col=text_col), "quality-statistics")
+    return fit_quality(stats, labels.select("doc_id", label_col), label_col=label_col)
