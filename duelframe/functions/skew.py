@@ -11,7 +11,7 @@ from duelframe.session import shuffle_width
 
 _SALT = "__salt"
 _KEY = "__hot_key"
-_MAX_HOT_KEYS = 64
+_LEAST_TRACKED, _MOST_TRACKED = 10_000, 1_000_000
 
 
 def _key_hash(on: Sequence[str]):
@@ -19,22 +19,29 @@ def _key_hash(on: Sequence[str]):
 
 
 def hot_key_hashes(df: DataFrame, on: Sequence[str], *, share: float | None = None) -> list[int]:
-    """Hashes of keys holding more than `share` of the rows, at most 64 of them.
+    """Hashes of all keys holding more than `share` of the rows: 1 / share of them at most.
 
-    One pass over the key columns with a top-k sketch, so the result is small
-    however many keys there are. An error in the sketch changes only the balance
+    One pass over the key columns with a top-k sketch as large as that number, so the
+    result is small however many keys there are. An error in the sketch changes only the balance
     of the join, never its rows.
     """
     share = share or 1.0 / (4 * shuffle_width(df.sparkSession))
+    most = int(1.0 / share) + 1
+    tracked = min(_MOST_TRACKED, max(_LEAST_TRACKED, 8 * most))
     row = (
         df.select(_key_hash(on).alias(_KEY))
-        .agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k({_KEY}, {_MAX_HOT_KEYS}, 10000)").alias("top"))
+        .agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k({_KEY}, {min(most, tracked)}, {tracked})").alias("top"))
         .first()
     )
     floor = max(1.0, row["n"] * share)
     return [item["item"] for item in (row["top"] or []) if item["count"] > floor and item["count"] > 1]
 
 
+def scattered(key, *spread_by):
+    """A text key whose nulls are spread by other columns; what stands for a null equals no key."""
+    return F.coalesce(key, F.concat(F.lit("\u0000"), F.xxhash64(*spread_by).cast("string")))
+
+
 def salted_lookup(
     left: DataFrame,
     right: DataFrame,

@@ -65,6 +65,11 @@ def _folded(value: Column, fold, ascii_only: bool) -> Column:
     return F.when(plain, F.lower(value)).otherwise(fold(F.when(~plain, value)))
 
 
+def folded_case(value: Column | str) -> Column:
+    """Case-folded text; only rows beyond ASCII leave the JVM."""
+    return _folded(col(value), _fold_case, False)
+
+
 def name_key(value: Column | str, *, ascii_only: bool = False) -> Column:
     """Accent- and case-insensitive name key: runs of other characters become one space."""
     folded = _folded(col(value), _fold_accents, ascii_only)
@@ -84,9 +89,10 @@ def id_key(value: Column | str) -> Column:
     return F.when(F.length(last) > 0, last)
 
 
-def class_label(value: Column | str) -> Column:
+def class_label(value: Column | str, *, ascii_only: bool = False) -> Column:
     """Cleaned context-class label, noise words removed in their fixed order."""
-    label = F.replace(F.lower(F.replace(strip(value), F.lit("_"), F.lit(" "))), F.lit("'"), F.lit(""))
+    spaced = F.replace(strip(value), F.lit("_"), F.lit(" "))
+    label = F.replace(_folded(spaced, _fold_case, ascii_only), F.lit("'"), F.lit(""))
     for noise in fv.CLASS_LABEL_NOISE:
         label = F.replace(label, F.lit(noise), F.lit(" "))
     return collapse_spaces(label)

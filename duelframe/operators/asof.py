@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelframe import fixed_values as fv
-from duelframe.functions.skew import salted_lookup
+from duelframe.functions.skew import salted_lookup, scattered
 from duelframe.functions.values import finite_or_null
 
 OK, UNKNOWN, UNAVAILABLE, DUPLICATE = "ok", "not_found", "snapshot_unavailable", "duplicate_snapshot"
@@ -71,7 +71,11 @@ def strict_asof(
             F.when(F.col("__hit.__n") == 1, F.col("__hit.__row")).alias(out),
         )
     )
-    keyed = requests.withColumns({"__id": F.col(entity_id), "__day": F.col(reference).cast("date")})
+    id_of = F.col(entity_id)
+    if dict(requests.dtypes)[entity_id] == "string":
+        plain = [c for c, kind in requests.dtypes if kind in ("string", "date", "timestamp", "bigint", "int")]
+        id_of = scattered(id_of, *[F.col(f"`{c}`") for c in plain])
+    keyed = requests.withColumns({"__id": id_of, "__day": F.col(reference).cast("date")})
     keys = ["__id", "__day"]
     joined = salted_lookup(keyed, answers, keys, spread_by=spread_by) if spread_by else keyed.join(answers, keys, "left")
     return joined.drop(*keys).withColumn("snapshot_status", F.coalesce("snapshot_status", F.lit(UNKNOWN)))

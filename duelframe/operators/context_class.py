@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelframe import fixed_values as fv
-from duelframe.functions.text import blank_to_null, class_label, lookup, sql_text, strip
+from duelframe.functions.text import blank_to_null, class_label, folded_case, lookup, sql_text, strip
 
 _CODES = [code for code, _, _, _ in fv.CONTEXT_CLASSES]
 
@@ -109,7 +109,7 @@ def supported_classes(train: DataFrame, column: str = "division") -> DataFrame:
 
 
 def known_stance(missing_flag: Column, stance: Column) -> Column:
-    """Stance text in lower case, null when flagged missing or not a stance."""
-    word = F.lower(blank_to_null(stance))
+    """Case-folded stance text, null when flagged missing or not a stance."""
+    word = folded_case(blank_to_null(stance))
     flag = F.when(F.abs(missing_flag) < float("inf"), missing_flag)
     return F.when((F.coalesce(flag, F.lit(1.0)) < 0.5) & ~word.isin(*fv.UNKNOWN_STANCES), word)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelframe import fixed_values as fv
+from duelframe.functions.skew import scattered
 from duelframe.functions.text import blank_to_null, id_key, is_blank, name_key, simple_name_key, strip
 from duelframe.functions.values import iso_date
 
@@ -146,9 +147,10 @@ def resolve(
     )
     if not explicit_id:
         return out.select("query", "explicit_id", "status", "entity_id", "candidates", code.alias("error_code"))
-    wanted = out.withColumn("wanted", id_key("explicit_id"))
+    # most queries come without an id: their nulls must not meet in one task
+    wanted = out.withColumn("wanted", id_key("explicit_id")).withColumn("__wanted", scattered(F.col("wanted"), "query"))
     checked = wanted.join(
-        ids.select(F.col("entity_id").alias("wanted"), F.lit(True).alias("wanted_known")), "wanted", "left"
+        ids.select(F.col("entity_id").alias("__wanted"), F.lit(True).alias("wanted_known")), "__wanted", "left"
     ).join(
         index.select("name_key", F.col("entity_id").alias("wanted"), F.lit(True).alias("wanted_named")), ["name_key", "wanted"], "left"
     )

@@ -25,6 +25,7 @@ from duelframe.session import shuffle_width
 
 _BUCKET = "__bucket"
 _ONE = "__all"
+_GROUP = "__group"
 
 METRIC_COLUMNS = (
     "sample_count", "positive_count", "prevalence", "log_loss", "brier_score", "roc_auc",
@@ -41,6 +42,18 @@ def _check_bins(n_bins: int, strategy: str) -> None:
         raise ValueError("strategy must be 'uniform' or 'quantile'.")
 
 
+def _grouped(scored: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
+    """Group columns as one struct, which is never null itself, so that null groups join like any other."""
+    if not by:
+        return scored, []
+    rest = [c for c in scored.columns if c not in by]
+    return scored.select(F.struct(*by).alias(_GROUP), *rest), [_GROUP]
+
+
+def _ungrouped(by: list[str]) -> list[Column]:
+    return [F.col(f"{_GROUP}.`{name}`").alias(name) for name in by]
+
+
 def _check_threshold(threshold: float) -> None:
     if not 0.0 < threshold < 1.0:
         raise ValueError("threshold must lie strictly between 0 and 1.")
@@ -125,9 +138,10 @@ def reliability_bins(
             .withColumn("upper_bound", _uniform_edge(F.col("bin_index") + 1, F.lit(n_bins)))
         )
     else:
-        ranked = _ranked_scores(scored, by, n_bins=n_bins, strategy=strategy, adaptive=False, buckets=buckets)
+        packed, keys = _grouped(scored, by)
+        ranked = _ranked_scores(packed, keys, n_bins=n_bins, strategy=strategy, adaptive=False, buckets=buckets)
         binned = (
-            ranked.groupBy(*by, "bin_index")
+            ranked.groupBy(*keys, "bin_index")
             .agg(
                 F.sum("__n").alias("count"),
                 F.sum(F.col("__p") * F.col("__n")).alias("__sum_p"),
@@ -135,6 +149,7 @@ def reliability_bins(
                 F.min("lower_bound").alias("lower_bound"),
                 F.max("upper_bound").alias("upper_bound"),
             )
+            .select(*_ungrouped(by), "bin_index", "count", "__sum_p", "__pos", "lower_bound", "upper_bound")
         )
     return (
         binned.withColumn("mean_probability", F.col("__sum_p") / F.col("count"))
@@ -153,8 +168,9 @@ def quantile_edges(
     """Exact quantile bin edges, distinct, with 0 and 1 at the ends."""
     _check_bins(n_bins, "quantile")
     scored = df.select(*by, F.lit(0).alias("__y"), F.col(p).alias("__p"))
-    prefix = _prefix_rows(scored, list(by), buckets)
-    return _edges_from_prefix(prefix, list(by), F.lit(n_bins)).drop(_ONE)
+    packed, keys = _grouped(scored, list(by))
+    prefix = _prefix_rows(packed, keys, buckets)
+    return _edges_from_prefix(prefix, keys, F.lit(n_bins)).select(*_ungrouped(list(by)), "edges")
 
 
 def calibration_error(
@@ -180,7 +196,7 @@ def score_ranges(df: DataFrame, p: str, buckets: int | None = None) -> list[floa
     branch and every retry of the plan.
     """
     if buckets is None:
-        buckets = min(2048, max(4, 4 * shuffle_width(df.sparkSession)))
+        buckets = max(4, 4 * shuffle_width(df.sparkSession))
     if buckets < 2:
         return []
     shares = [i / buckets for i in range(1, buckets)]
@@ -223,7 +239,7 @@ def _prefix_rows(scored: DataFrame, by: list[str], buckets: int | None, cuts: Se
     keys = by or [_ONE]
     # stated here once, so that the join below adds no filter to one branch only and
     # both branches share one shuffle of the per-score sums
-    base = scored.dropna(subset=by) if by else scored.withColumn(_ONE, F.lit(0))
+    base = scored if by else scored.withColumn(_ONE, F.lit(0))
     totals_of_score = (
         _with_range(base, cuts)
         .groupBy(*keys, _BUCKET, "__p")
@@ -408,7 +424,7 @@ def binary_metrics(
 ) -> DataFrame:
     """All 18 metrics, one row per group (one row when `by` is empty).
 
-    Group columns must not be null. Without `ranking`, uniform bins are filled in
+    Rows whose group is null are a group of their own. Without `ranking`, uniform bins are filled in
     one pass and the two ranking metrics stay null. With `rows`, every input row
     stands for that many rows and `y` is the number of positives among them.
     """
@@ -439,8 +455,9 @@ def binary_metrics(
         )
         return _fold_bins(binned, by, threshold, ranking=False)
 
+    packed, keys = _grouped(scored, by)
     ranked = _ranked_scores(
-        scored, by, n_bins=n_bins, strategy=strategy, adaptive=adaptive_bins, buckets=buckets, cuts=cuts
+        packed, keys, n_bins=n_bins, strategy=strategy, adaptive=adaptive_bins, buckets=buckets, cuts=cuts
     )
     n, pos = F.col("__n"), F.col("__pos")
     neg = n - pos
@@ -448,7 +465,7 @@ def binary_metrics(
     neg_below = F.col("__n_below") - F.col("__pos_below")
     tp_at = F.col("__positives") - F.col("__pos_below")
     called_at = F.col("__total") - F.col("__n_below")
-    binned = ranked.groupBy(*by, "bin_index").agg(
+    binned = ranked.groupBy(*keys, "bin_index").agg(
         F.sum(n).alias("__n"),
         F.sum(pos).alias("__pos"),
         F.sum(prob * n).alias("__sum_p"),
@@ -459,4 +476,6 @@ def binary_metrics(
         F.sum(pos * (neg_below + neg / 2.0)).alias("__auc"),
         F.sum(pos * (tp_at / called_at)).alias("__ap"),
     )
+    if by:
+        binned = binned.select(*_ungrouped(by), *[c for c in binned.columns if c != _GROUP])
     return _fold_bins(binned, by, threshold, ranking=True)

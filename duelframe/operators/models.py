@@ -402,7 +402,3 @@ def importance_table(spark, model: PipelineModel, names: Sequence[str]) -> DataF
         raise ValueError("importance length does not match the feature list")
     rows = [(n, float(v)) for n, v in zip(names, values)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
-
-
-def rename_candidate(candidate, name: str):
-    return replace(candidate, name=name)

@@ -21,7 +21,15 @@ from duelframe import fixed_values as fv
 
 # any fixed order is correct; rare characters first makes the heads selective
 _RARE_FIRST = "zqxj9876543kvbpygfwmu2clrhd1snioate 0"
-_SHORT = 2
+
+
+def _short(cutoff: float) -> int:
+    """Longest name that can reach the cutoff with a partner of one character by one shared character.
+
+    One shared character is enough only if both lengths together are 2 / cutoff at most, so only if
+    both names are this short; every other pair in reach shares two.
+    """
+    return max(2, int(2.0 / cutoff + 1e-9) - 1)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -60,8 +68,8 @@ def _head(cutoff: float) -> Column:
     return F.slice("tokens", 1, F.greatest(F.lit(1), F.least(length, length - shared + 2)))
 
 
-def _block_keys() -> Column:
-    """Pairs of head tokens, and single tokens for very short names."""
+def _block_keys(short: int) -> Column:
+    """Pairs of head tokens, and single tokens for names that one shared character may match."""
     head = F.col("head")
     pairs = F.flatten(
         F.transform(
@@ -69,20 +77,20 @@ def _block_keys() -> Column:
             lambda t, i: F.transform(F.slice(head, i + 2, F.size(head)), lambda u: F.concat_ws("-", t, u)),
         )
     )
-    singles = F.when(F.col("len") <= _SHORT, F.transform("tokens", lambda t: t.cast("string"))).otherwise(F.array().cast("array<string>"))
+    singles = F.when(F.col("len") <= short, F.transform("tokens", lambda t: t.cast("string"))).otherwise(F.array().cast("array<string>"))
     return F.concat(pairs, singles)
 
 
 def _blocked(keys: DataFrame, cutoff: float) -> DataFrame:
     framed = keys.withColumn("len", F.length("name_key")).withColumn("tokens", _tokens(F.col("name_key")))
     framed = framed.withColumn("head", _head(cutoff))
-    return framed.select("name_key", "len", "tokens", "head", F.explode(_block_keys()).alias("block"))
+    return framed.select("name_key", "len", "tokens", "head", F.explode(_block_keys(_short(cutoff))).alias("block"))
 
 
-def _first_block() -> Column:
+def _first_block(short: int) -> Column:
     """The one block a pair is taken from, so that no pair is produced twice."""
     common = F.array_intersect("qh", "head")
-    both_short = (F.col("ql") <= _SHORT) & (F.col("len") <= _SHORT)
+    both_short = (F.col("ql") <= short) & (F.col("len") <= short)
     single = F.get(F.array_intersect("qt", "tokens"), F.lit(0)).cast("string")
     pair = F.concat_ws("-", F.get(common, F.lit(0)), F.get(common, F.lit(1)))
     return F.when(both_short, single).otherwise(pair)
@@ -91,7 +99,12 @@ def _first_block() -> Column:
 def close_keys(
     queries: DataFrame, index_keys: DataFrame, *, cutoff: float = fv.SUGGESTION_CUTOFF, limit: int = 2 * fv.SUGGESTION_LIMIT
 ) -> DataFrame:
-    """Best index keys of every query key: highest ratio first, then text order descending."""
+    """Best index keys of every query key: highest ratio first, then text order descending.
+
+    Every pair at or above the cutoff is found, whatever the cutoff; low cutoffs compare more pairs.
+    """
+    if not 0.0 < cutoff <= 1.0:
+        raise ValueError("a cutoff lies above 0 and is 1 at most")
     left = _blocked(queries.select("name_key").where("name_key <> ''").distinct(), cutoff)
     right = _blocked(index_keys.select("name_key").distinct(), cutoff)
     left = left.select(F.col("name_key").alias("query_key"), F.col("len").alias("ql"), F.col("tokens").alias("qt"), F.col("head").alias("qh"), "block")
@@ -100,7 +113,7 @@ def close_keys(
     bound = 2.0 * F.least(F.col("ql"), F.col("len")) >= total * (cutoff - 1e-9)
     pairs = (
         left.join(right, "block")
-        .where(bound & (F.col("block") == _first_block()) & (2.0 * overlap >= total * (cutoff - 1e-9)))
+        .where(bound & (F.col("block") == _first_block(_short(cutoff))) & (2.0 * overlap >= total * (cutoff - 1e-9)))
         .select("query_key", "name_key")
     )
     scored = pairs.withColumn("ratio", _ratio("name_key", "query_key")).where(F.col("ratio") >= cutoff)

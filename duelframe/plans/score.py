@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelframe import fixed_values as fv
-from duelframe.functions.skew import hot_key_hashes, salted_lookup
+from duelframe.functions.skew import hot_key_hashes, salted_lookup, scattered
 from duelframe.functions.text import blank_to_null, id_key, sql_array, strip
 from duelframe.functions.values import clip, is_finite, iso_date
 from duelframe.operators import asof, identity, serving
@@ -317,9 +317,11 @@ def split_outcomes(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
 def rejection_table(rejected: DataFrame, snapshots: DataFrame, *, columns: fv.Columns = fv.Columns()) -> DataFrame:
     """Rejected requests with a message that is safe to show."""
     names = identity.latest_records(snapshots, columns=columns).select(
-        F.col("entity_id").alias("failed_entity_id"), F.col("display_name").alias("failed_name")
+        F.col("entity_id").alias("__failed"), F.col("display_name").alias("failed_name")
     )
-    joined = rejected.join(names, "failed_entity_id", "left")
+    # only two codes name an entity; the other rows are spread over all tasks
+    keyed = rejected.withColumn("__failed", scattered(F.col("failed_entity_id"), F.col(rejected.columns[0])))
+    joined = keyed.join(names, "__failed", "left").drop("__failed")
     blank = F.lit(None).cast("string")
     message = serving.rejection_message(
         "error_code", entity=F.col("failed_name"), reference=F.col("ref_date"), first=F.col("available_first"),

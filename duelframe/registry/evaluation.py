@@ -72,6 +72,44 @@ def roc_auc(spark, sf):
     return rounded(m.binary_metrics(fx.scored(spark, sf), p="p2").select("roc_auc"), "roc_auc")
 
 
+NULL_GROUP_SQL = """raw AS (
+      SELECT CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS g, CAST(o_orderstatus = 'F' AS INT) AS y, (o_custkey % 97) / 97.0::DOUBLE AS p
+      FROM orders)"""
+
+
+def _null_groups(spark, sf):
+    orders = table(spark, sf, "orders")
+    group = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority"))
+    return orders.select(group.alias("g"), (F.col("o_orderstatus") == "F").cast("int").alias("y"), ((F.col("o_custkey") % 97) / 97.0).alias("p"))
+
+
+@query(
+    "e04_auc_null_group",
+    f"""WITH {NULL_GROUP_SQL},
+    k AS (SELECT g, p, COUNT(*) AS n, SUM(y) AS pos FROM raw GROUP BY g, p),
+    b AS (SELECT g, n, pos, COALESCE(SUM(n - pos) OVER (PARTITION BY g ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM k)
+    SELECT g, CAST(SUM(n) AS BIGINT) AS sample_count, round(CAST(SUM(pos * (below + (n - pos) / 2.0)) / (SUM(pos) * (SUM(n) - SUM(pos))) AS DOUBLE), 6) AS roc_auc
+    FROM b GROUP BY g""",
+)
+def auc_null_group(spark, sf):
+    """A null group is a group of its own."""
+    out = m.binary_metrics(_null_groups(spark, sf), by=["g"])
+    return rounded(out.select("g", F.col("sample_count").cast("bigint").alias("sample_count"), "roc_auc"), "roc_auc")
+
+
+@query(
+    "e09_quantile_null_group",
+    f"""WITH {NULL_GROUP_SQL},
+    points AS (SELECT g, list_sort(list_distinct(quantile_cont(p, [i * (1.0::DOUBLE / 5) FOR i IN range(0, 5)] || [1.0::DOUBLE]))) AS e FROM raw GROUP BY g),
+    edges AS (SELECT g, CASE WHEN len(e) < 3 THEN [0.0::DOUBLE, 1.0::DOUBLE] ELSE [0.0::DOUBLE] || e[2:len(e)-1] || [1.0::DOUBLE] END AS e FROM points),
+    binned AS (SELECT raw.g, y, p, list_count(list_filter(e[2:len(e)-1], lambda x: x <= p)) AS b FROM raw JOIN edges ON raw.g IS NOT DISTINCT FROM edges.g)
+    SELECT g, CAST(b AS INT) AS bin_index, COUNT(*) AS count, round(AVG(y), 6) AS observed_rate FROM binned GROUP BY g, b""",
+)
+def quantile_null_group(spark, sf):
+    out = m.reliability_bins(_null_groups(spark, sf), by=["g"], n_bins=5, strategy="quantile")
+    return rounded(out.select("g", "bin_index", F.col("count").cast("bigint").alias("count"), "observed_rate"), "observed_rate")
+
+
 @query(
     "e05_average_precision",
     f"""WITH {fx.SCORED_SQL}, rows_in AS (SELECT y, p FROM scored), {_rank_sql("p")}

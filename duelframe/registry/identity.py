@@ -13,29 +13,22 @@ from duelframe.operators.serving import redact_ids
 from duelframe.registry import fixtures as fx
 from duelframe.registry.base import query, table
 
-ASCII = "regexp_full_match(text, '[\\x00-\\x7F]*')"
+# sharp s is the one letter of these texts whose folded form is not its lower case
+FOLDED = "lower(replace(replace({x}, 'ß', 'ss'), 'ẞ', 'ss'))"
 SPACES = "[\\t\\n\\x0B\\f\\r\\x1C-\\x1F ]+"
 
 
 @query(
     "i01_name_key",
-    f"SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS name_key FROM documents WHERE {ASCII}",
+    f"SELECT doc_id, trim(regexp_replace(strip_accents({FOLDED.format(x='text')}), '[^a-z0-9]+', ' ', 'g')) AS name_key FROM documents",
 )
 def name_keys(spark, sf):
-    plain = table(spark, sf, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return plain.select("doc_id", name_key("text").alias("name_key"))
-
-
-@query("i01_name_key_all")
-def name_keys_all(spark, sf):
-    """Every text, accented ones included; no SQL function decomposes characters."""
     return table(spark, sf, "documents").select("doc_id", name_key("text").alias("name_key"))
 
 
-@query("i02_simple_name_key", f"SELECT doc_id, trim(regexp_replace(lower(text), '{SPACES}', ' ', 'g')) AS name_key FROM documents WHERE {ASCII}")
+@query("i02_simple_name_key", f"SELECT doc_id, trim(regexp_replace({FOLDED.format(x='text')}, '{SPACES}', ' ', 'g')) AS name_key FROM documents")
 def simple_keys(spark, sf):
-    plain = table(spark, sf, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return plain.select("doc_id", simple_name_key("text").alias("name_key"))
+    return table(spark, sf, "documents").select("doc_id", simple_name_key("text").alias("name_key"))
 
 
 @query(
@@ -275,21 +268,20 @@ def pairs(spark, sf):
     return fx.requests(spark, sf).groupBy(i.same_entity("a_id", "b_id").alias("same_entity")).agg(F.count(F.lit(1)).alias("n"))
 
 
-CLASS_SQL = """replace(replace(replace(replace(replace(replace(replace(lower(replace(trim({x}), '_', ' ')), '''', ''), 'ufc ', ' '), ' interim ', ' '), ' title ', ' '),
+CLASS_SQL = """replace(replace(replace(replace(replace(replace(replace(lower(replace(replace(trim({x}), '_', ' '), 'ß', 'ss')), '''', ''), 'ufc ', ' '), ' interim ', ' '), ' title ', ' '),
     ' tournament ', ' '), ' superfight ', ' '), ' bout', ' ')"""
 
 
 @query(
     "f01_class_label",
-    f"""WITH t AS (SELECT doc_id, 'UFC ' || replace(text, ' ', CASE doc_id % 3 WHEN 0 THEN '_' WHEN 1 THEN ' title ' ELSE ' bout ' END) AS raw FROM documents WHERE {ASCII})
+    f"""WITH t AS (SELECT doc_id, 'UFC ' || replace(text, ' ', CASE doc_id % 3 WHEN 0 THEN '_' WHEN 1 THEN ' title ' ELSE ' bout ' END) AS raw FROM documents)
     SELECT doc_id, trim(regexp_replace({CLASS_SQL.format(x="raw")}, '{SPACES}', ' ', 'g')) AS label FROM t""",
 )
 def class_labels(spark, sf):
     kind = F.col("doc_id") % 3
     joint = F.when(kind == 0, "_").when(kind == 1, " title ").otherwise(" bout ")
     raw = F.concat(F.lit("UFC "), F.replace(F.col("text"), F.lit(" "), joint))
-    plain = table(spark, sf, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return plain.select("doc_id", class_label(raw).alias("label"))
+    return table(spark, sf, "documents").select("doc_id", class_label(raw).alias("label"))
 
 
 @query(

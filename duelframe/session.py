@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -45,23 +42,6 @@ def build_session(
     return spark
 
 
-def cut_lineage(df):
-    """Reliable checkpoint in the shared folder the cluster names.
-
-    A machine-local folder is used only where the cluster names none (tests).
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            shared = tempfile.mkdtemp(prefix="duelframe-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
-        context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     """Configured number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

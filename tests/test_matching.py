@@ -179,3 +179,25 @@ def test_refresh_edges(spark):
     assert [r["refresh_error"] for r in got] == ["birth_not_before_reference", "age_missing", None, "event_after_reference"]
     assert (got[2]["feature_activity_365d"], got[2]["feature_activity_730d"]) == (0.0, 5.0)
     assert got[2]["layoff_days"] == 366 and got[1]["layoff_days"] is None
+
+
+@pytest.mark.parametrize("cutoff", [0.1, 0.3, 0.5, 0.72, 0.95])
+def test_close_keys_at_any_cutoff(spark, cutoff):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(int(cutoff * 100))
+    names = sorted({"".join(rng.choice("abcxy") for _ in range(rng.randint(1, 6))) for _ in range(60)} | {"a", "abc", "axy"})
+    frame = spark.createDataFrame([(n,) for n in names], "name_key string")
+    got = {(r["query_key"], r["name_key"]) for r in suggest.close_keys(frame, frame, cutoff=cutoff, limit=1_000).collect()}
+    want = {(q, n) for q in names for n in names if SequenceMatcher(None, n, q).ratio() >= cutoff}
+    assert got == want
+
+
+def test_cutoff_must_be_a_share(spark):
+    frame = spark.createDataFrame([("a",)], "name_key string")
+    with pytest.raises(ValueError):
+        suggest.close_keys(frame, frame, cutoff=0.0)
+
+
+def test_class_label_folds_case(spark):
+    assert one(spark, "Straße Bout", class_label) == "strasse"

@@ -139,3 +139,15 @@ def test_one_segment_holding_most_rows(spark):
     alone = m.binary_metrics(df.where("g = 'hot'"), buckets=5).first()
     assert hot["roc_auc"] == pytest.approx(alone["roc_auc"], abs=1e-12)
     assert hot["expected_calibration_error"] == pytest.approx(alone["expected_calibration_error"], abs=1e-12)
+
+
+def test_null_groups_are_groups(spark):
+    from duelframe.operators.metrics import binary_metrics, quantile_edges, reliability_bins
+
+    rows = [(g, i % 2, (i % 10) / 10) for i in range(60) for g in ("a", "b", None)]
+    df = spark.createDataFrame(rows, "g string, y int, p double")
+    ranked = {r["g"]: (r["sample_count"], r["roc_auc"]) for r in binary_metrics(df, by=["g"]).collect()}
+    assert set(ranked) == {"a", "b", None} and len(set(ranked.values())) == 1
+    bins = reliability_bins(df, by=["g"], strategy="quantile", n_bins=4).groupBy("g").count().collect()
+    assert {r["g"] for r in bins} == {"a", "b", None} and len({r["count"] for r in bins}) == 1
+    assert {r["g"] for r in quantile_edges(df, by=["g"]).collect()} == {"a", "b", None}
