@@ -241,6 +241,20 @@ MSG_UNSUPPORTED = (
 # --- fixed values: public messages for rejected requests ------------------------------------
 
 MSG_SAME = "Choose two different fighters."
+MSG_NO_MATCH = "No fighter matched {}"
+MSG_CLOSE = ". Close matches: {}"
+MSG_OTHER_ID = "{} does not refer to fighter_id {}"
+MSG_REPEATED = "fighter {} has {} snapshots on {}"
+MSG_POST_CUTOFF = "The current server date is after the model cutoff and post-cutoff prediction is disabled"
+MSG_CLASS_UNSUPPORTED = "unsupported division {}; supply division_lbs and is_womens to score it explicitly"
+MSG_CLASS_REQUIRED = "division is required when it cannot be inferred from both snapshots"
+MSG_CLASS_WEIGHT = "catchweight predictions require an explicit division_lbs"
+MSG_STATE_MISSING = "{} has UFC history but no reconstructable division-specific rating state"
+MSG_STATE_MISMATCH = (
+    "{}'s snapshot stores division-specific ratings for {}, not requested division {}; "
+    "per-division history is required to score a division change"
+)
+SIDE_NAMES = ("fighter A", "fighter B")
 MSG_AMBIGUOUS = "More than one fighter matches that name. Use a more specific full name."
 MSG_GENERIC = "The prediction service could not complete this request. Please try again later."
 

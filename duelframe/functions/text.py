@@ -104,6 +104,23 @@ def parse_bool(value: Column | str) -> Column:
     return F.when(word.isin(*fv.TRUE_WORDS), F.lit(True)).when(word.isin(*fv.FALSE_WORDS), F.lit(False))
 
 
+def quoted(value: Column) -> Column:
+    """Text in quotes: single ones, or double ones where it holds a single and no double one."""
+    text = F.replace(value, F.lit("\\"), F.lit("\\\\"))
+    single = F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    doubled = F.contains(value, F.lit("'")) & ~F.contains(value, F.lit('"'))
+    return F.when(doubled, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(single)
+
+
+def filled(template: str, *values: Column) -> Column:
+    """A message with its gaps filled in; null if a value is null."""
+    pieces = template.split("{}")
+    parts = [F.lit(pieces[0])]
+    for value, piece in zip(values, pieces[1:], strict=True):
+        parts += [value.cast("string"), F.lit(piece)]
+    return F.concat(*parts)
+
+
 def sql_text(value: str) -> str:
     """Text as a SQL literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -24,6 +24,7 @@ def strict_asof(
     as_of: str = "as_of",
     out: str = "snapshot",
     spread_by: Sequence[str] = (),
+    repeats: str | None = None,
 ) -> DataFrame:
     """Requests with the chosen snapshot as a struct, its status and the available dates.
 
@@ -33,6 +34,8 @@ def strict_asof(
     answers then join back on (entity, day); with `spread_by`, requests of a very
     common (entity, day) are salted over many tasks.
 
+    With `repeats`, a struct of that name holds the number of rows on a date that is there more than once, and the date.
+
     Status is `ok`, `not_found`, `snapshot_unavailable` or `duplicate_snapshot`. Only
     repeats on the selected date count as duplicates. Snapshots on the reference
     date itself are never used.
@@ -51,7 +54,7 @@ def strict_asof(
     whole = Window.partitionBy("__id")
     is_snapshot = F.col("__kind") == 1
     dated = is_snapshot & F.col("__day").isNotNull()
-    hit = F.last(F.when(dated, F.struct("__n", "__row")), ignorenulls=True).over(upto)
+    hit = F.last(F.when(dated, F.struct("__n", "__row", "__day")), ignorenulls=True).over(upto)
     answers = (
         timeline.select(
             "__id", "__day", "__kind",
@@ -69,6 +72,7 @@ def strict_asof(
             .otherwise(F.lit(OK))
             .alias("snapshot_status"),
             F.when(F.col("__hit.__n") == 1, F.col("__hit.__row")).alias(out),
+            *([F.when(F.col("__hit.__n") > 1, F.struct(F.col("__hit.__n").alias("n"), F.col("__hit.__day").alias("day"))).alias(repeats)] if repeats else []),
         )
     )
     id_of = F.col(entity_id)

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from duelframe import fixed_values as fv
 from duelframe.functions.skew import hot_key_hashes, salted_lookup, scattered
-from duelframe.functions.text import blank_to_null, id_key, sql_array, strip
+from duelframe.functions.text import blank_to_null, filled, id_key, name_key, quoted, sql_array, strip
 from duelframe.functions.values import clip, is_finite, iso_date
+from duelframe.operators.suggest import suggestions
 from duelframe.operators import asof, identity, serving
 from duelframe.operators.confidence import SupportPolicy, with_support_grade
 from duelframe.operators.context_class import class_state_error, inferred_class, snapshot_class, uses_class_state, with_class
@@ -85,7 +86,7 @@ def entity_states(sides: DataFrame, snapshots: DataFrame, plan: ScoringPlan, ali
         "left",
     ).select("s.side_key", "s.query", "s.ref_date", "r.entity_id", F.col("r.error_code").alias("resolve_error"))
     keyed = snapshots.withColumn("__entity", id_key(F.col(c.entity_id).cast("string")))
-    joined = asof.strict_asof(matched, keyed, snapshot_id="__entity", as_of=c.as_of)
+    joined = asof.strict_asof(matched, keyed, snapshot_id="__entity", as_of=c.as_of, repeats="repeated")
 
     fields = keyed.columns
     text = lambda name: F.col(f"snapshot.`{name}`").cast("string") if name in fields else F.lit(None).cast("string")
@@ -107,6 +108,7 @@ def entity_states(sides: DataFrame, snapshots: DataFrame, plan: ScoringPlan, ali
         F.when(F.col("snapshot_status") != asof.OK, F.col("snapshot_status")).alias("snapshot_error"),
         "available_first",
         "available_last",
+        "repeated",
         as_of.alias("as_of"),
         F.datediff("ref_date", as_of).alias("snapshot_age"),
         who.alias("who"),
@@ -246,7 +248,17 @@ def _predictions(scored: DataFrame, plan: ScoringPlan, names: list[str], request
     graded = with_support_grade(measured, policy=plan.policy)
     graded = graded.withColumns({n: F.when(ok, F.col(n)) for n in ("confidence_score", "confidence_tier", "warnings")})
     p = F.col("probability_a")
-    failed = F.when(F.col("error_code").isin("snapshot_unavailable", "duplicate_snapshot"), F.when(F.col("a.snapshot_error").isNotNull(), F.col("a")).otherwise(F.col("b")))
+    # the side that the first error came from
+    state_error = class_state_error(F.col("prior_a"), F.col("a.class_state"), F.col("class_code"))
+    on_a = (
+        F.when(F.col("a.resolve_error").isNotNull(), F.lit(True))
+        .when(F.col("b.resolve_error").isNotNull(), F.lit(False))
+        .when(F.col("a.snapshot_error").isNotNull(), F.lit(True))
+        .when(F.col("b.snapshot_error").isNotNull(), F.lit(False))
+        .otherwise(state_error.isNotNull())
+    )
+    side = lambda name: F.when(on_a, F.col(f"a.{name}")).otherwise(F.col(f"b.{name}"))
+    on_snapshot = F.col("error_code").isin("snapshot_unavailable", "duplicate_snapshot")
     orientation = lambda first, second, raw, cal: F.when(
         ok,
         F.struct(
@@ -293,12 +305,25 @@ def _predictions(scored: DataFrame, plan: ScoringPlan, names: list[str], request
         F.when(ok, F.map_from_arrays(F.expr(sql_array(names)), F.col("x_ba"))).alias("features_b_vs_a"),
         "query_a",
         "query_b",
-        failed["entity_id"].alias("failed_entity_id"),
-        failed["available_first"].alias("available_first"),
-        failed["available_last"].alias("available_last"),
+        F.when(on_snapshot, side("entity_id")).alias("failed_entity_id"),
+        F.when(on_snapshot, side("available_first")).alias("available_first"),
+        F.when(on_snapshot, side("available_last")).alias("available_last"),
+        F.when(~ok, F.when(on_a, F.col("query_a")).otherwise(F.col("query_b"))).alias("failed_query"),
+        F.when(~ok, F.when(on_a, F.col("id_a")).otherwise(F.col("id_b")).cast("string")).alias("failed_id"),
+        F.when(~ok, F.when(on_a, F.lit(fv.SIDE_NAMES[0])).otherwise(F.lit(fv.SIDE_NAMES[1]))).alias("failed_side"),
+        F.when(~ok, side("class_state")).alias("failed_state"),
+        F.when(~ok, F.col("__label")).alias("failed_label"),
+        F.when(~ok, code).alias("failed_class"),
+        F.when(on_snapshot, side("repeated")).alias("failed_repeats"),
     )
 
 
+FAILURE_FIELDS = (
+    "failed_entity_id", "available_first", "available_last", "failed_query", "failed_id", "failed_side", "failed_state", "failed_label", "failed_class",
+    "failed_repeats",
+)
+
+
 def split_outcomes(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Predictions and rejected requests. Persist or write `scored` before using both.
 
@@ -306,25 +331,72 @@ def split_outcomes(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     would otherwise be pushed down as a copy of the whole computation.
     """
     sealed = scored.select(F.inline(F.array(F.struct("*"))))
-    failure = ("failed_entity_id", "available_first", "available_last")
     key = scored.columns[0]
     return (
-        sealed.where("error_code IS NULL").drop("error_code", *failure),
-        sealed.where("error_code IS NOT NULL").select(key, "error_code", "query_a", "query_b", "ref_date", *failure),
+        sealed.where("error_code IS NULL").drop("error_code", *FAILURE_FIELDS),
+        sealed.where("error_code IS NOT NULL").select(key, "error_code", "query_a", "query_b", "ref_date", *FAILURE_FIELDS),
+    )
+
+
+def _detail() -> Column:
+    """What is wrong with one request, in the words of the contract; null where nothing may be said."""
+    code, named = F.col("error_code"), F.coalesce("failed_id", "failed_query")
+    missing = filled(fv.MSG_NO_MATCH, quoted(named))
+    close = F.when(F.col("failed_id").isNull() & (F.length("close") > 0), filled(fv.MSG_CLOSE, F.col("close"))).otherwise(F.lit(""))
+    return (
+        F.when(code == "not_found", F.concat(missing, close))
+        .when(code == "identity_mismatch", filled(fv.MSG_OTHER_ID, quoted(F.col("failed_query")), quoted(id_key("failed_id"))))
+        .when(code == "duplicate_snapshot", filled(fv.MSG_REPEATED, F.col("failed_entity_id"), F.col("failed_repeats.n"), F.col("failed_repeats.day")))
+        .when(code == "post_cutoff_disabled", F.lit(fv.MSG_POST_CUTOFF))
+        .when(code == "class_unsupported", filled(fv.MSG_CLASS_UNSUPPORTED, quoted(F.col("failed_label"))))
+        .when(code == "class_required", F.lit(fv.MSG_CLASS_REQUIRED))
+        .when(code == "class_weight_required", F.lit(fv.MSG_CLASS_WEIGHT))
+        .when(code == "class_state_missing", filled(fv.MSG_STATE_MISSING, F.col("failed_side")))
+        .when(code == "class_state_mismatch", filled(fv.MSG_STATE_MISMATCH, F.col("failed_side"), F.col("failed_state"), F.col("failed_class")))
     )
 
 
-def rejection_table(rejected: DataFrame, snapshots: DataFrame, *, columns: fv.Columns = fv.Columns()) -> DataFrame:
-    """Rejected requests with a message that is safe to show."""
-    names = identity.latest_records(snapshots, columns=columns).select(
-        F.col("entity_id").alias("__failed"), F.col("display_name").alias("failed_name")
+def rejection_table(
+    rejected: DataFrame,
+    snapshots: DataFrame,
+    *,
+    columns: fv.Columns = fv.Columns(),
+    aliases: DataFrame | None = None,
+    ascii_names: bool = False,
+) -> DataFrame:
+    """Rejected requests with a message that is safe to show.
+
+    Ambiguous names list all their matches and unknown ones the closest names; both lists are made once per
+    name, not per request. Ids in a message give way to names.
+    """
+    c, key = columns, rejected.columns[0]
+    names = identity.latest_records(snapshots, columns=c).select("entity_id", "display_name")
+    index = identity.search_index(snapshots, entity_id=c.entity_id, name=c.entity_name, display_name=c.display_name, ascii_only=ascii_names)
+    if aliases is not None:
+        index = identity.add_aliases(index, aliases, identity.entity_ids(snapshots, c.entity_id), ascii_only=ascii_names)
+    by_name = F.col("error_code").isin("ambiguous", "not_found") & F.col("failed_id").isNull()
+    keyed = rejected.withColumn("__key", F.when(by_name, name_key("failed_query", ascii_only=ascii_names)))
+    asked = keyed.where("__key IS NOT NULL").select("error_code", F.col("__key").alias("name_key")).distinct()
+    listed = lambda df, order: df.join(names, "entity_id").groupBy("__key").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "display_name"))), lambda x: x["display_name"]), ", ").alias("names")
+    )
+    several = asked.where("error_code = 'ambiguous'").join(index, "name_key").select(F.col("name_key").alias("__key"), "entity_id")
+    near = suggestions(asked.where("error_code = 'not_found'").select("name_key"), index).select(F.col("query_key").alias("__key"), "entity_id", "suggestion_rank")
+    found = listed(several, "entity_id").select("__key", F.col("names").alias("candidates"), F.lit(None).cast("string").alias("close")).unionByName(
+        listed(near, "suggestion_rank").select("__key", F.lit(None).cast("string").alias("candidates"), F.col("names").alias("close"))
+    )
+    # most rejections name neither a list nor an entity; their nulls are spread over all tasks
+    spread = keyed.withColumns({"__key": scattered(F.col("__key"), F.col(key)), "__failed": scattered(F.col("failed_entity_id"), F.col(key))})
+    joined = spread.join(found, "__key", "left").join(
+        names.select(F.col("entity_id").alias("__failed"), F.col("display_name").alias("failed_name")), "__failed", "left"
     )
-    # only two codes name an entity; the other rows are spread over all tasks
-    keyed = rejected.withColumn("__failed", scattered(F.col("failed_entity_id"), F.col(rejected.columns[0])))
-    joined = keyed.join(names, "__failed", "left").drop("__failed")
-    blank = F.lit(None).cast("string")
     message = serving.rejection_message(
         "error_code", entity=F.col("failed_name"), reference=F.col("ref_date"), first=F.col("available_first"),
-        last=F.col("available_last"), candidates=blank, detail=blank,
+        last=F.col("available_last"), candidates=F.col("candidates"), detail=_detail(),
     )
-    return joined.withColumn("error_message", message).drop("failed_name", "failed_entity_id")
+    said = joined.withColumn("__message", message)
+    # ids stand only in messages that quote a request or name an entity
+    quotes = said.where(F.col("error_code").isin(*serving.LOOKUP_CODES, *serving.UNSUPPORTED_CODES)).select(key, "__message").distinct()
+    safe = serving.redact_ids(quotes, names, key=key, message="__message").select(key, "safe_message").distinct()
+    out = said.join(safe, key, "left").withColumn("error_message", F.coalesce("safe_message", "__message"))
+    return out.select(key, "error_code", "query_a", "query_b", "ref_date", "available_first", "available_last", "error_message")

@@ -16,6 +16,7 @@ from duelframe.operators.scorers import LinearScorer
 from duelframe.plans.score import ScoringPlan, rejection_table, score_requests, split_outcomes, symmetric_probability
 from duelframe.registry import fixtures as fx
 from duelframe.registry.base import query, r6, rounded, table
+from duelframe.registry.identity import ENTITIES_SQL, entities
 
 POINT_SQL = f"{fx.SNAPSHOTS_SQL}, {fx.REQUESTS_SQL}"
 JOINED_SQL = """
@@ -551,12 +552,55 @@ def public(spark, sf):
     f"""WITH {SCORE_SQL}, span AS (SELECT entity_id, MIN(as_of) AS lo, MAX(as_of) AS hi FROM snaps GROUP BY 1),
     bad AS (SELECT d.request_id, d.error_code, r.ref_date, CASE WHEN d.error_code = 'snapshot_unavailable' THEN CASE WHEN x.ad IS NULL THEN r.a_id ELSE r.b_id END END AS who
       FROM done d JOIN requests r USING (request_id) JOIN jb x USING (request_id) WHERE d.error_code IS NOT NULL)
-    SELECT request_id, error_code, CASE error_code WHEN 'same_entity' THEN 'Choose two different fighters.' WHEN 'snapshot_unavailable' THEN 'User ' || who ||
+    SELECT request_id, error_code, CASE error_code WHEN 'same_entity' THEN 'Choose two different fighters.' WHEN 'not_found' THEN 'No fighter matched ''Nobody''' WHEN 'class_required' THEN 'division is required when it cannot be inferred from both snapshots' WHEN 'snapshot_unavailable' THEN 'User ' || who ||
        ' has no snapshot available before the current server date (' || ref_date || '). Available snapshot dates run from ' || lo || ' through ' || hi || '.'
        ELSE 'The prediction service could not complete this request. Please try again later.' END AS error_message
     FROM bad LEFT JOIN span ON who = entity_id""",
 )
 def rejections(spark, sf):
-    _, rejected = split_outcomes(scored(spark, sf))
+    _, rejected = split_outcomes(scored(spark, sf).persist())
     out = rejection_table(rejected, scoring_snapshots(spark, sf), columns=NAMES)
     return out.select("request_id", "error_code", "error_message")
+
+
+MESSAGES_SQL = """
+names AS (SELECT entity_id, CASE WHEN trim(coalesce(display, '')) = '' THEN trim(name) ELSE trim(display) END AS shown FROM entities),
+lists AS (SELECT name_key, string_agg(shown, ', ' ORDER BY entity_id) AS shown FROM idx JOIN names USING (entity_id) GROUP BY name_key),
+asked AS (SELECT p_partkey AS request_id, p_name, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS name_key, p_partkey % 7 AS kind, substr(md5(p_name), 1, 16) AS token FROM part)
+"""
+
+
+@query(
+    "r17_lookup_messages",
+    f"""WITH {ENTITIES_SQL}, {MESSAGES_SQL}
+    SELECT request_id, CASE kind
+      WHEN 0 THEN 'More than one fighter matches that name. Use a more specific full name.' || coalesce(' Matches: ' || lists.shown || '.', '')
+      WHEN 1 THEN 'No fighter matched ''zq' || md5(p_name) || ''''
+      WHEN 2 THEN '''' || p_name || ''' does not refer to fighter_id ''Unknown Fighter'''
+      WHEN 3 THEN 'unsupported division ''Type ' || request_id || '''; supply division_lbs and is_womens to score it explicitly'
+      WHEN 4 THEN 'The current server date is after the model cutoff and post-cutoff prediction is disabled'
+      WHEN 5 THEN 'fighter A''s snapshot stores division-specific ratings for M_FLY, not requested division M_LIGHT; per-division history is required to score a division change'
+      ELSE 'No fighter matched ''Unknown Fighter''' END AS error_message
+    FROM asked LEFT JOIN lists USING (name_key)""",
+)
+def lookup_messages(spark, sf):
+    """Messages of requests that failed before scoring: lists of names, quoted requests, ids replaced."""
+    kind = F.col("p_partkey") % 7
+    codes = ("ambiguous", "not_found", "identity_mismatch", "class_unsupported", "post_cutoff_disabled", "class_state_mismatch", "not_found")
+    token = F.substring(F.md5("p_name"), 1, 16)
+    none = F.lit(None)
+    lost = F.concat(F.lit("zq"), F.md5("p_name"))
+    rejected = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("request_id"),
+        F.element_at(F.array(*[F.lit(x) for x in codes]), (kind + 1).cast("int")).alias("error_code"),
+        none.cast("string").alias("query_a"), none.cast("string").alias("query_b"), none.cast("date").alias("ref_date"),
+        none.cast("string").alias("failed_entity_id"), none.cast("date").alias("available_first"), none.cast("date").alias("available_last"),
+        F.when(kind == 1, lost).otherwise(F.col("p_name")).alias("failed_query"),
+        F.when(kind.isin(2, 6), token).alias("failed_id"),
+        F.lit("fighter A").alias("failed_side"), F.lit("M_FLY").alias("failed_state"),
+        F.concat(F.lit("Type "), F.col("p_partkey").cast("string")).alias("failed_label"), F.lit("M_LIGHT").alias("failed_class"),
+        none.cast("struct<n:bigint,day:date>").alias("failed_repeats"),
+    )
+    people = entities(spark, sf).withColumn("as_of", F.lit("2024-01-01").cast("date"))
+    columns = fv.Columns(entity_id="entity_id", entity_name="name", display_name="display", as_of="as_of")
+    return rejection_table(rejected, people, columns=columns).select("request_id", "error_message")

@@ -30,7 +30,7 @@ def score_stream(
             predictions, rejected = split_outcomes(scored)
             predictions.write.mode("overwrite").parquet(f"{out}/predictions/batch_id={batch_id}")
             public_predictions(predictions, keep=[request_id]).write.mode("overwrite").parquet(f"{out}/public/batch_id={batch_id}")
-            rejection_table(rejected, snapshots, columns=plan.columns).write.mode("overwrite").parquet(f"{out}/rejected/batch_id={batch_id}")
+            rejection_table(rejected, snapshots, columns=plan.columns, aliases=aliases, ascii_names=plan.ascii_names).write.mode("overwrite").parquet(f"{out}/rejected/batch_id={batch_id}")
         finally:
             scored.unpersist()
 
