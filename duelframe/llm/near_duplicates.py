@@ -6,8 +6,8 @@ of 2 * m * m * k. Documents that share a table key are candidates, and candidate
 
 Rows with equal shingle sets are one class from the start. Every bucket has a pivot, and a pivot's bucket mates are its
 family. Each member is compared with the pivot and with the member next to the pivot. Members that are in
-different components after that are compared as well, unless their sizes or the triangle inequality of the Jaccard
-distance rule a link out. So groups of copies cost two comparisons a member, and no candidate pair is left open.
+different components after that are compared as well, unless their sizes, the triangle inequality of the Jaccard
+distance or bitmaps of their differences from the middle rule a link out. So groups of copies cost two comparisons a member, and no candidate pair is left open.
 
 With k = 3 and m = 14, a pair at similarity 0.8 shares no key with probability 9e-5, at 0.85 with 7e-6.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from duelframe.llm.common import mix64, saved, slices, word_hashes
 from duelframe.llm.graph import components
-from duelframe.llm.set_files import shared_sizes, wanted_ids, write_sets
+from duelframe.llm.set_files import DIFFERENCE_WORDS, shared_sizes, wanted_ids, write_sets
 
 SHINGLE_WORDS = 5
 SIMILARITY = 80
@@ -103,6 +103,18 @@ def _distance() -> Column:
     return F.lit(1.0) - F.col("met") / F.greatest(F.lit(1), F.col("n_a") + F.col("n_b") - F.col("met"))
 
 
+def _may_overlap(words: list[str]) -> Column:
+    """Whether two sets can be similar enough, by their differences from a third one.
+
+    The sets differ by apart_a + apart_b less twice what their differences share, and that is at most the number
+    of common bits of the bitmaps and what collided in the smaller surplus of hashes over bits.
+    """
+    common = sum((F.bit_count(F.col(f"{w}_a").bitwiseAND(F.col(f"{w}_b"))) for w in words), F.lit(0))
+    most = common + F.least(F.col("apart_a") - F.col("bits_a"), F.col("apart_b") - F.col("bits_b"))
+    whole = F.lit(100 + SIMILARITY)
+    return (F.col("apart_a") + F.col("apart_b") - 2 * most) * whole <= (F.col("n_a") + F.col("n_b")) * (100 - SIMILARITY)
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -127,26 +139,33 @@ def near_duplicates(
     texts = known.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     places = write_sets(texts, wanted_ids(named, "wanted"), lambda t: shingle_sets(t, n_words), "sets")
 
-    def compare(pairs: DataFrame, label: str) -> DataFrame:
-        return saved(shared_sizes(pairs, places).select("*", _similar().alias("linked"), _distance().alias("far")), label)
+    def compare(pairs: DataFrame, label: str, **more) -> DataFrame:
+        return saved(shared_sizes(pairs, places, **more).select("*", _similar().alias("linked"), _distance().alias("far")), label)
 
     star = compare(family.select(F.col("pivot").alias("a"), F.col("id").alias("b")), "star")
     # the member next to the pivot stands for the middle of the family: compared with everyone
     middle = star.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("middle"))
     around = star.join(middle, "a").where(F.col("b") != F.col("middle")).select(F.col("a").alias("pivot"), F.col("middle").alias("a"), "b")
-    second = compare(around, "second-star")
+    second = compare(around, "second-star", differences=True)
     links = star.where("linked").select("a", "b").union(second.where("linked").select("a", "b"))
     joined = components(links)
-    # what both left open: family members in different components that the triangle inequality does not part
+    # what both left open: family members in different components that no bound parts
     label = joined.select(F.col("node").alias("id"), "component")
-    inner = star.join(second.select(F.col("pivot").alias("a"), "b", F.col("far").alias("far_2")), ["a", "b"], "left")
-    members = inner.select(F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("n_b").alias("n"), "far", F.coalesce("far_2", F.lit(0.0)).alias("far_2"))
+    away_from_middle = (F.col("n_a") + F.col("n_b") - 2 * F.col("met")).alias("apart")
+    words = [f"d_{k}" for k in range(DIFFERENCE_WORDS)]
+    by_middle = second.select(F.col("pivot").alias("a"), "b", F.col("far").alias("far_2"), away_from_middle, "bits", *words)
+    inner = star.join(by_middle, ["a", "b"], "left")
+    # only the middle itself has no second distance: it is nowhere apart from itself
+    members = inner.select(
+        F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("n_b").alias("n"), "far",
+        *(F.coalesce(c, F.lit(0)).alias(c) for c in ("far_2", "apart", "bits", *words)),
+    )
     labelled = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = labelled.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("members"))
     main = sizes.groupBy("pivot").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     mixed = saved(labelled.join(main.select("pivot", "main"), "pivot"), "mixed-families")
     away = mixed.where("component <> main")
-    one, two = (df.select("pivot", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "far", "far_2", "component", "main"))) for df, s in ((away, "a"), (mixed, "b")))
+    one, two = (df.select("pivot", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "far", "far_2", "component", "main", "apart", "bits", *words))) for df, s in ((away, "a"), (mixed, "b")))
     bound = (100 - SIMILARITY) / 100 + 1e-9
     open_pairs = (
         one.join(two, "pivot")
@@ -156,6 +175,7 @@ def near_duplicates(
             & _reach(F.col("n_a"), F.col("n_b"))
             & (F.abs(F.col("far_a") - F.col("far_b")) <= bound)
             & (F.abs(F.col("far_2_a") - F.col("far_2_b")) <= bound)
+            & _may_overlap(words)
         )
         .select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
         .distinct()

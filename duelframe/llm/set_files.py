@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from duelframe.llm.common import file_system, new_folder, saved, slices, width
 from duelframe.llm.hash_arrays import FILES, by_range, collect_ranges, file_list, opened, write_file
 
+#: 64-bit words of the bitmap of a symmetric difference
+DIFFERENCE_WORDS = 8
 _SLICE_BYTES = 4 << 20
 _MAPS: dict[str, np.ndarray] = {}
 
@@ -81,32 +83,44 @@ def _mapped(path: str) -> np.ndarray:
     return _MAPS[path]
 
 
-def shared_sizes(pairs: DataFrame, places: DataFrame) -> DataFrame:
+def _bitmap(one: np.ndarray, two: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of bits and bitmap of the hashes that are in one of two sets only."""
+    bits = np.zeros(64 * DIFFERENCE_WORDS, dtype=np.uint8)
+    bits[(np.setxor1d(one, two, assume_unique=True) >> np.uint64(40)) % np.uint64(len(bits))] = 1
+    return int(bits.sum()), np.packbits(bits).view(np.int64)
+
+
+def shared_sizes(pairs: DataFrame, places: DataFrame, *, differences: bool = False) -> DataFrame:
     """Every pair (a, b, other columns) with met, n_a, n_b: sizes of the intersection and of both sets.
 
-    An id with several rows in `places` (a repeated id) is compared once a row.
+    With `differences`, also a bitmap of the symmetric difference (d_0, d_1, ...) and its number of bits. An id with several rows in `places` (a repeated id) is compared once a row.
     """
     left = places.select(F.col("id").alias("a"), F.col("path").alias("path_a"), F.col("at").alias("at_a"), F.col("n").alias("n_a"))
     right = places.select(F.col("id").alias("b"), F.col("path").alias("path_b"), F.col("at").alias("at_b"), F.col("n").alias("n_b"))
     rows = pairs.join(left, "a").join(right, "b")
     passed = [*pairs.columns, "n_a", "n_b"]
-    schema = ", ".join(f"{n} {t}" for n, t in pairs.dtypes) + ", n_a long, n_b long, met long"
+    extra = ["bits", *(f"d_{k}" for k in range(DIFFERENCE_WORDS))] if differences else []
+    schema = ", ".join(f"{n} {t}" for n, t in pairs.dtypes) + ", n_a long, n_b long, met long" + "".join(f", {n} long" for n in extra)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             columns = {n: batch.column(n).to_pylist() for n in ("path_a", "at_a", "n_a", "path_b", "at_b", "n_b")}
-            met, last, one = [], None, None
+            met, maps, last, one = [], [], None, None
             for path_a, at_a, n_a, path_b, at_b, n_b in zip(*columns.values()):
                 if (path_a, at_a) != last:
                     one, last = np.asarray(_mapped(path_a)[at_a : at_a + n_a]), (path_a, at_a)
                 two = np.asarray(_mapped(path_b)[at_b : at_b + n_b])
+                if differences:
+                    count, words = _bitmap(one, two)
+                    maps.append([count, *words.tolist()])
                 if not len(one) or not len(two):
                     met.append(0)
                     continue
                 place = np.minimum(np.searchsorted(one, two), len(one) - 1)
                 met.append(int((one[place] == two).sum()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in passed), pa.array(met, pa.int64())], names=[*passed, "met"])
+            more = [pa.array(column, pa.int64()) for column in zip(*maps)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in passed), pa.array(met, pa.int64()), *more], names=[*passed, "met", *extra])
 
     return rows.mapInArrow(run, schema)
