@@ -40,7 +40,7 @@ def tally(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
-def count_rows(of_texts: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+def count_rows(of_texts: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], slice_bytes: int = SLICE_BYTES):
     """Task that adds up (distinct keys, counts) of slices of texts, with about `_HELD_KEYS` keys in memory, and yields (key, n)."""
 
     def emit(keys, counts):
@@ -50,7 +50,7 @@ def count_rows(of_texts: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
 
     def run(batches):
         keys, counts, held = [], [], 0
-        for batch in slices(batches, "text", SLICE_BYTES):
+        for batch in slices(batches, "text", slice_bytes):
             k, c = of_texts(batch.column("text").to_pylist())
             keys.append(k)
             counts.append(c)

@@ -35,31 +35,25 @@ from duelframe.llm.suffixes import common_prefixes, doubling_suffix_array, merge
 
 LENGTH = 50
 _INNER = 24
-_BYTE_KEYS = mix64(np.arange(1, 257, dtype=np.uint64))
-_RATIO = np.uint64(0x9FB21C651E98DF25)
+_FACTORS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _LAST = (1 << 63) - 1
-_SHARD_BYTES = 4 << 20
-
-
-def _inner_hashes(codes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the `size` bytes from each place on (short at the end of the array)."""
-    total, reach, block, step, ratio = None, 0, _BYTE_KEYS[codes], 1, _RATIO
-    n = len(codes)
-    while step <= size:
-        if size & step:
-            if total is None:
-                total = block.copy()
-            else:
-                shifted = np.zeros(n, dtype=np.uint64)
-                shifted[: max(0, n - reach)] = block[reach:]
-                total = total * np.uint64(pow(int(_RATIO), step, 1 << 64)) + shifted
-            reach += step
-        following = np.zeros(n, dtype=np.uint64)
-        following[: max(0, n - step)] = block[step:]
-        block = block * ratio + following
-        ratio = np.uint64(pow(int(ratio), 2, 1 << 64))
-        step *= 2
-    return mix64(total) >> np.uint64(1)
+_SHARD_BYTES = 1 << 20
+#: runs take some forty bytes of memory a byte of text
+_RUN_SLICE = 2 << 20
+
+
+def _inner_hashes(raw: bytes, size: int) -> np.ndarray:
+    """Hash of the `size` bytes from each place on, where there are as many."""
+    n = len(raw) - size + 1
+    if size >= 8:
+        words = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))  # eight bytes from each place on
+        offsets = [*range(0, size - 8, 8), size - 8]
+    else:
+        words, offsets = np.frombuffer(raw, dtype=np.uint8).astype(np.uint64), [*range(size)]
+    total = np.zeros(n, dtype=np.uint64)
+    for k, at in enumerate(offsets):
+        total += words[at : at + n] * _FACTORS[k % len(_FACTORS)]
+    return mix64(total)
 
 
 def _lowest(values: np.ndarray, window: int) -> np.ndarray:
@@ -83,12 +77,12 @@ def runs(raw: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     if not (sizes >= length).any():
         return empty
-    codes = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    joined = b"".join(raw)
     first = np.cumsum(sizes) - sizes
-    values = _inner_hashes(codes, inner)
+    values = _inner_hashes(joined, inner)
     anchor = _lowest(values, length - inner + 1)
     # strings that lie within one document
-    edge = np.zeros(len(codes) + 1, dtype=np.int32)
+    edge = np.zeros(len(joined) + 1, dtype=np.int32)
     long_enough = sizes >= length
     np.add.at(edge, first[long_enough], 1)
     np.add.at(edge, (first + sizes - length + 1)[long_enough], -1)
@@ -100,7 +94,8 @@ def runs(raw: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     end = np.append(begin[1:], len(place)) - 1
     doc = np.searchsorted(first, place[begin], side="right") - 1
     # empty documents share their place with the next one
-    return doc, place[begin] - first[doc], place[end] + length - first[doc], values[own[begin]]
+    # lowest hashes crowd near zero: mixed again, they spread evenly over ranges
+    return doc, place[begin] - first[doc], place[end] + length - first[doc], mix64(values[own[begin]])
 
 
 def _anchor_documents(raw: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,9 +123,9 @@ def repeated_anchors(texts: DataFrame, length: int) -> list[tuple[int, int, int,
         for p, keys, counts in collect_ranges(batches):
             keys, counts = keys[counts > 1], counts[counts > 1]
             if len(keys):
-                yield pa.RecordBatch.from_pydict({"part": [p], "low": [int(keys[0])], "n": [len(keys)], "path": [write_file(folder, keys, counts)]})
+                yield pa.RecordBatch.from_pydict({"part": [p], "low": [int(keys[:1].view(np.int64)[0])], "n": [len(keys)], "path": [write_file(folder, keys, counts)]})
 
-    counted = texts.select("text").mapInArrow(count_rows(lambda t: _anchor_documents(_bytes(t), length)), "key long, n int")
+    counted = texts.select("text").mapInArrow(count_rows(lambda t: _anchor_documents(_bytes(t), length), _RUN_SLICE), "key long, n int")
     return file_list(saved(by_range(counted, width(spark)).mapInArrow(write, FILES), "anchor-files"))
 
 
@@ -157,7 +152,7 @@ def _dealt_runs(texts: DataFrame, files, length: int) -> DataFrame:
     """Runs with repeated anchors: text hash in `kind` for open ones, whole repeats found within a slice apart."""
 
     def run(batches):
-        for batch in slices(batches, "text", SLICE_BYTES):
+        for batch in slices(batches, "text", _RUN_SLICE):
             raw = _bytes(batch.column("text").to_pylist())
             doc, start, stop, anchor = runs(raw, length)
             keys, place = np.unique(anchor, return_inverse=True)
@@ -215,10 +210,11 @@ def repeated_strings(texts: list[bytes], ranks: np.ndarray, length: int) -> list
     """
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     m = len(texts)
-    codes = np.frombuffer(b"\0".join([*texts, b""]), dtype=np.uint8).astype(np.int64) + m
+    codes = np.frombuffer(b"\0".join([*texts, b""]), dtype=np.uint8).astype(np.int64) + 1
     stops = np.cumsum(sizes + 1) - 1
-    codes[stops] = np.arange(m)  # end marks differ, so no two suffixes are equal
-    order = doubling_suffix_array(codes, int(sizes.max()) + 1)
+    codes[stops] = 0
+    order = doubling_suffix_array(codes, int(sizes.max()) + 1, ends=stops)
+    codes[stops] = -1 - np.arange(m)  # end marks differ, so no two suffixes are equal
     prefix = common_prefixes(codes, order, length)
     text = np.repeat(np.arange(m), sizes + 1)
     head = prefix < length
@@ -285,7 +281,7 @@ def _ranges(rows: list[tuple], length: int):
 
 
 def _string_hashes(text: bytes, length: int) -> np.ndarray:
-    return _inner_hashes(np.frombuffer(text, dtype=np.uint8), length)[: len(text) - length + 1]
+    return _inner_hashes(text, length)
 
 
 def _least_ranks(texts: list[bytes], ranks: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

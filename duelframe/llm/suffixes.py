@@ -12,45 +12,54 @@ import numpy as np
 _LANES = 4096
 
 
-def _first_ranks(codes: np.ndarray) -> tuple[np.ndarray, int]:
-    """Sort keys of the first characters of each suffix, as many as fit into 63 bits."""
-    symbols, dense = np.unique(codes, return_inverse=True)
-    bits = max(1, int(len(symbols)).bit_length())
-    held = max(1, 62 // bits)
-    step, key = 1, dense.astype(np.int64) + 1
-    while step * 2 <= held:
-        following = np.zeros_like(key)
-        following[:-step] = key[step:] if step < len(key) else 0
-        key = (key << (bits * step)) | following
-        step *= 2
-    return key, step
-
-
-def doubling_suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of `codes` by their first `depth` characters (ties in any order)."""
+def _first_keys(codes: np.ndarray) -> tuple[np.ndarray, int]:
+    """Sort keys of the first characters of each suffix, as many as fit into 63 bits, and how many these are."""
+    if int(codes.max()) >= 1 << 12:
+        codes = np.unique(codes, return_inverse=True)[1]
+    bits = max(1, int(codes.max() + 1).bit_length())
+    held = max(1, 63 // bits)
+    padded = np.concatenate([codes + 1, np.zeros(held, dtype=np.int64)])  # 0: past the end
+    key = np.zeros(len(codes), dtype=np.int64)
+    for k in range(held):
+        key = (key << bits) | padded[k : k + len(codes)]
+    return key, held
+
+
+def doubling_suffix_array(codes: np.ndarray, depth: int, ends: np.ndarray | None = None) -> np.ndarray:
+    """Order of the suffixes of `codes` (not negative) by their first `depth` characters (ties in any order).
+
+    `ends` are places of end marks. They have one code but count as different, earlier ones as smaller.
+    """
     n = len(codes)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
-    key, reach = _first_ranks(codes)
-    order = np.argsort(key)
-    in_order = key[order]
+    key, reach = _first_keys(codes)
+    if ends is None or not len(ends):
+        order = np.argsort(key)
+        mark = None
+    else:
+        # which end mark is among the first characters, if one is
+        following = np.searchsorted(ends, np.arange(n))
+        near = np.minimum(following, len(ends) - 1)
+        mark = np.where((following < len(ends)) & (ends[near] - np.arange(n) < reach), near + 1, 0)
+        order = np.lexsort((mark, key))
     head = np.empty(n, dtype=bool)
-    head[0], head[1:] = True, in_order[1:] != in_order[:-1]
-    del key, in_order
+    head[0], head[1:] = True, key[order[1:]] != key[order[:-1]]
+    if mark is not None:
+        head[1:] |= mark[order[1:]] != mark[order[:-1]]
+    del key, mark
     rank = np.empty(n + 1, dtype=np.int64)
     rank[n] = -1
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     tied = _tied(head)
     while reach < depth and len(tied):
         suffixes = order[tied]
-        group = rank[suffixes]
-        follow = rank[np.minimum(suffixes + reach, n)]
-        again = np.lexsort((follow, group))
-        suffixes, group, follow = suffixes[again], group[again], follow[again]
+        both = rank[suffixes] * (n + 2) + rank[np.minimum(suffixes + reach, n)] + 1  # group, then what follows
+        again = np.argsort(both)
+        suffixes, both = suffixes[again], both[again]
         order[tied] = suffixes
         new = np.empty(len(tied), dtype=bool)
-        new[0] = True
-        new[1:] = (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])
+        new[0], new[1:] = True, both[1:] != both[:-1]
         rank[suffixes] = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))]
         alone = new.copy()
         alone[:-1] &= new[1:]
@@ -76,7 +85,7 @@ def common_prefixes(codes: np.ndarray, order: np.ndarray, depth: int) -> np.ndar
     n = len(codes)
     previous = np.full(n, -1, dtype=np.int64)
     previous[order[1:]] = order[:-1]
-    padded = np.concatenate([codes, np.full(depth + 1, -1, dtype=codes.dtype)])
+    padded = np.concatenate([codes, np.full(depth + 1, np.iinfo(np.int64).min, dtype=np.int64)])
     found = np.zeros(n, dtype=np.int32)
     length = -(-n // _LANES)
     lane = np.arange(0, n, length)
