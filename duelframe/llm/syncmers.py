@@ -99,17 +99,18 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     texts, lengths = keyed(docs, id_col, text_col)
     order = saved(neighbours(lengths), "neighbours")
     own = texts.withColumn("anchors", anchors(F.col("text"), k)).join(order, "key")
+    # both uses read the same columns, so that one exchange of the texts serves them
     lent = own.select(
-        F.col("previous_key").alias("key"), F.substring("text", F.lit(1), F.floor(F.col("previous_n") / 2).cast("int")).alias("lent"), F.col("anchors").alias("next_anchors")
+        F.col("previous_key").alias("key"), F.col("id").alias("next_doc_id"), F.substring("text", F.lit(1), F.floor(F.col("previous_n") / 2).cast("int")).alias("lent"), F.col("anchors").alias("next_anchors")
     )
     keep = (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int")
     both = own.select("key", "id", "n_chars", F.substring("text", F.lit(1), keep).alias("kept"), "anchors").join(lent, "key")
-    edited = both.select("id", "n_chars", "anchors", "next_anchors", F.concat("kept", "lent").alias("edited"))
+    edited = both.select("id", "n_chars", "anchors", "next_anchors", "next_doc_id", F.concat("kept", "lent").alias("edited"))
     found = edited.select(
-        "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "anchors", anchors(F.col("edited"), k).alias("edited_anchors"), "next_anchors"
+        "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "anchors", anchors(F.col("edited"), k).alias("edited_anchors"), "next_anchors", "next_doc_id"
     )
     return found.select(
         F.col("id").alias("doc_id"), "n_chars", "edited_sha256", fingerprint(F.col("anchors")).alias("fingerprint"),
         fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"), likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
-        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"), "next_doc_id",
     )
