@@ -331,3 +331,22 @@ PUBLIC_FIELDS = (
     "snapshot_date_b", "predicted_winner_name", "is_even_probability",
     "orientation_disagreement", "confidence_tier",
 )
+
+# --- fixed values: default model settings and their limits ------------------------------------
+
+# name, depth, learning rate, child weight, row share, column share
+DEFAULT_TREES = (
+    ("depth2_conservative", 2, 0.03, 5.0, 0.9, 0.9),
+    ("depth3_balanced", 3, 0.03, 3.0, 0.9, 0.9),
+    ("depth3_regularized", 3, 0.05, 5.0, 0.8, 0.8),
+    ("depth4_balanced", 4, 0.025, 4.0, 0.85, 0.85),
+    ("depth5_slow", 5, 0.015, 6.0, 0.8, 0.8),
+)
+TREE_LIMITS = {
+    "max_depth": (2, 10), "learning_rate": (0.005, 0.3), "min_child_weight": (0.0, 50.0), "subsample": (0.5, 1.0),
+    "colsample": (0.5, 1.0), "gamma": (0.0, 20.0), "max_bin": (32, 2_048), "rounds": (1, 5_000),
+}
+TREE_SPACE = {
+    "max_depth": (2, 7), "learning_rate": (0.01, 0.15), "min_child_weight": (1.0, 12.0), "subsample": (0.6, 1.0),
+    "colsample": (0.6, 1.0), "gamma": (0.0, 5.0), "max_bin": (128, 512), "rounds": (200, 2000),
+}

@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duelframe import fixed_values as fv
 from duelframe.functions.values import row_log_loss
 
 MAX_LOGISTIC, MAX_TREES, MAX_TRIALS = 24, 16, 100
@@ -274,24 +275,13 @@ class TreeCandidate:
     max_bin: int = 256
 
     def __post_init__(self) -> None:
-        for value, low, high, label in (
-            (self.max_depth, 2, 10, "max_depth"), (self.learning_rate, 0.005, 0.3, "learning_rate"),
-            (self.min_child_weight, 0.0, 50.0, "min_child_weight"), (self.subsample, 0.5, 1.0, "subsample"),
-            (self.colsample, 0.5, 1.0, "colsample"), (self.gamma, 0.0, 20.0, "gamma"), (self.max_bin, 32, 2_048, "max_bin"),
-            (self.rounds, 1, 5_000, "rounds"),
-        ):
-            if not low <= value <= high:
-                raise ValueError(f"{label} must be in [{low}, {high}]")
+        for label, (low, high) in fv.TREE_LIMITS.items():
+            if not low <= getattr(self, label) <= high:
+                raise ValueError(f"{label} lies outside {low} to {high}")
 
 
 def default_trees(rounds: int = 100) -> list[TreeCandidate]:
-    return [
-        TreeCandidate("depth2_conservative", 2, 0.03, 5.0, 0.9, 0.9, rounds=rounds),
-        TreeCandidate("depth3_balanced", 3, 0.03, 3.0, 0.9, 0.9, rounds=rounds),
-        TreeCandidate("depth3_regularized", 3, 0.05, 5.0, 0.8, 0.8, rounds=rounds),
-        TreeCandidate("depth4_balanced", 4, 0.025, 4.0, 0.85, 0.85, rounds=rounds),
-        TreeCandidate("depth5_slow", 5, 0.015, 6.0, 0.8, 0.8, rounds=rounds),
-    ]
+    return [TreeCandidate(*settings, rounds=rounds) for settings in fv.DEFAULT_TREES]
 
 
 @dataclass
@@ -312,27 +302,48 @@ def best_round(losses: Sequence[float], patience: int) -> int:
     return best + 1
 
 
+def _tree_rows(df: DataFrame, names: Sequence[str], target: str) -> tuple[VectorAssembler, DataFrame]:
+    """The assembler and the rows that trees are fitted on."""
+    assembler = VectorAssembler(inputCols=list(names), outputCol=FEATURES)
+    numbers = df.select(*[F.col(f"`{n}`").cast("double").alias(n) for n in names], F.col(target).cast("double").alias(TARGET))
+    return assembler, assembler.transform(numbers).select(FEATURES, TARGET)
+
+
 def fit_trees(
     train: DataFrame, validation: DataFrame, names: Sequence[str], target: str, candidate: TreeCandidate,
     *, patience: int = 50, seed: int = 42,
 ) -> TreeFit:
-    """Fit all rounds, find the best one on validation, refit with that many."""
-    assembler = VectorAssembler(inputCols=list(names), outputCol=FEATURES)
-    shape = lambda df: assembler.transform(df.select(*[F.col(f"`{n}`").cast("double").alias(n) for n in names], F.col(target).cast("double").alias(TARGET))).select(FEATURES, TARGET)
+    """Fit until `patience` rounds bring no new low on validation, and keep the best round."""
+    assembler, rows = _tree_rows(train, names, target)
+    _, held = _tree_rows(validation, names, target)
+    rows, held = rows.persist(), held.persist()
+    try:
+        return _fit_rows(assembler, rows, held, candidate, patience, seed)
+    finally:
+        rows.unpersist()
+        held.unpersist()
+
+
+def _fit_rows(assembler: VectorAssembler, rows: DataFrame, held: DataFrame, candidate: TreeCandidate, patience: int, seed: int) -> TreeFit:
+    """Rounds are doubled until patience runs out, so that a long limit is paid for only where it is used.
+
+    With one seed the first rounds of a longer fit are those of a shorter one.
+    """
     estimator = GBTClassifier(
         featuresCol=FEATURES, labelCol=TARGET, maxDepth=candidate.max_depth, stepSize=candidate.learning_rate,
         maxIter=candidate.rounds, subsamplingRate=candidate.subsample, maxBins=candidate.max_bin,
         minInstancesPerNode=max(1, round(candidate.min_child_weight)), minInfoGain=candidate.gamma,
         featureSubsetStrategy=str(float(candidate.colsample)) if candidate.colsample < 1.0 else "all", seed=seed,
     )
-    rows = shape(train).persist()
-    try:
-        model = estimator.fit(rows)
-        rounds = best_round(model.evaluateEachIteration(shape(validation)), patience)
-        if rounds < candidate.rounds:
-            model = estimator.setMaxIter(rounds).fit(rows)
-    finally:
-        rows.unpersist()
+    tried = min(candidate.rounds, 2 * patience)
+    while True:
+        model = estimator.setMaxIter(tried).fit(rows)
+        rounds = best_round(model.evaluateEachIteration(held), patience)
+        if tried == candidate.rounds or rounds + patience <= tried:
+            break
+        tried = min(candidate.rounds, 2 * tried)
+    if rounds < tried:
+        model = estimator.setMaxIter(rounds).fit(rows)
     return TreeFit(PipelineModel(stages=[assembler, model]), candidate, rounds)
 
 
@@ -342,9 +353,15 @@ def search_trees(
 ) -> SearchResult:
     """Lowest validation log loss; ties prefer shallower trees, then fewer rounds."""
     _check_candidates(candidates, bound)
-    fits = _run_parallel(
-        lambda c: fit_trees(train, validation, names, target, c, patience=patience, seed=seed), candidates, parallelism
-    )
+    # all candidates share one copy of the shaped rows
+    assembler, rows = _tree_rows(train, names, target)
+    _, held = _tree_rows(validation, names, target)
+    rows, held = rows.persist(), held.persist()
+    try:
+        fits = _run_parallel(lambda c: _fit_rows(assembler, rows, held, c, patience, seed), candidates, parallelism)
+    finally:
+        rows.unpersist()
+        held.unpersist()
     good = [f for f in fits if isinstance(f, TreeFit)]
     losses = dict(zip([f.candidate.name for f in good], validation_losses([f.model for f in good], validation, target))) if good else {}
     trials = []
@@ -366,14 +383,14 @@ def search_trees(
 class TreeSpace:
     """Bounds of the random search; rate and child weight are drawn on a log scale."""
 
-    max_depth: tuple[int, int] = (2, 7)
-    learning_rate: tuple[float, float] = (0.01, 0.15)
-    min_child_weight: tuple[float, float] = (1.0, 12.0)
-    subsample: tuple[float, float] = (0.6, 1.0)
-    colsample: tuple[float, float] = (0.6, 1.0)
-    gamma: tuple[float, float] = (0.0, 5.0)
-    max_bin: tuple[int, int] = (128, 512)
-    rounds: tuple[int, int] = (200, 2000)
+    max_depth: tuple[int, int] = fv.TREE_SPACE["max_depth"]
+    learning_rate: tuple[float, float] = fv.TREE_SPACE["learning_rate"]
+    min_child_weight: tuple[float, float] = fv.TREE_SPACE["min_child_weight"]
+    subsample: tuple[float, float] = fv.TREE_SPACE["subsample"]
+    colsample: tuple[float, float] = fv.TREE_SPACE["colsample"]
+    gamma: tuple[float, float] = fv.TREE_SPACE["gamma"]
+    max_bin: tuple[int, int] = fv.TREE_SPACE["max_bin"]
+    rounds: tuple[int, int] = fv.TREE_SPACE["rounds"]
 
     def draw(self, trials: int, seed: int = 42) -> list[TreeCandidate]:
         if not 1 <= trials <= MAX_TRIALS:
