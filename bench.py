@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR  folder of the tables (default /root/testdata/sf0.1)
 BENCH_CPUS    local cores (default 8)
-BENCH_RUNS    timed runs per query after one warm-up; the median is reported (default 1)
+BENCH_RUNS    timed runs per query after one warm-up; the median is reported (default 3)
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def main() -> None:
     load_all()
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_RUNS", "1"))
+    repeats = int(os.environ.get("BENCH_RUNS", "3"))
     spark = build_session("bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus), extra={"spark.driver.memory": "16g"})
     times = {}
     for name in HEADLINE:
