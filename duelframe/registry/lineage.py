@@ -89,3 +89,47 @@ def lineage_verification(spark, sf):
     now = ln.table_fingerprint(contests).select(F.lit("contests").alias("name"), F.col("table_sha256").alias("sha256"))
     before = ln.table_fingerprint(contests.where("target = 1")).select(F.lit("contests").alias("path"), F.col("table_sha256").alias("sha256"))
     return ln.digest_mismatches(now.withColumnRenamed("name", "path"), before)
+
+# Documents as files: a path, the digest of the text and its bytes.
+AS_FILES_SQL = "files AS (SELECT 'doc/' || doc_id AS path, sha256(text) AS sha, strlen(text) AS size FROM documents)"
+
+
+def _as_files(spark, sf):
+    docs = table(spark, sf, "documents")
+    return docs.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("size_bytes"))
+
+
+@query(
+    "s05_combined_documents",
+    f"""WITH {AS_FILES_SQL},
+    b AS (SELECT substr(md5(path), 1, 3) AS bucket, sha256(string_agg(path || chr(0) || sha || chr(0) || size, chr(10) ORDER BY path)) AS digest FROM files GROUP BY 1)
+    SELECT sha256(string_agg(bucket || ':' || digest, chr(10) ORDER BY bucket)) AS combined_sha256 FROM b""",
+)
+def combined_documents(spark, sf):
+    return ln.combined_digest(_as_files(spark, sf))
+
+
+@query(
+    "s06_digest_check_documents",
+    f"""WITH {AS_FILES_SQL}, t AS (SELECT *, CAST(substr(path, 5) AS BIGINT) % 5 AS k FROM files),
+    e AS (SELECT CASE WHEN k = 4 THEN path || 'x' ELSE path END AS path, CASE k WHEN 1 THEN sha256(path) WHEN 2 THEN 'zz' ELSE upper(sha) || ' ' END AS raw FROM t),
+    j AS (SELECT coalesce(t.path, e.path) AS path, t.sha AS sha256, lower(trim(e.raw)) AS expected FROM t FULL JOIN e USING (path))
+    SELECT path, sha256, expected, CASE WHEN expected = 'zz' THEN 'bad_digest' WHEN sha256 IS NULL THEN 'missing_file' WHEN expected IS NULL THEN 'unexpected_file' ELSE 'mismatch' END AS finding
+    FROM j WHERE sha256 IS NULL OR expected IS NULL OR sha256 <> expected""",
+)
+def digest_check_documents(spark, sf):
+    files = _as_files(spark, sf)
+    kind = F.substring("path", 5, 20).cast("bigint") % 5
+    path = F.when(kind == 4, F.concat("path", F.lit("x"))).otherwise(F.col("path"))
+    raw = F.when(kind == 1, F.sha2("path", 256)).when(kind == 2, "zz").otherwise(F.concat(F.upper("sha256"), F.lit(" ")))
+    return ln.digest_mismatches(files, files.select(path.alias("path"), raw.alias("sha256")))
+
+
+@query(
+    "s08_lineage_sources",
+    """WITH a AS (SELECT source AS name, sha256(CAST(COUNT(*) AS VARCHAR)) AS sha FROM documents GROUP BY 1)
+    SELECT sha256(string_agg(name || chr(0) || sha || chr(10), '' ORDER BY name) || repeat('0', 64)) AS combined_sha256 FROM a""",
+)
+def lineage_sources(spark, sf):
+    assets = table(spark, sf, "documents").groupBy(F.col("source").alias("name")).agg(F.sha2(F.count(F.lit(1)).cast("string"), 256).alias("sha256"))
+    return ln.lineage_digest(assets, "0" * 64)

@@ -28,22 +28,22 @@ def relative_to(files: DataFrame, root: str) -> DataFrame:
     return files.withColumn("path", F.regexp_extract("path", f"^.*?\\Q{base}\\E(.*)$", 1))
 
 
-def combined_digest(files: DataFrame, *, buckets: int = 1024) -> DataFrame:
+def combined_digest(files: DataFrame, *, digits: int = 3) -> DataFrame:
     """One digest over (path, digest, size) of any number of files.
 
-    Files are hashed into a fixed number of buckets; every bucket hashes its sorted
+    Files fall into 16 ** digits buckets by the md5 of their path; every bucket hashes its sorted
     lines, and the digest covers the sorted bucket digests. No list grows past its
     bucket, and the result does not depend on the order of files.
     """
     line = F.concat_ws("\x00", "path", "sha256", F.col("size_bytes").cast("string"))
     per_bucket = (
-        files.select(F.pmod(F.xxhash64("path"), F.lit(buckets)).alias("bucket"), line.alias("line"))
+        files.select(F.substring(F.md5("path"), 1, digits).alias("bucket"), line.alias("line"))
         .groupBy("bucket")
         .agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256).alias("digest"))
     )
     ordered = F.sort_array(F.collect_list(F.struct("bucket", "digest")))
     return per_bucket.agg(
-        F.sha2(F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["bucket"].cast("string"), s["digest"])), "\n"), 256).alias("combined_sha256")
+        F.sha2(F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["bucket"], s["digest"])), "\n"), 256).alias("combined_sha256")
     )
 
 
