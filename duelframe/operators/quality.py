@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,10 +59,31 @@ def column_counts(df: DataFrame, check: str, conditions: dict[str, Column]) -> D
     )
 
 
+def row_checks(df: DataFrame, checks: Sequence[tuple[str, str, Column, Column]], *, limit: int = 10) -> DataFrame:
+    """(check, column, bad, example) conditions over one scan: count of bad rows and the first examples in text order.
+
+    Only bad cells leave the tasks, summed by value. The ranked limit keeps `limit` values a task and check.
+    """
+    named = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(check).alias("check"), F.lit(column).alias("column")) for i, (check, column, _, _) in enumerate(checks)])
+    cells = F.array(
+        *[F.struct(F.lit(i).alias("i"), bad.alias("bad"), example.cast("string").alias("example")) for i, (_, _, bad, example) in enumerate(checks)]
+    )
+    values = df.select(F.inline(F.filter(cells, lambda c: c["bad"]))).groupBy("i", "example").agg(F.count(F.lit(1)).alias("n"))
+    totals = values.groupBy("i").agg(F.sum("n").alias("bad_count"))
+    ranked = values.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("example")))
+    few = ranked.where(F.col("rank") <= limit).groupBy("i").agg(F.sort_array(F.collect_list("example")).alias("examples"))
+    return (
+        df.sparkSession.range(1)
+        .select(F.inline(named))
+        .join(totals, "i", "left")
+        .join(few, "i", "left")
+        .select("check", "column", F.coalesce("bad_count", F.lit(0)).cast("bigint").alias("bad_count"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
+    )
+
+
 def row_check(df: DataFrame, check: str, column: str, bad: Column, example: Column, *, limit: int = 10) -> DataFrame:
-    """Count of bad rows with the first few examples in text order."""
-    wrong = df.where(bad).select(example.cast("string").alias("example"))
-    return _with_examples(wrong.agg(F.count(F.lit(1)).alias("bad_count")), wrong, check, column, limit)
+    """One condition of `row_checks`."""
+    return row_checks(df, [(check, column, bad, example)], limit=limit)
 
 
 def _with_examples(counted: DataFrame, wrong: DataFrame, check: str, column: str, limit: int) -> DataFrame:

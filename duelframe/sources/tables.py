@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duelframe import fixed_values as fv
-from duelframe.operators.quality import DataCheckError, combine, missing_columns, row_check
+from duelframe.operators.quality import DataCheckError, missing_columns, row_checks
 
 RAW = "__raw_"
 # fixed values: texts read as missing, beside the empty text
@@ -72,12 +72,8 @@ def parse_findings(df: DataFrame, *, limit: int = 5) -> DataFrame:
         from duelframe.operators.quality import FINDING
 
         return df.sparkSession.createDataFrame([], FINDING)
-    return combine(
-        [
-            row_check(df, "cell_unparseable", c[len(RAW):], F.col(c).isNotNull() & F.col(c[len(RAW):]).isNull(), F.col(c), limit=limit)
-            for c in raws
-        ]
-    )
+    checks = [("cell_unparseable", c[len(RAW):], F.col(c).isNotNull() & F.col(c[len(RAW):]).isNull(), F.col(c)) for c in raws]
+    return row_checks(df, checks, limit=limit)
 
 
 def without_raw(df: DataFrame) -> DataFrame:

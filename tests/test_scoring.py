@@ -283,3 +283,15 @@ def test_selection_at_the_tolerance(spark):
     assert decide(0.5, 0.6, groups)["selected"] == "l"
     banded = groups.withColumn("segment", F.lit("probability_band"))
     assert decide(0.5, 0.6, banded)["selected"] == "l"
+
+
+def test_cell_checks_scan_a_table_once(spark, tmp_path):
+    from duelframe.sources.tables import RAW, parse_findings
+
+    columns = ", ".join(f"'{'x' if i % 2 else i}' AS {RAW}f{i}, {'CAST(NULL AS DOUBLE)' if i % 2 else f'{i}D'} AS f{i}" for i in range(71))
+    spark.sql(f"SELECT {columns} FROM range(20)").write.parquet(str(tmp_path / "cells"))
+    found = parse_findings(spark.read.parquet(str(tmp_path / "cells")))
+    rows = {r["column"]: (r["bad_count"], r["examples"]) for r in found.collect()}
+    assert len(rows) == 71 and rows["f1"] == (20, ["x"]) and rows["f2"] == (0, [])
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") <= 2
