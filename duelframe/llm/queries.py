@@ -114,6 +114,14 @@ def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return digest(contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
 
 
+@register("op7_proximity")
+def op7_proximity(spark: SparkSession, sf: str) -> DataFrame:
+    """The columns of op7_decontamination, which its SQL fixes, and the number of proximity matches."""
+    from duelframe.llm.decontaminate import SLACK, contamination, digest
+
+    return digest(contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"), slack=SLACK))
+
+
 OP4_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w

@@ -302,6 +302,31 @@ def test_decontamination(spark, texts):
     assert [tuple(r)[1:] for r in rows] == list(contaminated(every, items))
 
 
+def smallest_intervals(text, items, slack, n):
+    """Every interval judged from scratch."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    w, found = split(text), Counter()
+    for own in {tuple(x[i : i + n]) for x in map(split, items) if x for i in range(max(1, len(x) - n + 1))}:
+        whole = lambda a, b: set(own) <= set(w[a : b + 1])
+        for a in range(len(w)):
+            for b in range(a, min(len(w), a + len(own) + slack)):
+                if whole(a, b) and not whole(a + 1, b) and not whole(a, b - 1):
+                    found[a, b] += 1
+    return sum(found.values())
+
+
+def test_proximity_matches_are_all_found(spark):
+    rng = random.Random(13)
+    items = ["a b c", "d e d f", "solo", None, "g h i j k", "missing a"]
+    far = ["b", *"vwxyz", *["a"], *"vwxyz", "b", "c"]  # the nearest b stands on the wrong side
+    every = [" ".join(far[0:1] + far[1:5] + far[6:]), "c x b x a", "a x x x x x x x x b c", None, "", "solo Solo. a b"]
+    every += [" ".join(rng.choice("aabbbcdefghijkxyz") for _ in range(rng.randint(1, 150))) for _ in range(40)]
+    frame = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for length, slack in ((3, 5), (13, 2)):
+        rows = decontaminate.digest(decontaminate.contamination(documents(spark, every), frame, length=length, slack=slack)).orderBy("doc_id").collect()
+        assert [r["n_near"] for r in rows] == [smallest_intervals(t, items, slack, length) for t in every]
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     rows = decontaminate.digest(decontaminate.contamination(documents(spark, ["a b", None], ids=[None, None]), none)).collect()
