@@ -7,7 +7,8 @@ A byte goes if a string of `length` bytes that covers it also starts in a docume
    in one document only cannot repeat. Anchors are counted into sorted hash arrays, which tasks search.
 2. Runs whose anchor repeats are told apart by their text's hash. Within one task and then within one shard of
    anchors, equal runs belong to their smallest document; all others are repeats as a whole. Runs of one text
-   are sent on once a task.
+   are sent on once a task. Runs of an anchor with more than `hot_runs` of them are first cut into their strings,
+   each with its own hash in place of the anchor: such strings are dealt by themselves, and step 3 has none of them.
 3. Anchors that stand in different texts are where repeats begin or end. A shard joins one text of each kind, sorts
    its suffixes (Larsson-Sadakane), takes common prefixes (Kasai), and strings of equal prefixes belong
    to their smallest document.
@@ -40,6 +41,12 @@ _LAST = (1 << 63) - 1
 _SHARD_BYTES = 1 << 20
 #: runs take some forty bytes of memory a byte of text
 _RUN_SLICE = 2 << 20
+#: an anchor of more runs is settled string by string
+_HOT_RUNS = 10_000
+#: strings of such runs taken together
+_HOT_STRINGS = 500_000
+#: characters of text whose anchors make one range
+_RANGE_CHARS = 32 << 20
 
 
 def _inner_hashes(raw: bytes, size: int) -> np.ndarray:
@@ -99,7 +106,7 @@ def runs(raw: list[bytes], length: int) -> tuple[np.ndarray, ...]:
 
 
 def _anchor_documents(raw: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct anchors and in how many documents each stands (2: two or more)."""
+    """Distinct anchors and 1 where all runs of one are in one document, otherwise the number of its runs."""
     doc, _, _, anchor = runs(raw, length)
     order = np.argsort(anchor)
     anchor, doc = anchor[order], doc[order]
@@ -107,15 +114,15 @@ def _anchor_documents(raw: list[bytes], length: int) -> tuple[np.ndarray, np.nda
         return anchor, np.zeros(0, np.int64)
     head = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     several = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)
-    return anchor[head], 1 + several.astype(np.int64)
+    return anchor[head], np.where(several, np.diff(head, append=len(anchor)), 1)
 
 
 def _bytes(texts: list[str]) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in texts]
 
 
-def repeated_anchors(texts: DataFrame, length: int) -> list[tuple[int, int, int, str]]:
-    """Files of the anchors that stand in two documents or more."""
+def repeated_anchors(texts: DataFrame, length: int, parts: int) -> list[tuple[int, int, int, str]]:
+    """Files of the anchors that stand in two documents or more, with about how many runs each has."""
     spark = texts.sparkSession
     folder = new_folder(spark, "anchors")
 
@@ -126,7 +133,7 @@ def repeated_anchors(texts: DataFrame, length: int) -> list[tuple[int, int, int,
                 yield pa.RecordBatch.from_pydict({"part": [p], "low": [int(keys[:1].view(np.int64)[0])], "n": [len(keys)], "path": [write_file(folder, keys, counts)]})
 
     counted = texts.select("text").mapInArrow(count_rows(lambda t: _anchor_documents(_bytes(t), length), _RUN_SLICE), "key long, n int")
-    return file_list(saved(by_range(counted, width(spark)).mapInArrow(write, FILES), "anchor-files"))
+    return file_list(saved(by_range(counted, parts).mapInArrow(write, FILES), "anchor-files"))
 
 
 _RUNS = "anchor long, kind long, key long, rank long, start long, stop long"
@@ -148,7 +155,35 @@ def _split_classes(anchor, text_hash, rank):
     return order, new_anchor, new_class, rank[order][head]
 
 
-def _dealt_runs(texts: DataFrame, files, length: int) -> DataFrame:
+def _settled(anchor, text_hash, key, rank, start, stop):
+    """What is left of a slice's runs (two arrays of places), and a batch of the whole repeats found in it."""
+    order, _, new_class, head_rank = _split_classes(anchor, text_hash, rank)
+    later = rank[order] > head_rank
+    whole, first = order[later], order[new_class]
+    # of a class's rows with the smallest rank only the first is sent on; the others have nothing smaller here
+    same = order[~later & ~new_class]
+    passed = _batch(mix64(key[whole].astype(np.uint64)).astype(np.int64) >> 1, np.full(len(whole), -1), key[whole], rank[whole], start[whole], stop[whole])
+    return (first, same), passed
+
+
+def _cut_runs(raw: list[bytes], doc, anchor, key, rank, start, stop, length: int):
+    """Runs as single strings: the string's hash in place of the anchor, and the anchor in `kind`."""
+    sizes = stop - start - length + 1
+    group = np.cumsum(sizes) // _HOT_STRINGS
+    for g in np.unique(group):
+        own = np.flatnonzero(group == g)
+        hashes = np.concatenate([_string_hashes(raw[d][a:b], length) for d, a, b in zip(doc[own].tolist(), start[own].tolist(), stop[own].tolist())])
+        n = sizes[own]
+        begin = np.repeat(start[own], n) + np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)
+        # equal hashes of different strings would have to come with equal anchors too
+        columns = (hashes.astype(np.int64), np.repeat(anchor[own].view(np.uint64) >> np.uint64(1), n).astype(np.int64), np.repeat(key[own], n), np.repeat(rank[own], n), begin, begin + length)
+        left, passed = _settled(*columns)
+        yield passed
+        for some in left:
+            yield _batch(*(c[some] for c in columns))
+
+
+def _dealt_runs(texts: DataFrame, files, length: int, hot_runs: int = _HOT_RUNS) -> DataFrame:
     """Runs with repeated anchors: text hash in `kind` for open ones, whole repeats found within a slice apart."""
 
     def run(batches):
@@ -156,23 +191,23 @@ def _dealt_runs(texts: DataFrame, files, length: int) -> DataFrame:
             raw = _bytes(batch.column("text").to_pylist())
             doc, start, stop, anchor = runs(raw, length)
             keys, place = np.unique(anchor, return_inverse=True)
-            there = opened(files).find(keys)[1] > 0 if files else np.zeros(len(keys), dtype=bool)
-            own = np.flatnonzero(there[place]) if len(keys) else np.zeros(0, np.int64)
+            there = opened(files).find(keys)[1] if files else np.zeros(len(keys), dtype=np.int64)
+            own = np.flatnonzero(there[place] > 0) if len(keys) else np.zeros(0, np.int64)
             if not len(own):
                 continue
+            hot = there[place[own]] > hot_runs
             doc, start, stop, anchor = doc[own], start[own], stop[own], anchor[own].astype(np.int64)
             digest = xxhash.xxh3_64_intdigest
             text_hash = np.fromiter((digest(raw[d][s:e]) >> 1 for d, s, e in zip(doc.tolist(), start.tolist(), stop.tolist())), dtype=np.int64, count=len(own))
             key = batch.column("key").to_numpy(zero_copy_only=False)[doc]
             rank = batch.column("rank").to_numpy(zero_copy_only=False)[doc]
-            order, _, new_class, head_rank = _split_classes(anchor, text_hash, rank)
-            later = rank[order] > head_rank
-            whole, first = order[later], order[new_class]
-            # of a class's rows with the smallest rank only the first is sent on; the others have nothing smaller here
-            same = order[~later & ~new_class]
-            yield _batch(mix64(key[whole].astype(np.uint64)).astype(np.int64) >> 1, np.full(len(whole), -1), key[whole], rank[whole], start[whole], stop[whole])
-            for some in (first, same):
-                yield _batch(anchor[some], text_hash[some], key[some], rank[some], start[some], stop[some])
+            left, passed = _settled(anchor, text_hash, key, rank, start, stop)
+            yield passed
+            for some in left:
+                cold, cut = some[~hot[some]], some[hot[some]]
+                yield _batch(anchor[cold], text_hash[cold], key[cold], rank[cold], start[cold], stop[cold])
+                if len(cut):
+                    yield from _cut_runs(raw, doc[cut], anchor[cut], key[cut], rank[cut], start[cut], stop[cut], length)
 
     return texts.mapInArrow(run, _RUNS)
 
@@ -330,18 +365,19 @@ def _cut_out(batches, length: int):
         yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot_runs: int = _HOT_RUNS) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (cut characters become marks of replacement)."""
-    texts, _ = keyed(docs, id_col, text_col)
+    texts, lengths = keyed(docs, id_col, text_col)
     texts = texts.select("key", F.coalesce("id", F.lit(_LAST)).alias("rank"), "text", "id").where("key is not null")
-    files = repeated_anchors(texts, length)
-    dealt = _dealt_runs(texts.select("key", "rank", "text"), files, length).repartition("anchor")
+    parts = max(width(docs.sparkSession), (lengths.agg(F.sum("n_chars")).first()[0] or 0) // _RANGE_CHARS)
+    files = repeated_anchors(texts, length, parts)
+    dealt = _dealt_runs(texts.select("key", "rank", "text"), files, length, hot_runs).repartition(parts, "anchor")
     found = saved(dealt.mapInArrow(_resolve_classes, _RUNS), "repeat-runs")
     whole = found.where(F.col("kind") == _WHOLE).select("key", "start", "stop")
     asked = found.where(F.col("kind") == _ASK).select("key", "anchor", "rank", "start", "stop")
     piece = F.substring(F.col("text").cast("binary"), (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))
     pieces = asked.join(texts.select("key", "text"), "key").select("anchor", "key", "rank", "start", piece.alias("piece"))
-    compared = pieces.repartition("anchor").sortWithinPartitions("anchor", "rank").mapInArrow(_compare_texts(length), "key long, start long, stop long")
+    compared = pieces.repartition(parts, "anchor").sortWithinPartitions("anchor", "rank").mapInArrow(_compare_texts(length), "key long, start long, stop long")
     ranges = whole.union(compared).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     joined = texts.select("key", "id", "text").join(ranges, "key", "left").select("id", "text", "ranges")
     return joined.mapInArrow(lambda b: _cut_out(b, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")

@@ -367,6 +367,30 @@ def test_repeats_with_null_and_repeated_ids(spark):
     assert repeats.remove_repeats(documents(spark, [])).count() == 0
 
 
+def test_hot_anchors_are_dealt_by_string(spark, texts):
+    rng = random.Random(17)
+    core = prose(rng, 20)
+    every = [prose(rng, 12) + core[:45] + prose(rng, 12) for _ in range(60)]  # shared anchors, neighbours differ
+    every += [prose(rng, 12) + core[:60] + prose(rng, 12) for _ in range(30)] + ["x" * 400 + prose(rng, 5) for _ in range(10)] + texts
+    ids = [*range(len(every) - 3), 5, 5, None]
+    rows = repeats.remove_repeats(documents(spark, every), hot_runs=8).orderBy("doc_id").collect()
+    assert [tuple(r)[1:5] for r in rows] == list(without_repeats(every))
+    odd = documents(spark, every, ids=ids)
+    least, raw = {}, [((t or "").encode(), 1 << 62 if k is None else k) for t, k in zip(every, ids)]
+    for text, rank in raw:
+        for i in range(len(text) - 49):
+            least[text[i : i + 50]] = min(rank, least.get(text[i : i + 50], rank))
+    want = []
+    for k, (text, rank) in zip(ids, raw):
+        gone = {p for i in range(len(text) - 49) if least[text[i : i + 50]] < rank for p in range(i, i + 50)}
+        want.append((str(k), len(text), len(gone)))
+    got = [(str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in repeats.remove_repeats(odd, hot_runs=8).collect()]
+    assert sorted(got) == sorted(want)
+    alone = documents(spark, every[:60]).selectExpr("doc_id key", "doc_id rank", "text")
+    most = [repeats._dealt_runs(alone, repeats.repeated_anchors(alone, 50, 2), 50, n).groupBy("anchor").count().agg({"count": "max"}).first()[0] for n in (8, 1000)]
+    assert most[0] <= 8 and most[1] >= 30
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 40, 2_000])
 @pytest.mark.parametrize("letters", [1, 2, 5])
 def test_suffix_array_and_common_prefixes(size, letters):
