@@ -166,3 +166,38 @@ def op8_repeats(spark: SparkSession, sf: str) -> DataFrame:
     from duelframe.llm.repeats import remove_repeats
 
     return remove_repeats(table(spark, sf, "documents")).drop("kept_text")
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+k AS (SELECT *, md5(concat_ws(':', '17', doc_id::VARCHAR, size::VARCHAR)) AS key FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+c AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap, ([5.0, 2.0, 1.0]::DOUBLE[])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight,
+    1.5::DOUBLE * sum(source_size) OVER () AS wanted FROM s),
+o AS (
+  SELECT *, wanted - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l,
+    sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w FROM c WHERE source_size > 0),
+level AS (SELECT l, w FROM o WHERE cap * w > weight * l ORDER BY cap / weight, source LIMIT 1),
+t AS (
+  SELECT c.source, c.source_size, CASE WHEN c.source_size = 0 THEN 0.0 WHEN c.cap * level.w <= c.weight * level.l THEN c.cap ELSE level.l * c.weight / level.w END AS target
+  FROM c LEFT JOIN level ON true),
+r AS (SELECT *, floor(target + 0.5)::BIGINT AS words FROM t),
+p AS (
+  SELECT k.*, r.source_size, r.target, CASE WHEN r.source_size > 0 THEN r.words // r.source_size ELSE 0 END AS whole, CASE WHEN r.source_size > 0 THEN r.words % r.source_size ELSE 0 END AS rest,
+    sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key) AS upto, sum(k.size) OVER (PARTITION BY k.source, k.key) AS own, count(*) OVER (PARTITION BY k.source, k.key) AS n
+  FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target::DOUBLE AS target,
+  (whole * size + CASE WHEN upto <= rest THEN size WHEN upto - own >= rest THEN 0 ELSE (rest - (upto - own)) // n END)::BIGINT AS taken
+FROM p
+"""
+
+
+@register("op11_mixing", OP11_SQL)
+def op11_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    from duelframe.llm.common import saved
+    from duelframe.llm.mixing import mix_plan, sized, taken
+
+    rows = saved(sized(table(spark, sf, "documents")), "mix-sizes")
+    found = taken(rows, mix_plan(rows, [5, 2, 1], share=1.5, max_epochs=2))
+    return found.select(found["id"].alias("doc_id"), "size", "source_size", "target", "taken")
