@@ -142,3 +142,29 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
         texts = saved(texts.withColumn("key", F.monotonically_increasing_id()), "numbered-texts")
         return texts, texts.select("key", "id", F.length("text").cast("long").alias("n_chars"))
     return texts.withColumn("key", F.col("id")), lengths.select(F.col("id").alias("key"), "id", "n_chars")
+
+
+def byte_words(raw: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts in order as they stand, and each text's number of words."""
+    codes = np.frombuffer(b"\n".join([*raw, b""]), dtype=np.uint8)
+    space = _IS_SPACE[codes]
+    inside = ~space
+    start = np.flatnonzero(inside & np.concatenate([[True], space[:-1]])) if len(codes) else np.zeros(0, dtype=np.int64)
+    length = np.flatnonzero(inside & np.concatenate([space[1:], [True]])) + 1 - start if len(codes) else start
+    offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(codes[inside]))])
+    ends = np.cumsum(np.array([len(r) + 1 for r in raw], dtype=np.int64))
+    return words, np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def byte_hashes(values: pa.Array) -> np.ndarray:
+    """64-bit hashes of the values of a large_binary array without nulls."""
+    if not len(values):
+        return np.zeros(0, dtype=np.uint64)
+    offsets = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + len(values) + 1]
+    length = np.diff(offsets)
+    letters = np.frombuffer(values.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, dtype=np.uint8)
+    place = np.arange(len(letters)) - np.repeat(offsets[:-1] - offsets[0], length)
+    upto = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE_KEYS[letters] * _powers(int(length.max()) + 1)[place])])
+    at = offsets - offsets[0]
+    return mix64(upto[at[1:]] - upto[at[:-1]] + length.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))

@@ -201,3 +201,62 @@ def op11_mixing(spark: SparkSession, sf: str) -> DataFrame:
     rows = saved(sized(table(spark, sf, "documents")), "mix-sizes")
     found = taken(rows, mix_plan(rows, [5, 2, 1], share=1.5, max_epochs=2))
     return found.select(found["id"].alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+OP12_SQL = r"""
+WITH w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+i AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM w WHERE len(w) > 0),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM i, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+u AS (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM c),
+s AS (
+  SELECT u.lang, u.phrase, u.a, cut, l.f AS l, r.f AS r, n.n, (1000::HUGEINT * u.a * n.n) // (l.f::HUGEINT * r.f) AS score
+  FROM u JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(u.w[1 : cut], ' ') JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(u.w[cut + 1 : u.k], ' ')
+  JOIN n ON n.lang = u.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM s),
+q AS (
+  SELECT lang, phrase, a, l, r, n, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM b WHERE o = 1 AND NOT EXISTS (
+    SELECT 1 FROM c WHERE c.lang = b.lang AND len(c.w) > len(string_split(b.phrase, ' ')) AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * c.a >= 100 * b.a))
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM q WHERE rank <= 2000
+"""
+
+
+@register("op12_collocations", OP12_SQL)
+def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    from duelframe.llm.collocations import collocations
+
+    return collocations(table(spark, sf, "documents"), min_count=100, max_words=5, top=2_000)
+
+
+@register("op13_runs")
+def op13_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of every text, after the words of one document in ten have been replaced by repetitions of some of its own."""
+    from pyspark.sql import functions as F
+
+    from duelframe.llm.mixing import n_words
+    from duelframe.llm.periodic import periodic_runs
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    docs = docs.withColumn("__h", h).withColumn("__n", F.when(F.col("__h") % 10 == 0, n_words(F.col("text"))))
+    g = F.floor(F.col("__h") / 10)
+    docs = docs.withColumn("__a", F.when(F.col("__n") > 0, F.pmod(g, F.col("__n"))))
+    docs = docs.withColumn("__p", 1 + F.floor((F.col("__n") - F.col("__a")) / (3 + F.pmod(g, F.lit(8)))))
+    found = periodic_runs(docs.select("doc_id", "text", "__a", "__p"), overlay=("__a", "__p"))
+    line = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        "n_runs",
+        "start",
+        "length",
+        "period",
+        F.expr("(1000 * length) div period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
