@@ -7,7 +7,7 @@ of it. A source's target is then met by whole repetitions of all its documents,
 of them, and a part of one document, so that the words taken add up to the rounded target.
 
 The sample holds the documents with the smallest keys (md5 of seed, id and size). Where it ends is found from sums by
-key prefixes, four hexadecimal digits at a time, so that no task sorts a whole source, however large.
+key prefixes, two hexadecimal digits at a time, so that no task sorts a whole source, however large.
 
 Defined results: null texts have no words and are taken 0 words of; null sources are one source, the last in order;
 null ids are ids like others. Documents with the same source, id and size cannot be told apart: those at the end of
@@ -27,7 +27,7 @@ from duelframe.llm.common import saved
 
 SEED = 17
 _SPACE = " \t\n\x0b\f\r"
-_DIGITS = (4, 8, 32)
+_DIGITS = (2, 4, 6, 8, 32)
 
 
 def n_words(text: Column) -> Column:
@@ -103,7 +103,7 @@ def cuts(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Sources with the key at which the sample ends (`cut`) and the words taken of each document with that key (`part`).
 
     `rows` are those of `sized`. A step sums sizes by longer prefixes of the keys inside the prefix in which the sample
-    ends, so a window goes over at most 65,536 rows a source, and in the last step over the keys of one prefix of eight.
+    ends, so a window goes over at most 256 rows a source, and in the last step over the keys with one prefix of eight digits.
     """
     sources = saved(sources, "mix-targets")
     want = sources.where("rest > 0").select("source", "rest", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("n"))
