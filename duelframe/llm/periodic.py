@@ -115,7 +115,7 @@ def _block_ranges(order: np.ndarray, head: np.ndarray, n: int, longest: int):
     rank = np.arange(size, size + n + 1)  # a place with no twin differs from all others
     rank[order] = np.maximum.accumulate(np.where(head, places, 0))
     tied, m, blocks = places, _SHORTEST, []
-    while 2 * m <= max(longest, 2 * _SHORTEST):
+    while m <= max(longest, _SHORTEST):
         bounds = np.append(np.flatnonzero(head), len(tied))
         count = np.diff(bounds)
         many = np.repeat(count > 1, count)
