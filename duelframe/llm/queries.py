@@ -161,7 +161,25 @@ def op6_syncmers(spark: SparkSession, sf: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf, "documents"))
 
 
-@register("op8_repeats")
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+s AS (SELECT doc_id, i, substring(x, 2 * i + 1, 100) AS g FROM (SELECT doc_id, x, unnest(generate_series(0, n - 50)) AS i FROM d WHERE n >= 50)),
+m AS (SELECT hash(g) AS h, g, min(doc_id) AS least FROM s GROUP BY g HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT s.doc_id, s.i FROM s JOIN m ON hash(s.g) = m.h AND s.g = m.g WHERE s.doc_id > m.least),
+o AS (SELECT *, coalesce(i - lag(i) OVER w > 50, true)::INT AS new FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM o),
+p AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY doc_id, span),
+q AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS was FROM p),
+k AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substring(x, 2 * was + 1, 2 * (a - was)), '' ORDER BY a) AS kept
+  FROM q JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(k.n_removed, 0)::BIGINT AS n_removed, coalesce(k.n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(k.kept, '') || substring(d.x, 2 * coalesce(k.last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
+@register("op8_repeats", OP8_SQL)
 def op8_repeats(spark: SparkSession, sf: str) -> DataFrame:
     from duelframe.llm.repeats import remove_repeats
 

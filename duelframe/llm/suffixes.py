@@ -12,8 +12,8 @@ import numpy as np
 _LANES = 4096
 
 
-def _first_keys(codes: np.ndarray) -> tuple[np.ndarray, int]:
-    """Sort keys of the first characters of each suffix, as many as fit into 63 bits, and how many these are."""
+def _first_keys(codes: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Sort keys of the first characters of each suffix, as many as fit into 63 bits, how many these are, and bits of one."""
     if int(codes.max()) >= 1 << 12:
         codes = np.unique(codes, return_inverse=True)[1]
     bits = max(1, int(codes.max() + 1).bit_length())
@@ -22,7 +22,7 @@ def _first_keys(codes: np.ndarray) -> tuple[np.ndarray, int]:
     key = np.zeros(len(codes), dtype=np.int64)
     for k in range(held):
         key = (key << bits) | padded[k : k + len(codes)]
-    return key, held
+    return key, held, bits
 
 
 def doubling_suffix_array(codes: np.ndarray, depth: int, ends: np.ndarray | None = None) -> np.ndarray:
@@ -33,7 +33,7 @@ def doubling_suffix_array(codes: np.ndarray, depth: int, ends: np.ndarray | None
     n = len(codes)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
-    key, reach = _first_keys(codes)
+    key, reach, bits = _first_keys(codes)
     if ends is None or not len(ends):
         order = np.argsort(key)
         mark = None
@@ -41,7 +41,12 @@ def doubling_suffix_array(codes: np.ndarray, depth: int, ends: np.ndarray | None
         # which end mark is among the first characters, if one is
         following = np.searchsorted(ends, np.arange(n))
         near = np.minimum(following, len(ends) - 1)
-        mark = np.where((following < len(ends)) & (ends[near] - np.arange(n) < reach), near + 1, 0)
+        away = ends[near] - np.arange(n)
+        marked = (following < len(ends)) & (away < reach)
+        mark = np.where(marked, near + 1, 0)
+        # the number of the mark decides, so nothing behind it may take part
+        behind = np.where(marked, bits * (reach - 1 - away), 0)
+        key = (key >> behind) << behind
         order = np.lexsort((mark, key))
     head = np.empty(n, dtype=bool)
     head[0], head[1:] = True, key[order[1:]] != key[order[:-1]]
