@@ -191,6 +191,13 @@ ACTIVITY_WINDOWS = (("feature_activity_365d", 365), ("feature_activity_730d", 73
 LOG_LOSS_EPSILON = 2.220446049250313e-16
 LOGIT_EPSILON = 1e-6
 MISSING_MARKER = "<missing>"
+SMALL_GROUP_REASON = "Fewer than min_samples={} rows."
+MIN_SAMPLES_ERROR = "min_samples must be between 1 and the sample count."
+# names of the standard segments: class, both known, one unknown, both experienced, experience, probability, title
+STANDARD_SEGMENTS = (
+    "seg_division", "both_fighters_have_ufc_history", "at_least_one_ufc_debutant", "both_fighters_have_three_plus_fights",
+    "experience_band", "probability_band", "title_bout",
+)
 # (label, largest count in the band); the last band is open
 EXPERIENCE_BANDS = (("debut", 0), ("1_to_2", 2), ("3_to_5", 5), ("6_to_10", 10), ("11_plus", None))
 # (label, upper bound, exclusive); the last band is open

@@ -65,9 +65,9 @@ def _folded(value: Column, fold, ascii_only: bool) -> Column:
     return F.when(plain, F.lower(value)).otherwise(fold(F.when(~plain, value)))
 
 
-def folded_case(value: Column | str) -> Column:
-    """Case-folded text; only rows beyond ASCII leave the JVM."""
-    return _folded(col(value), _fold_case, False)
+def folded_case(value: Column | str, *, ascii_only: bool = False) -> Column:
+    """Case-folded text; only rows beyond ASCII leave the JVM, and none where all texts are known to be ASCII."""
+    return _folded(col(value), _fold_case, ascii_only)
 
 
 def name_key(value: Column | str, *, ascii_only: bool = False) -> Column:

@@ -28,11 +28,12 @@ def strict_asof(
 ) -> DataFrame:
     """Requests with the chosen snapshot as a struct, its status and the available dates.
 
-    Both sides are first reduced to one row per entity and calendar day with
-    map-side sums. What the window sees per entity is therefore bounded by the
-    calendar, however many requests or repeated snapshots an entity has. The
-    answers then join back on (entity, day); with `spread_by`, requests of a very
-    common (entity, day) are salted over many tasks.
+    Two steps. The first looks at ids and days only: snapshots of entities that nobody asks for are dropped before
+    anything is dealt, both sides are reduced to one row per entity and calendar day with map-side sums, and a window
+    over (id, day, count) finds the day that each request gets. What the window sees per entity is bounded by the
+    calendar, however many requests or repeated snapshots an entity has. The second fetches the whole rows of
+    the chosen (id, day) pairs, so wide rows never enter a window or an aggregate. The answers join back on
+    (entity, day); with `spread_by`, requests of a very common (entity, day) are salted over many tasks.
 
     With `repeats`, a struct of that name holds the number of rows on a date that is there more than once, and the date.
 
@@ -40,22 +41,21 @@ def strict_asof(
     repeats on the selected date count as duplicates. Snapshots on the reference
     date itself are never used.
     """
-    per_day = snapshots.groupBy(F.col(snapshot_id).alias("__id"), F.col(as_of).cast("date").alias("__day")).agg(
-        F.count(F.lit(1)).alias("__n"), F.first(F.struct("*")).alias("__row")
-    )
     asked = (
         requests.select(F.col(entity_id).alias("__id"), F.col(reference).cast("date").alias("__day"))
         .where("__id IS NOT NULL AND __day IS NOT NULL")
         .distinct()
     )
+    dated_ids = snapshots.select(F.col(snapshot_id).alias("__id"), F.col(as_of).cast("date").alias("__day"))
+    per_day = dated_ids.join(asked.select("__id").distinct(), "__id", "left_semi").groupBy("__id", "__day").agg(F.count(F.lit(1)).alias("__n"))
     timeline = per_day.withColumn("__kind", F.lit(1)).unionByName(asked.withColumn("__kind", F.lit(0)), allowMissingColumns=True)
     # requests sort before snapshots of the same day, which keeps the join strict
     upto = Window.partitionBy("__id").orderBy(F.asc_nulls_first("__day"), "__kind").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("__id")
     is_snapshot = F.col("__kind") == 1
     dated = is_snapshot & F.col("__day").isNotNull()
-    hit = F.last(F.when(dated, F.struct("__n", "__row", "__day")), ignorenulls=True).over(upto)
-    answers = (
+    hit = F.last(F.when(dated, F.struct("__n", "__day")), ignorenulls=True).over(upto)
+    found = (
         timeline.select(
             "__id", "__day", "__kind",
             hit.alias("__hit"),
@@ -71,10 +71,14 @@ def strict_asof(
             .when(F.col("__hit.__n") > 1, F.lit(DUPLICATE))
             .otherwise(F.lit(OK))
             .alias("snapshot_status"),
-            F.when(F.col("__hit.__n") == 1, F.col("__hit.__row")).alias(out),
+            # only a date with one row is looked up
+            F.when(F.col("__hit.__n") == 1, F.col("__hit.__day")).alias("__taken"),
             *([F.when(F.col("__hit.__n") > 1, F.struct(F.col("__hit.__n").alias("n"), F.col("__hit.__day").alias("day"))).alias(repeats)] if repeats else []),
         )
     )
+    taken = found.where("__taken IS NOT NULL").select("__id", "__taken").distinct()
+    rows = snapshots.select(F.col(snapshot_id).alias("__id"), F.col(as_of).cast("date").alias("__taken"), F.struct("*").alias(out))
+    answers = found.join(rows.join(taken, ["__id", "__taken"], "left_semi"), ["__id", "__taken"], "left").drop("__taken")
     id_of = F.col(entity_id)
     if dict(requests.dtypes)[entity_id] == "string":
         plain = [c for c, kind in requests.dtypes if kind in ("string", "date", "timestamp", "bigint", "int")]

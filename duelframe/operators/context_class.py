@@ -27,10 +27,10 @@ def _class_table() -> str:
     return f"map({', '.join(rows)})"
 
 
-def class_code(label: Column) -> Column:
-    """Code of a code or label, null when unknown."""
+def class_code(label: Column, *, ascii_only: bool = False) -> Column:
+    """Code of a code or label, null when unknown. With `ascii_only`, labels beyond ASCII are not case-folded."""
     direct = F.upper(strip(label))
-    return F.when(direct.isin(*_CODES), direct).otherwise(lookup(fv.CONTEXT_ALIASES, class_label(label)))
+    return F.when(direct.isin(*_CODES), direct).otherwise(lookup(fv.CONTEXT_ALIASES, class_label(label, ascii_only=ascii_only)))
 
 
 def with_class(
@@ -41,6 +41,7 @@ def with_class(
     womens: str = "is_womens",
     catch: str = "is_catch_weight",
     prefix: str = "class_",
+    ascii_only: bool = False,
 ) -> DataFrame:
     """Adds class_code, class_pounds, class_womens, class_catch, class_supported and class_error.
 
@@ -48,7 +49,7 @@ def with_class(
     gender are both given; otherwise conflicting context becomes an error code.
     """
     given = F.col(label)
-    staged = df.withColumn("__code", F.when(given.isNotNull() & (given != ""), class_code(given)))
+    staged = df.withColumn("__code", F.when(given.isNotNull() & (given != ""), class_code(given, ascii_only=ascii_only)))
     staged = staged.withColumn("__base", F.expr(f"try_element_at({_class_table()}, coalesce(__code, ''))"))
     lbs = f"CAST(`{pounds}` AS DOUBLE)"
     present = f"`{label}` IS NOT NULL AND `{label}` <> ''"
@@ -72,10 +73,10 @@ def with_class(
     return staged.withColumns({prefix + name: F.expr(text) for name, text in fields.items()}).drop("__code", "__base", "__stripped")
 
 
-def snapshot_class(label: Column) -> Column:
+def snapshot_class(label: Column, *, ascii_only: bool = False) -> Column:
     """Class code stored in a snapshot; blank, UNKNOWN and OPEN count as none."""
     raw = blank_to_null(label)
-    return F.when(~F.upper(raw).isin(*fv.UNUSABLE_CLASSES), class_code(raw))
+    return F.when(~F.upper(raw).isin(*fv.UNUSABLE_CLASSES), class_code(raw, ascii_only=ascii_only))
 
 
 def inferred_class(first: Column, second: Column) -> Column:
@@ -108,8 +109,8 @@ def supported_classes(train: DataFrame, column: str = "division") -> DataFrame:
     return train.where(known).select(code.alias("context_class")).distinct()
 
 
-def known_stance(missing_flag: Column, stance: Column) -> Column:
+def known_stance(missing_flag: Column, stance: Column, *, ascii_only: bool = False) -> Column:
     """Case-folded stance text, null when flagged missing or not a stance."""
-    word = folded_case(blank_to_null(stance))
+    word = folded_case(blank_to_null(stance), ascii_only=ascii_only)
     flag = F.when(F.abs(missing_flag) < float("inf"), missing_flag)
     return F.when((F.coalesce(flag, F.lit(1.0)) < 0.5) & ~word.isin(*fv.UNKNOWN_STANCES), word)

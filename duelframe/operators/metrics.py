@@ -6,9 +6,10 @@ Two paths share one definition of every metric:
   map-side sums; what is shuffled is at most bins x groups rows.
 * With ranking (ROC-AUC, average precision, exact quantile edges) rows are first
   summed per distinct score, then prefix sums run inside score ranges. The ranges
-  come from approximate quantiles of the scores, so no task gets more than its
+  come from a sorted sample of the distinct scores, so no task gets more than its
   share of the scores whatever their distribution, and offsets between ranges are
-  added from a table of at most `buckets` rows per group. Results are exact.
+  added from a table of one row per range and group. Results are exact, and the scored
+  table is read once.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelframe.functions.text import sql_array
 from duelframe.functions.values import clip, is_finite, row_log_loss
 from duelframe import fixed_values as fv
-from duelframe.session import shuffle_width
 
 _BUCKET = "__bucket"
 _ONE = "__all"
 _GROUP = "__group"
+#: scores that stand for unusable rows where a report counts them: target not 0 or 1, score not finite, score outside [0, 1]
+BAD_TARGET, NOT_FINITE, OUTSIDE = -1.0, -2.0, -3.0
 
 METRIC_COLUMNS = (
     "sample_count", "positive_count", "prevalence", "log_loss", "brier_score", "roc_auc",
@@ -70,9 +71,20 @@ def prediction_findings(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     )
 
 
+def marked_score(usable_target: Column, prob: Column) -> Column:
+    """The score, or what stands for an unusable row."""
+    return (
+        F.when(~usable_target, F.lit(BAD_TARGET)).when(~is_finite(prob), F.lit(NOT_FINITE)).when(~prob.between(0.0, 1.0), F.lit(OUTSIDE)).otherwise(prob)
+    )
+
+
 def assert_predictions(df: DataFrame, y: str = "y", p: str = "p") -> None:
-    row = prediction_findings(df, y, p).first()
-    if row["row_count"] == 0:
+    raise_findings(prediction_findings(df, y, p).first().asDict())
+
+
+def raise_findings(row: dict) -> None:
+    """Raise for the first thing that makes a scored table unusable."""
+    if not row["row_count"]:
         raise ValueError("scored table must not be empty.")
     if row["bad_target"]:
         raise ValueError("target must contain only 0 and 1.")
@@ -188,64 +200,61 @@ def calibration_error(
 # --- ranking: score ranges and prefix sums --------------------------------------------
 
 
-def score_ranges(df: DataFrame, p: str, buckets: int | None = None) -> list[float]:
-    """Ascending score boundaries cutting the rows into even ranges.
+#: score ranges are cut by the number of distinct scores, never by the width of a shuffle
+_SCORES_A_RANGE = 20_000
+_MOST_RANGES = 16_384
+_SAMPLED_A_RANGE = 16
 
-    At most `buckets - 1` doubles come to the driver. They only balance the work,
-    so approximate quantiles are enough; as literals they are the same in every
-    branch and every retry of the plan.
+
+def range_edges(summed: DataFrame, *, rows: str = "__n", hits: str = "__pos", p: str = "__p", buckets: int | None = None) -> tuple[Column, int]:
+    """Ascending score boundaries as a scalar subquery, and the most there can be.
+
+    `summed` has one row for each distinct score and key. A sample of these rows by hash, sixteen a range at least, is sorted and cut into even
+    parts: whoever computes it gets the same boundaries, whatever the order of rows, so all
+    branches of a plan agree. The boundaries only balance the work. They are data, not part of the plan, and both subqueries
+    read the exchange that the plan itself reads: each looks at counts and positives, so that no column is pruned from it.
     """
-    if buckets is None:
-        buckets = max(4, 4 * shuffle_width(df.sparkSession))
-    if buckets < 2:
-        return []
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(p, shares, max(1_000, 4 * buckets)).alias("cuts")).first()["cuts"]
-    return sorted(set(cuts or []))
+    if buckets is not None and buckets < 1:
+        raise ValueError("buckets must be positive.")
+    present = (F.col(rows) > 0) & (F.col(hits) >= 0)
+    n = summed.agg(F.count_if(present).alias("n")).scalar()
+    ranges = F.lit(buckets) if buckets else F.least(F.lit(_MOST_RANGES), F.ceil(F.col("n") / _SCORES_A_RANGE)).cast("int")
+    step = F.greatest(F.lit(1), F.floor(n / ((buckets or _MOST_RANGES) * _SAMPLED_A_RANGE)))
+    sampled = summed.where((F.pmod(F.xxhash64(p), step) < F.signum(rows)) & present)
+    listed = sampled.agg(F.array_sort(F.collect_set(F.col(p).cast("double"))).alias("s")).withColumn("n", n).withColumn("ranges", ranges)
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("ranges") - 1)), lambda i: F.get("s", F.floor(i * F.size("s") / F.col("ranges")).cast("int")))
+    edges = listed.select(F.when(F.col("ranges") > 1, F.array_distinct(cut)).otherwise(F.array().cast("array<double>")).alias("edges"))
+    return edges.scalar(), (buckets or _MOST_RANGES)
 
 
-def _with_range(df: DataFrame, cuts: Sequence[float]) -> DataFrame:
-    """Adds the number of boundaries at or below the score, found in two short steps.
+def _with_range(df: DataFrame, edges: tuple[Column, int]) -> DataFrame:
+    """Adds the number of boundaries at or below the score, by binary search inside one short expression."""
+    bounds, most = edges
+    steps = F.array(*(F.lit(1 << k) for k in range(most.bit_length() - 1, -1, -1)))
 
-    Plain comparisons rather than a lambda over the boundaries: they compile, and
-    the optimizer knows exactly which columns they read.
-    """
-    if not cuts:
-        return df.withColumn(_BUCKET, F.lit(0))
-    width = max(1, int(len(cuts) ** 0.5))
-    chunks = [list(cuts[i : i + width]) for i in range(0, len(cuts), width)]
-    count = lambda tests: " + ".join(f"CAST({t} AS INT)" for t in tests)
-    heads = count(f"__p >= {float(chunk[0])!r}D" for chunk in chunks)
-    # the last chunk is filled up with a boundary no score reaches
-    padded = [chunk + [2.0] * (width - len(chunk)) for chunk in chunks]
-    nested = f"array({', '.join(sql_array(chunk) for chunk in padded)})"
-    inner = count(f"__p >= get(__chunk, {i})" for i in range(width))
-    return (
-        df.withColumn("__outer", F.expr(heads))
-        .withColumn("__chunk", F.expr(f"get({nested}, __outer - 1)"))
-        .withColumn(_BUCKET, F.expr(f"coalesce(CASE WHEN __outer = 0 THEN 0 ELSE (__outer - 1) * {width} + {inner} END, 0)"))
-        .drop("__outer", "__chunk")
-    )
+    def step(at: Column, width: Column) -> Column:
+        return F.when(F.get(F.col("__edges"), at + width - 1) <= F.col("__p"), at + width).otherwise(at)
+
+    return df.withColumn("__edges", bounds).withColumn(_BUCKET, F.coalesce(F.aggregate(steps, F.lit(0), step), F.lit(0))).drop("__edges")
 
 
-def _prefix_rows(scored: DataFrame, by: list[str], buckets: int | None, cuts: Sequence[float] | None = None) -> DataFrame:
+def _prefix_rows(
+    scored: DataFrame, by: list[str], buckets: int | None, edges: tuple[Column, int] | None = None
+) -> DataFrame:
     """Distinct scores per group with counts and exact counts of everything below.
 
     Rows may already be sums: then `__n` holds how many rows each stands for and
-    `__y` their positives.
+    `__y` their positives. The table is read once: the boundaries of the score
+    ranges come from the sums per score.
     """
-    cuts = score_ranges(scored, "__p", buckets) if cuts is None else cuts
     rows = F.sum("__n") if "__n" in scored.columns else F.count(F.lit(1))
     keys = by or [_ONE]
     # stated here once, so that the join below adds no filter to one branch only and
     # both branches share one shuffle of the per-score sums
     base = scored if by else scored.withColumn(_ONE, F.lit(0))
-    totals_of_score = (
-        _with_range(base, cuts)
-        .groupBy(*keys, _BUCKET, "__p")
-        .agg(rows.alias("__n"), F.sum("__y").alias("__pos"))
-    )
-    # at most len(cuts) + 1 rows per group, so this window stays small
+    summed = base.groupBy(*keys, "__p").agg(rows.alias("__n"), F.sum("__y").alias("__pos"))
+    totals_of_score = _with_range(summed, edges or range_edges(summed, buckets=buckets))
+    # a row per range and group, so this window stays small
     per_group = Window.partitionBy(*keys)
     below = per_group.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -321,20 +330,22 @@ def _edges_from_prefix(prefix: DataFrame, by: list[str], n_bins: Column) -> Data
     )
 
 
-def _bins_of_group(n_bins: int, adaptive: bool) -> Column:
-    if not adaptive:
+def _bins_of_group(n_bins: int, adaptive: bool | Column) -> Column:
+    """Number of bins, fewer for small groups where `adaptive` holds."""
+    if adaptive is False:
         return F.lit(n_bins)
     tenth = F.floor(F.col("__total") / 10).cast("int")
-    return F.least(F.lit(n_bins), F.greatest(F.lit(2), tenth))
+    fitting = F.least(F.lit(n_bins), F.greatest(F.lit(2), tenth))
+    return fitting if adaptive is True else F.when(adaptive, fitting).otherwise(F.lit(n_bins))
 
 
 def _ranked_scores(
-    scored: DataFrame, by: list[str], *, n_bins: int, strategy: str, adaptive: bool, buckets: int | None,
-    cuts: Sequence[float] | None = None,
+    scored: DataFrame, by: list[str], *, n_bins: int, strategy: str, adaptive: bool | Column, buckets: int | None,
+    edges: tuple[Column, int] | None = None,
 ) -> DataFrame:
     """Prefix rows with the reliability bin of every distinct score."""
     keys = by or [_ONE]
-    prefix = _prefix_rows(scored, by, buckets, cuts)
+    prefix = _prefix_rows(scored, by, buckets, edges)
     bins = _bins_of_group(n_bins, adaptive)
     if strategy == "uniform":
         index = uniform_bin(F.col("__p"), bins)
@@ -343,9 +354,9 @@ def _ranked_scores(
             .withColumn("lower_bound", _uniform_edge(F.col("bin_index"), bins))
             .withColumn("upper_bound", _uniform_edge(F.col("bin_index") + 1, bins))
         )
-    edges = _edges_from_prefix(prefix, by, bins)
+    quantiles = _edges_from_prefix(prefix, by, bins)
     # edges go to one row per (group, range) first, so the big side keeps its partitioning
-    per_range = prefix.select(*keys, _BUCKET).distinct().join(edges, keys)
+    per_range = prefix.select(*keys, _BUCKET).distinct().join(quantiles, keys)
     return (
         prefix.join(per_range, [*keys, _BUCKET])
         .withColumn("bin_index", _edge_bin(F.col("__p"), F.col("edges")))
@@ -363,7 +374,7 @@ def _ratio(top: Column, bottom: Column) -> Column:
     return F.coalesce(F.try_divide(top.cast("double"), bottom.cast("double")), F.lit(0.0))
 
 
-def _fold_bins(binned: DataFrame, by: list[str], threshold: float, ranking: bool) -> DataFrame:
+def fold_bins(binned: DataFrame, by: list[str], threshold: float, ranking: bool) -> DataFrame:
     gap = F.abs(F.col("__sum_p") / F.col("__n") - F.col("__pos") / F.col("__n"))
     sums = [
         F.sum("__n").alias("sample_count"),
@@ -419,7 +430,7 @@ def binary_metrics(
     ranking: bool = True,
     adaptive_bins: bool = False,
     buckets: int | None = None,
-    cuts: Sequence[float] | None = None,
+    edges: tuple[Column, int] | None = None,
     rows: str | None = None,
 ) -> DataFrame:
     """All 18 metrics, one row per group (one row when `by` is empty).
@@ -453,19 +464,32 @@ def binary_metrics(
                 F.sum(called * target).alias("__tp"),
             )
         )
-        return _fold_bins(binned, by, threshold, ranking=False)
+        return fold_bins(binned, by, threshold, ranking=False)
+
+    binned = ranked_bins(scored, by, threshold=threshold, n_bins=n_bins, strategy=strategy, adaptive=adaptive_bins, buckets=buckets, edges=edges)
+    return fold_bins(binned, by, threshold, ranking=True)
+
+
+def ranked_bins(
+    scored: DataFrame, by: list[str], *, threshold: float, n_bins: int, strategy: str, adaptive: bool | Column = False,
+    buckets: int | None = None, edges: tuple[Column, int] | None = None,
+) -> DataFrame:
+    """Per group and reliability bin, all sums from which metrics, bins and checks of a report follow.
 
+    `scored` has the columns of `by`, `__y`, `__p` and, where rows are sums already, `__n`.
+    """
     packed, keys = _grouped(scored, by)
-    ranked = _ranked_scores(
-        packed, keys, n_bins=n_bins, strategy=strategy, adaptive=adaptive_bins, buckets=buckets, cuts=cuts
-    )
-    n, pos = F.col("__n"), F.col("__pos")
+    ranked = _ranked_scores(packed, keys, n_bins=n_bins, strategy=strategy, adaptive=adaptive, buckets=buckets, edges=edges)
+    prob, n, pos = F.col("__p"), F.col("__n"), F.col("__pos")
+    called = F.when(prob >= threshold, F.lit(1)).otherwise(F.lit(0))
     neg = n - pos
     safe = clip(prob, fv.LOG_LOSS_EPSILON, 1.0 - fv.LOG_LOSS_EPSILON)
     neg_below = F.col("__n_below") - F.col("__pos_below")
     tp_at = F.col("__positives") - F.col("__pos_below")
     called_at = F.col("__total") - F.col("__n_below")
     binned = ranked.groupBy(*keys, "bin_index").agg(
+        F.min("lower_bound").alias("lower_bound"),
+        F.max("upper_bound").alias("upper_bound"),
         F.sum(n).alias("__n"),
         F.sum(pos).alias("__pos"),
         F.sum(prob * n).alias("__sum_p"),
@@ -475,7 +499,15 @@ def binary_metrics(
         F.sum(called * pos).alias("__tp"),
         F.sum(pos * (neg_below + neg / 2.0)).alias("__auc"),
         F.sum(pos * (tp_at / called_at)).alias("__ap"),
+        *(F.sum(F.when(prob == mark, n).otherwise(F.lit(0))).alias(name) for name, mark in (("__bad", BAD_TARGET), ("__not_finite", NOT_FINITE), ("__outside", OUTSIDE))),
+    )
+    return binned.select(*_ungrouped(by), *[c for c in binned.columns if c not in (_GROUP, _ONE)])
+
+
+def shown_bins(binned: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Reliability bins out of sums per group and bin."""
+    mean, rate = F.col("__sum_p") / F.col("__n"), F.col("__pos") / F.col("__n")
+    return binned.select(
+        *by, "bin_index", "lower_bound", "upper_bound", F.col("__n").alias("count"), mean.alias("mean_probability"), rate.alias("observed_rate"),
+        F.abs(mean - rate).alias("absolute_gap"),
     )
-    if by:
-        binned = binned.select(*_ungrouped(by), *[c for c in binned.columns if c != _GROUP])
-    return _fold_bins(binned, by, threshold, ranking=True)

@@ -83,6 +83,7 @@ def with_feature_rows(
     extra: str | None = "extra",
     ab: str = "x_ab",
     ba: str = "x_ba",
+    ascii_only: bool = False,
 ) -> DataFrame:
     """Adds both orientations as arrays in the saved feature order.
 
@@ -96,7 +97,7 @@ def with_feature_rows(
     same = "false"
     if stance in fields and "feature_same_known_stance" in names:
         stances = [
-            known_stance(F.expr(side.raw("feature_stance_missing")), side.text(stance)) for side in (left, right)
+            known_stance(F.expr(side.raw("feature_stance_missing")), side.text(stance), ascii_only=ascii_only) for side in (left, right)
         ]
         df = df.withColumn("__same_stance", F.coalesce(stances[0] == stances[1], F.lit(False)))
         same = "__same_stance"

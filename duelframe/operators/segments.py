@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from duelframe import fixed_values as fv
 from duelframe.functions.text import col
 from duelframe.functions.values import experience_band, probability_band
-from duelframe.operators.metrics import METRIC_COLUMNS, assert_predictions, binary_metrics, reliability_bins, score_ranges
+from duelframe.operators.metrics import METRIC_COLUMNS, fold_bins, marked_score, raise_findings, range_edges, ranked_bins, shown_bins
 
 
 def shown_value(value: Column | str, dtype: str = "string") -> Column:
@@ -21,54 +21,56 @@ def shown_value(value: Column | str, dtype: str = "string") -> Column:
     return F.coalesce(raw.cast("string"), F.lit(fv.MISSING_MARKER))
 
 
-def unpivot_segments(df: DataFrame, segments: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """One row per (input row, segment)."""
+def unpivot_segments(df: DataFrame, segments: Sequence[str], keep: Sequence[str], *, whole: bool = False) -> DataFrame:
+    """One row per (input row, segment); with `whole`, one more with null segment and value."""
     if any(not str(name).strip() for name in segments):
         raise ValueError("segment names must not be empty.")
     types = dict(df.dtypes)
-    pairs = F.array(
-        *[
-            F.struct(F.lit(name).alias("segment"), shown_value(f"`{name}`", types[name]).alias("value"))
-            for name in segments
-        ]
-    )
-    return df.select(*keep, F.explode(pairs).alias("__s")).select(*keep, "__s.segment", "__s.value")
+    pairs = [F.struct(F.lit(name).alias("segment"), shown_value(f"`{name}`", types[name]).alias("value")) for name in segments]
+    if whole:
+        pairs.append(F.struct(F.lit(None).cast("string").alias("segment"), F.lit(None).cast("string").alias("value")))
+    return df.select(*keep, F.explode(F.array(*pairs)).alias("__s")).select(*keep, "__s.segment", "__s.value")
 
 
-def subgroup_metrics(
+def segment_bins(
     df: DataFrame,
     segments: Sequence[str],
     y: str = "y",
     p: str = "p",
     *,
-    min_samples: int = 50,
-    include_small: bool = True,
     threshold: float = 0.5,
     n_bins: int = 10,
     strategy: str = "uniform",
     buckets: int | None = None,
-    check_size: bool = True,
+    whole: bool = False,
 ) -> DataFrame:
-    """Metrics of every value of every segment; small groups carry a skip reason.
+    """Sums per (segment, value, reliability bin) of all segments, from one read of the scored table.
 
-    Bins shrink with the group: min(n_bins, max(2, rows // 10)).
+    With `whole`, all rows together are one more group, with null segment and value and with all `n_bins` bins, and rows with an
+    unusable target or score take scores that no model gives, by which `__bad`, `__not_finite` and `__outside` count them.
+
+    Rows alike in score and in every segment become one before they are multiplied by the number of
+    segments. The exchange of these sums also serves the size of the table and the score ranges.
     """
-    if min_samples < 1 or (check_size and min_samples > df.count()):
-        raise ValueError("min_samples must be between 1 and the sample count.")
-    # rows alike in score and in every segment become one before they are multiplied
-    # by the number of segments; score ranges come from the rows as they are
-    quoted = [f"`{name}`" for name in segments]
-    summed = df.groupBy(*quoted, F.col(p).alias("__score")).agg(
-        F.count(F.lit(1)).alias("__rows"), F.sum(F.col(y).cast("int")).alias("__hits")
+    target = F.col(y).try_cast("double")
+    usable = F.coalesce(target.isin(0.0, 1.0), F.lit(False))
+    score = marked_score(usable, F.col(p).cast("double")) if whole else F.col(p)
+    summed = df.groupBy(*(f"`{name}`" for name in segments), score.alias("__p")).agg(
+        F.count(F.lit(1)).alias("__n"), F.sum(F.when(usable, target).otherwise(F.lit(0.0)).cast("int")).alias("__pos")
     )
-    long = unpivot_segments(summed, segments, ["__score", "__rows", "__hits"])
-    full = binary_metrics(
-        long, "__hits", "__score", by=["segment", "value"], threshold=threshold, n_bins=n_bins, strategy=strategy,
-        adaptive_bins=True, cuts=score_ranges(df, p, buckets), rows="__rows",
+    edges = range_edges(summed, buckets=buckets)
+    long = unpivot_segments(summed, segments, ["__p", "__n", "__pos"], whole=whole)
+    return ranked_bins(
+        long.withColumnRenamed("__pos", "__y"), ["segment", "value"], threshold=threshold, n_bins=n_bins, strategy=strategy,
+        adaptive=F.col("__group.segment").isNotNull() if whole else True, edges=edges,
     )
+
+
+def _by_segment(binned: DataFrame, *, min_samples: int, threshold: float, include_small: bool = True) -> DataFrame:
+    full = fold_bins(binned, ["segment", "value"], threshold, ranking=True)
     small = F.col("sample_count") < min_samples
     kept = [c for c in METRIC_COLUMNS if c not in ("sample_count", "positive_count")]
-    reason = F.when(small, F.lit(f"Fewer than min_samples={min_samples} rows."))
+    reason = F.when(small, F.lit(fv.SMALL_GROUP_REASON.format(min_samples)))
     out = full.select(
         "segment", "value", "sample_count", "positive_count", reason.alias("skipped_reason"),
         *[F.when(~small, F.col(c)).alias(c) for c in kept],
@@ -76,6 +78,31 @@ def subgroup_metrics(
     return out if include_small else out.where(F.col("skipped_reason").isNull())
 
 
+def subgroup_metrics(
+    df: DataFrame,
+    segments: Sequence[str],
+    y: str = "y",
+    p: str = "p",
+    *,
+    min_samples: int = 50,
+    include_small: bool = True,
+    threshold: float = 0.5,
+    n_bins: int = 10,
+    strategy: str = "uniform",
+    buckets: int | None = None,
+    check_size: bool = True,
+) -> DataFrame:
+    """Metrics of every value of every segment; small groups carry a skip reason.
+
+    Bins shrink with the group: min(n_bins, max(2, rows // 10)). Whether there are `min_samples` rows at all
+    is seen from as many rows; everything else comes from one read of the table.
+    """
+    if min_samples < 1 or (check_size and df.limit(min_samples).count() < min_samples):
+        raise ValueError(fv.MIN_SAMPLES_ERROR)
+    binned = segment_bins(df, segments, y, p, threshold=threshold, n_bins=n_bins, strategy=strategy, buckets=buckets)
+    return _by_segment(binned, min_samples=min_samples, threshold=threshold, include_small=include_small)
+
+
 def standard_segments(
     df: DataFrame,
     p: str = "p",
@@ -87,16 +114,12 @@ def standard_segments(
     """The seven standard segment columns (six without a title flag)."""
     yes_no = lambda cond: F.when(cond, F.lit("yes")).otherwise(F.lit("no"))
     history = F.col(min_history)
-    columns: dict[str, Column] = {
-        "seg_division": F.col(context_class).cast("string"),
-        "both_fighters_have_ufc_history": yes_no(history >= 1),
-        "at_least_one_ufc_debutant": yes_no(history == 0),
-        "both_fighters_have_three_plus_fights": yes_no(history >= 3),
-        "experience_band": experience_band(history),
-        "probability_band": probability_band(p),
-    }
+    values = [
+        F.col(context_class).cast("string"), yes_no(history >= 1), yes_no(history == 0), yes_no(history >= 3), experience_band(history), probability_band(p),
+    ]
     if title is not None and title in df.columns:
-        columns["title_bout"] = yes_no(F.col(title).cast("double") >= 0.5)
+        values.append(yes_no(F.col(title).cast("double") >= 0.5))
+    columns = dict(zip(fv.STANDARD_SEGMENTS, values))
     return df.withColumns(columns), list(columns)
 
 
@@ -122,29 +145,30 @@ def evaluation_report(
 ) -> dict[str, DataFrame]:
     """Report tables `metrics`, `bins`, `subgroups` and `notes`, each keyed by model and split.
 
-    The scored table is read by each of the three aggregates, so persist it first
-    when it is costly to compute.
+    The scored table is read once. What all tables share is a row per segment value and bin (`sums`, persisted: release it by
+    `report["sums"].unpersist()`). Its row of the whole table also tells whether the scored rows are usable.
     """
     if not model_name.strip() or not split_name.strip():
         raise ValueError("model_name and split_name must not be empty.")
-    assert_predictions(df, y, p)
     spark = df.sparkSession
+    sums = segment_bins(df, segments, y, p, threshold=threshold, n_bins=n_bins, strategy=strategy, whole=True).persist()
+    whole = sums.where(F.col("segment").isNull())
+    names = {"__n": "row_count", "__bad": "bad_target", "__not_finite": "non_finite_probability", "__outside": "outside_unit_interval"}
+    found = whole.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in names.items())).first().asDict()
+    raise_findings(found)
+    if segments and not 1 <= min_samples <= found["row_count"]:
+        raise ValueError(fv.MIN_SAMPLES_ERROR)
     tagged = lambda frame: frame.select(
         F.lit(model_name).alias("model_name"), F.lit(split_name).alias("split_name"), "*"
     )
     report = {
-        "metrics": tagged(binary_metrics(df, y, p, threshold=threshold, n_bins=n_bins, strategy=strategy)),
-        "bins": tagged(reliability_bins(df, y, p, n_bins=n_bins, strategy=strategy)),
+        "sums": sums,
+        "metrics": tagged(fold_bins(whole, [], threshold, ranking=True)),
+        "bins": tagged(shown_bins(whole)),
     }
     if segments:
-        report["subgroups"] = tagged(
-            rename_segments(
-                subgroup_metrics(
-                    df, segments, y, p, min_samples=min_samples, threshold=threshold,
-                    n_bins=n_bins, strategy=strategy,
-                )
-            )
-        )
+        of_values = sums.where(F.col("segment").isNotNull())
+        report["subgroups"] = tagged(rename_segments(_by_segment(of_values, min_samples=min_samples, threshold=threshold)))
     lines = [("note", str(i), str(text)) for i, text in enumerate(notes)]
     lines += [("metadata", str(k), str(v)) for k, v in sorted((metadata or {}).items(), key=lambda kv: str(kv[0]))]
     lines += [("setting", "bin_strategy", strategy), ("setting", "n_bins", str(n_bins))]

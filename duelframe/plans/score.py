@@ -45,6 +45,7 @@ class ScoringPlan:
     default_layoff_days: int = fv.DEFAULT_LAYOFF_DAYS
     strict_rating: bool = True
     columns: fv.Columns = fv.Columns()
+    #: names, class labels and stances are known to be ASCII, so no text is folded in Python
     ascii_names: bool = False
     balance: bool = True
 
@@ -80,12 +81,17 @@ def entity_states(sides: DataFrame, snapshots: DataFrame, plan: ScoringPlan, ali
     if aliases is not None:
         index = identity.add_aliases(index, aliases, ids, ascii_only=plan.ascii_names)
     resolved = identity.resolve(sides, index, ids, explicit_id="explicit_id", ascii_only=plan.ascii_names)
+    return side_states(sides, resolved, snapshots.withColumn("__entity", id_key(F.col(c.entity_id).cast("string"))), plan)
+
+
+def side_states(sides: DataFrame, resolved: DataFrame, keyed: DataFrame, plan: ScoringPlan) -> DataFrame:
+    """States of resolved (query, id) pairs on their dates; `keyed` has snapshot rows with their stable id in `__entity`."""
+    c = plan.columns
     matched = sides.alias("s").join(
         resolved.alias("r"),
         (F.col("s.query") == F.col("r.query")) & F.col("s.explicit_id").eqNullSafe(F.col("r.explicit_id")),
         "left",
     ).select("s.side_key", "s.query", "s.ref_date", "r.entity_id", F.col("r.error_code").alias("resolve_error"))
-    keyed = snapshots.withColumn("__entity", id_key(F.col(c.entity_id).cast("string")))
     joined = asof.strict_asof(matched, keyed, snapshot_id="__entity", as_of=c.as_of, repeats="repeated")
 
     fields = keyed.columns
@@ -113,7 +119,7 @@ def entity_states(sides: DataFrame, snapshots: DataFrame, plan: ScoringPlan, ali
         F.datediff("ref_date", as_of).alias("snapshot_age"),
         who.alias("who"),
         blank_to_null(text(c.last_class)).alias("last_class"),
-        snapshot_class(text(c.last_class)).alias("class_state"),
+        snapshot_class(text(c.last_class), ascii_only=plan.ascii_names).alias("class_state"),
         text(c.stance).alias("stance"),
         *[value.alias(name) for name, value in fresh.items()],
         *[number(n).alias(n) for n in stored],
@@ -142,7 +148,7 @@ def request_sides(base: DataFrame) -> DataFrame:
 
 def score_requests(
     requests: DataFrame,
-    snapshots: DataFrame,
+    snapshots: DataFrame | None,
     plan: ScoringPlan,
     *,
     aliases: DataFrame | None = None,
@@ -156,7 +162,7 @@ def score_requests(
     The reference date is the calendar date of predicted_at in the session zone.
 
     Both sides read the same `entity_states` table. Pass it in when it is persisted
-    or written (see `persisted_states`); otherwise it is part of this plan.
+    or written (see `persisted_states`), without `snapshots`; otherwise it is part of this plan.
     """
     names = list(plan.features)
     base = prepare_requests(requests)
@@ -174,8 +180,8 @@ def score_requests(
     resolved = joined.withColumn(
         "__label", F.coalesce(F.col("division"), inferred_class(F.col("a.last_class"), F.col("b.last_class")))
     )
-    resolved = with_class(resolved, label="__label")
-    rows = with_feature_rows(resolved, names, fields).withColumns({"prior_a": F.expr(a.history()), "prior_b": F.expr(b.history())})
+    resolved = with_class(resolved, label="__label", ascii_only=plan.ascii_names)
+    rows = with_feature_rows(resolved, names, fields, ascii_only=plan.ascii_names).withColumns({"prior_a": F.expr(a.history()), "prior_b": F.expr(b.history())})
     guard = F.lit(None).cast("string")
     if uses_class_state(names):
         guard = F.coalesce(
@@ -358,22 +364,27 @@ def _detail() -> Column:
 
 def rejection_table(
     rejected: DataFrame,
-    snapshots: DataFrame,
+    snapshots: DataFrame | None,
     *,
     columns: fv.Columns = fv.Columns(),
     aliases: DataFrame | None = None,
     ascii_names: bool = False,
+    names: DataFrame | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Rejected requests with a message that is safe to show.
 
     Ambiguous names list all their matches and unknown ones the closest names; both lists are made once per
-    name, not per request. Ids in a message give way to names.
+    name, not per request. Ids in a message give way to names. `names` and `index` (display names and search keys) are
+    taken from the snapshots unless they are given.
     """
     c, key = columns, rejected.columns[0]
-    names = identity.latest_records(snapshots, columns=c).select("entity_id", "display_name")
-    index = identity.search_index(snapshots, entity_id=c.entity_id, name=c.entity_name, display_name=c.display_name, ascii_only=ascii_names)
-    if aliases is not None:
-        index = identity.add_aliases(index, aliases, identity.entity_ids(snapshots, c.entity_id), ascii_only=ascii_names)
+    if names is None:
+        names = identity.latest_records(snapshots, columns=c).select("entity_id", "display_name")
+    if index is None:
+        index = identity.search_index(snapshots, entity_id=c.entity_id, name=c.entity_name, display_name=c.display_name, ascii_only=ascii_names)
+        if aliases is not None:
+            index = identity.add_aliases(index, aliases, identity.entity_ids(snapshots, c.entity_id), ascii_only=ascii_names)
     by_name = F.col("error_code").isin("ambiguous", "not_found") & F.col("failed_id").isNull()
     keyed = rejected.withColumn("__key", F.when(by_name, name_key("failed_query", ascii_only=ascii_names)))
     asked = keyed.where("__key IS NOT NULL").select("error_code", F.col("__key").alias("name_key")).distinct()

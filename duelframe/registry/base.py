@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import importlib
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +36,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder for what a query writes: in the shared folder, or on this machine where none is named and the master is local."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and every executor can reach")
+    return f"file://{tempfile.mkdtemp(prefix=f'duelframe-{label}-')}"
+
+
 def r6(value: Column | str) -> Column:
     """Rounded to six places, so that the order of additions does not show."""
     return F.round(F.col(value) if isinstance(value, str) else value, 6)

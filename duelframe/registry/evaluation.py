@@ -336,6 +336,45 @@ def full_report(spark, sf):
     return rounded(report["metrics"], *floats)
 
 
+def _parts_of_report(spark, sf, **more):
+    """The report over one read; three segments, persisted sums."""
+    return s.evaluation_report(fx.scored_ctx(spark, sf), model_name="fixture", split_name="all", p="p2", segments=["ctx", "flag", "title"], **more)
+
+
+NAMED = "'fixture' AS model_name, 'all' AS split_name"
+
+
+@query(
+    "e16_report_bins",
+    f"""WITH {fx.SCORED_CTX_SQL}, b AS (SELECT {UNIFORM_BIN} AS i, y, p FROM (SELECT y, p2 AS p FROM scored_ctx))
+    SELECT {NAMED}, CAST(i AS INT) AS bin_index, round(i * 0.1::DOUBLE, 6) AS lower_bound, round((i + 1) * 0.1::DOUBLE, 6) AS upper_bound, {BIN_FIELDS} FROM b GROUP BY i""",
+)
+def report_bins(spark, sf):
+    out = _parts_of_report(spark, sf)["bins"]
+    return rounded(as_bigint(out, "count"), "lower_bound", "upper_bound", "mean_probability", "observed_rate", "absolute_gap")
+
+
+@query(
+    "e16_report_subgroups",
+    f"""SELECT {NAMED}, t.* FROM (WITH {fx.SCORED_CTX_SQL}, {_subgroup_sql({"ctx": "ctx", "flag": "flag", "title": "title"}, "scored_ctx", "p2", 50)}) t""",
+)
+def report_subgroups(spark, sf):
+    out = _parts_of_report(spark, sf)["subgroups"]
+    return _subgroup_columns(out).withColumns({"model_name": F.lit("fixture"), "split_name": F.lit("all")})
+
+
+@query(
+    "e16_report_notes",
+    f"""WITH {fx.SCORED_CTX_SQL}
+    SELECT {NAMED}, kind, name, text FROM (
+      SELECT 'note' AS kind, '0' AS name, 'first' AS text UNION ALL SELECT 'note', '1', 'second' UNION ALL SELECT 'setting', 'bin_strategy', 'quantile' UNION ALL SELECT 'setting', 'n_bins', '7'
+      UNION ALL SELECT 'metadata', 'rows', CAST(COUNT(*) AS VARCHAR) FROM scored_ctx UNION ALL SELECT 'metadata', 'last_date', CAST(MAX(event_date) AS VARCHAR) FROM scored_ctx)""",
+)
+def report_notes(spark, sf):
+    known = fx.scored_ctx(spark, sf).agg(F.count(F.lit(1)).alias("rows"), F.max("event_date").cast("string").alias("last_date")).first().asDict()
+    return _parts_of_report(spark, sf, notes=("first", "second"), metadata=known, n_bins=7, strategy="quantile")["notes"]
+
+
 @query(
     "q21_prediction_check",
     f"""WITH {fx.SCORED_SQL}, shifted AS (SELECT y + CAST(l_linenumber = 7 AS INT) AS y, CASE WHEN l_linenumber = 6 THEN 'NaN'::DOUBLE ELSE p2 * 1.2 END AS p FROM scored)

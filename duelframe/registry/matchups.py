@@ -15,8 +15,10 @@ from duelframe.operators.context_class import (
 from duelframe.operators.scorers import LinearScorer
 from duelframe.plans.score import ScoringPlan, rejection_table, score_requests, split_outcomes, symmetric_probability
 from duelframe.registry import fixtures as fx
-from duelframe.registry.base import query, r6, rounded, table
+from duelframe.registry.base import query, r6, rounded, scratch, table
 from duelframe.registry.identity import ENTITIES_SQL, entities
+from duelframe.streaming.published import publish
+from duelframe.streaming.requests import read_requests, score_stream
 
 POINT_SQL = f"{fx.SNAPSHOTS_SQL}, {fx.REQUESTS_SQL}"
 JOINED_SQL = """
@@ -530,6 +532,32 @@ def score_all(spark, sf):
     return rounded(scored(spark, sf).select(*SCORE_COLUMNS), "probability_a", "orientation_disagreement")
 
 
+@query(
+    "w05_request_stream",
+    f"""WITH {SCORE_SQL} SELECT {', '.join('d.' + c for c in SCORE_COLUMNS)}, r.a_id % 2 AS batch_id FROM done d JOIN requests r USING (request_id)""",
+)
+def stream_requests(spark, sf):
+    """Two micro-batches over one published version of the snapshots."""
+    root = scratch(spark, "stream")
+    published = publish(scoring_snapshots(spark, sf), f"{root}/snapshots", "1", columns=NAMES, buckets=16)
+    asked = scoring_requests(spark, sf)
+    known = fx.requests(spark, sf).select("request_id", (F.col("a_id") % 2).alias("batch_id"))
+    split = asked.join(known, "request_id")
+    for part in (0, 1):
+        split.where(F.col("batch_id") == part).drop("batch_id").coalesce(1).write.parquet(f"{root}/in/part={part}")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema.fields)
+    for part in (0, 1):  # a folder is a source of its own, so that a batch is what it is meant to be
+        stream = read_requests(spark, f"{root}/in/part={part}", schema, kind="parquet")
+        score_stream(stream, published, scoring_plan(), f"{root}/out/{part}", checkpoint=f"{root}/marks/{part}").awaitTermination()
+    found = []
+    for part in (0, 1):
+        good = spark.read.parquet(f"{root}/out/{part}/predictions").withColumn("error_code", F.lit(None).cast("string"))
+        bad = spark.read.parquet(f"{root}/out/{part}/rejected").select("request_id", "error_code")
+        both = good.select(*SCORE_COLUMNS).unionByName(bad, allowMissingColumns=True)
+        found.append(both.withColumn("batch_id", F.lit(part).cast("bigint")))
+    return rounded(found[0].unionByName(found[1]), "probability_a", "orientation_disagreement")
+
+
 @query("r14_prediction_record")
 def full_record(spark, sf):
     return split_outcomes(scored(spark, sf))[0]

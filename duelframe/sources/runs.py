@@ -45,8 +45,8 @@ def finite_json(df: DataFrame) -> DataFrame:
 
 
 def write_report(report: Mapping[str, DataFrame], root: str, run_id: str, stage: str) -> None:
-    """Append report tables, one folder per table, partitioned by run and stage."""
-    for name, frame in report.items():
+    """Append report tables, one folder per table, partitioned by run and stage; not the sums they come from."""
+    for name, frame in ((n, f) for n, f in report.items() if n != "sums"):
         tagged = finite_json(frame).withColumns({"run_id": F.lit(run_id), "stage": F.lit(stage)})
         # a stage of a run is written as a whole, so a retry replaces it
         tagged.write.mode("overwrite").parquet(f"{root}/reports/{name}/run_id={run_id}/stage={stage}")

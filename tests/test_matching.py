@@ -201,3 +201,23 @@ def test_cutoff_must_be_a_share(spark):
 
 def test_class_label_folds_case(spark):
     assert one(spark, "Straße Bout", class_label) == "strasse"
+
+
+def test_asof_windows_are_narrow_and_fetch_late(spark):
+    """Windows see ids, days and counts; unasked entities are dropped first; wide rows are fetched for chosen days only."""
+    from duelframe.operators.asof import strict_asof
+
+    snaps = spark.range(5_000).select(
+        (F.col("id") % 500).cast("string").alias("entity_id"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 37).cast("int")).alias("as_of"),
+        F.sha2(F.col("id").cast("string"), 512).alias("feature_wide"),
+    )
+    asked = spark.createDataFrame([("7", "2020-02-20"), ("7", "2020-01-01"), ("nobody", "2020-03-01")], "entity_id string, ref_date string")
+    out = strict_asof(asked, snaps, spread_by=["ref_date"])
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window " in line or "SortAggregate" in line]
+    assert windows and not any("feature_wide" in line or "SortAggregate" in line for line in windows)
+    per_day = plan[plan.index("Window "):]
+    assert per_day.index("HashAggregate") < per_day.index("LeftSemi")
+    got = {(r["entity_id"], r["ref_date"]): (r["snapshot_status"], r["snapshot"] and str(r["snapshot"]["as_of"])) for r in out.collect()}
+    days = sorted(r["as_of"] for r in snaps.where("entity_id = '7'").select("as_of").collect())
+    assert got[("7", "2020-02-20")] == ("ok", str(days[-1])) and got[("nobody", "2020-03-01")][0] == "not_found" and got[("7", "2020-01-01")][0] == "snapshot_unavailable"

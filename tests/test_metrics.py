@@ -151,3 +151,50 @@ def test_null_groups_are_groups(spark):
     bins = reliability_bins(df, by=["g"], strategy="quantile", n_bins=4).groupBy("g").count().collect()
     assert {r["g"] for r in bins} == {"a", "b", None} and len({r["count"] for r in bins}) == 1
     assert {r["g"] for r in quantile_edges(df, by=["g"]).collect()} == {"a", "b", None}
+
+
+def test_ranges_are_data_not_plan(spark):
+    """Thousands of score ranges give the same numbers as one, and a plan of the same size."""
+    df = spark.range(30_000).select((F.xxhash64("id") % 3 == 0).cast("int").alias("y"), (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003).alias("p")).persist()
+    results, sizes = [], []
+    for buckets in (1, 50, 5_000):
+        out = m.binary_metrics(df, buckets=buckets)
+        results.append(out.first().asDict())
+        sizes.append(len(out._jdf.queryExecution().optimizedPlan().toString()))
+    for other in results[1:]:
+        assert other == pytest.approx(results[0], abs=1e-12)
+    assert sizes[2] <= sizes[1] * 1.1
+    edges, _ = m.range_edges(df.groupBy(F.col("p").alias("__p")).agg(F.count(F.lit(1)).alias("__n"), F.sum("y").alias("__pos")), buckets=5_000)
+    assert len(spark.range(1).select(edges.alias("e")).first()["e"]) > 4_000
+
+
+def counted_source(spark, rows):
+    """A table that counts how often its rows are read."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def through(frames):
+        for pdf in frames:
+            reads.add(len(pdf))
+            yield pdf
+
+    return rows.mapInPandas(through, rows.schema), reads
+
+
+def test_segments_and_report_read_the_table_once(spark):
+    rows = spark.range(3_000).select((F.col("id") % 2).cast("int").alias("y"), F.rand(5).alias("p"), (F.col("id") % 3).cast("string").alias("g"), (F.col("id") % 5).cast("string").alias("h"))
+    df, reads = counted_source(spark, rows)
+    assert len(s.subgroup_metrics(df, ["g", "h"], check_size=False).collect()) == 8
+    assert reads.value == 3_000
+    df, reads = counted_source(spark, rows)
+    report = s.evaluation_report(df, model_name="m", split_name="t", segments=["g", "h"])
+    assert report["metrics"].first()["sample_count"] == 3_000
+    assert report["bins"].agg(F.sum("count")).first()[0] == 3_000 and report["subgroups"].count() == 8
+    assert reads.value == 3_000
+    report["sums"].unpersist()
+
+
+@pytest.mark.parametrize("rows, message", [([(2, 0.5)] * 60, "only 0 and 1"), ([(1, float("nan"))] * 60, "finite"), ([(1, 1.5)] * 60, r"\[0, 1\]"), ([], "empty"), ([(1, 0.5)] * 5, "min_samples")])
+def test_reports_refuse_bad_rows(spark, rows, message):
+    df = frame(spark, rows).withColumn("g", F.lit("a"))
+    with pytest.raises(ValueError, match=message):
+        s.evaluation_report(df, model_name="m", split_name="t", segments=["g"])
