@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelframe.llm.common import byte_hashes, mix64, new_folder, saved, slices
-from duelframe.llm.hash_arrays import FILES, SLICE_BYTES, by_range, collect_ranges, file_list, opened, signed, tally, write_file
+from duelframe.llm.hash_arrays import FILES, by_range, collect_ranges, file_list, opened, signed, write_file
 
 NO_LANGUAGE = "und"
 _ENDS = np.zeros(256, dtype=bool)
@@ -36,7 +36,8 @@ _ENDS[list(b".,;:!?\n\x0b\x0c\r")] = True
 _GAPS = _ENDS.copy()
 _GAPS[list(b" \t")] = True
 _FIRST, _SECOND, _LANGUAGE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_HELD_KEYS, _KEYS_A_FILE = 4_000_000, 4_000_000
+_HELD_KEYS, _KEYS_A_FILE = 1_500_000, 4_000_000
+_SLICE_BYTES = 3 << 20
 
 
 class _Words:
@@ -75,11 +76,11 @@ def _count_pairs(batches):
     held, size = [], 0
 
     def emit():
-        k, c = tally(held, [np.ones(len(h), dtype=np.int64) for h in held])
+        k, c = np.unique(np.concatenate(held), return_counts=True)
         for a in range(0, len(k), 200_000):
             yield pa.RecordBatch.from_arrays([signed(k[a : a + 200_000]), pa.array(c[a : a + 200_000])], names=["key", "n"])
 
-    for batch in slices(batches, "text", SLICE_BYTES):
+    for batch in slices(batches, "text", _SLICE_BYTES):
         keys = _Words(batch).pairs()[1]
         held.append(keys)
         size += len(keys)
@@ -141,7 +142,7 @@ def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     lead = [f"w{k}" for k in range(1, max_words + 1)]
 
     def windows(batches):
-        for batch in slices(batches, "text", SLICE_BYTES):
+        for batch in slices(batches, "text", _SLICE_BYTES):
             yield _window_rows(_Words(batch), files, max_words)
 
     schema = ", ".join(f"{c} string" for c in ("lang", *lead)) + ", n long"
@@ -163,7 +164,8 @@ def collocations(
     """The `top` phrases of every language: lang, rank, phrase, a, l, r, n, score."""
     counts = saved(phrase_counts(docs, text_col=text_col, lang_col=lang_col, min_count=min_count, max_words=max_words), "phrases")
     phrases = counts.where("size > 0")
-    totals = counts.where("size = 0").select("lang", F.col("f").alias("n"))
+    # a row a language, small enough by its measured size to be broadcast, so that no language is one task's
+    totals = saved(counts.where("size = 0").select("lang", F.col("f").alias("n")), "phrase-totals")
     candidates = phrases.where("size > 1").select("lang", "phrase", F.col("f").alias("a"), "size", F.split("phrase", " ").alias("words"))
 
     def looked_up(rows: DataFrame, key: str, name: str) -> DataFrame:
