@@ -133,3 +133,47 @@ def digest_check_documents(spark, sf):
 def lineage_sources(spark, sf):
     assets = table(spark, sf, "documents").groupBy(F.col("source").alias("name")).agg(F.sha2(F.count(F.lit(1)).cast("string"), 256).alias("sha256"))
     return ln.lineage_digest(assets, "0" * 64)
+
+
+DIGEST_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "day")
+ORDER_HASH = """md5(concat_ws(chr(31), '1' || o_orderkey, '1' || {cust}, coalesce('1' || o_orderstatus, '0'), '1' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR)))"""
+HALVES = """CAST(COUNT(*) AS BIGINT) AS row_count, SUM(CAST(CAST('0x' || substr(h, 1, 16) AS UBIGINT) AS HUGEINT)) AS hi, SUM(CAST(CAST('0x' || substr(h, 17, 16) AS UBIGINT) AS HUGEINT)) AS lo"""
+
+
+def _orders_by_day(spark, sf):
+    return table(spark, sf, "orders").withColumn("day", F.to_date("o_orderdate"))
+
+
+@query(
+    "s07_incremental_digest",
+    f"""WITH r AS (SELECT o_orderpriority AS p, {ORDER_HASH.format(cust="o_custkey")} AS h FROM orders),
+    s AS (SELECT 'whole' AS part, h FROM r UNION ALL SELECT 'rest' AS part, h FROM r WHERE p <> '1-URGENT'),
+    t AS (SELECT part, {HALVES} FROM s GROUP BY part)
+    SELECT part, row_count, sha256('{",".join(DIGEST_COLUMNS)}' || chr(30) || row_count || chr(30) || hi || chr(30) || lo) AS table_sha256 FROM t""",
+)
+def incremental_digest(spark, sf):
+    """Digests of a table and of what is left without one partition, from the sums of its partitions only."""
+    parts = ln.row_sums(_orders_by_day(spark, sf), DIGEST_COLUMNS, by=["o_orderpriority"])
+    whole = ln.sums_digest(ln.combined_sums(parts), ",".join(DIGEST_COLUMNS)).select(F.lit("whole").alias("part"), "*")
+    rest = ln.sums_digest(ln.combined_sums(parts, parts.where("o_orderpriority = '1-URGENT'")), ",".join(DIGEST_COLUMNS)).select(F.lit("rest").alias("part"), "*")
+    return whole.unionByName(rest)
+
+
+@query(
+    "q22_changed_partitions",
+    f"""WITH was AS (SELECT p, {HALVES} FROM (SELECT o_orderpriority AS p, {ORDER_HASH.format(cust="o_custkey")} AS h FROM orders) GROUP BY p),
+    now AS (SELECT p, {HALVES} FROM (
+      SELECT CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS p,
+        {ORDER_HASH.format(cust="CASE WHEN o_orderpriority = '2-HIGH' AND o_orderkey % 50 = 0 THEN o_custkey + 1 ELSE o_custkey END")} AS h FROM orders WHERE o_orderpriority <> '5-LOW') GROUP BY p),
+    j AS (SELECT coalesce(was.p, now.p) AS p, was.row_count AS a, now.row_count AS b, was.hi AS ah, was.lo AS al, now.hi AS bh, now.lo AS bl FROM was FULL JOIN now ON was.p IS NOT DISTINCT FROM now.p)
+    SELECT p AS o_orderpriority, a AS recorded_count, b AS current_count, CASE WHEN a IS NULL THEN 'new' WHEN b IS NULL THEN 'gone' ELSE 'changed' END AS finding
+    FROM j WHERE a IS NULL OR b IS NULL OR a <> b OR ah <> bh OR al <> bl""",
+)
+def changed_partitions(spark, sf):
+    """Recorded sums against those of a table in which one partition went, one is new and two changed."""
+    orders = _orders_by_day(spark, sf)
+    cust = F.when((F.col("o_orderpriority") == "2-HIGH") & (F.col("o_orderkey") % 50 == 0), F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))
+    moved = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderkey") % 7 == 0)
+    now = orders.where("o_orderpriority <> '5-LOW'").withColumn("o_custkey", cust).withColumn("o_orderpriority", F.when(~moved, F.col("o_orderpriority")))
+    by = ["o_orderpriority"]
+    return ln.changed_partitions(ln.row_sums(orders, DIGEST_COLUMNS, by=by), ln.row_sums(now, DIGEST_COLUMNS, by=by), by)

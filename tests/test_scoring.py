@@ -295,3 +295,18 @@ def test_cell_checks_scan_a_table_once(spark, tmp_path):
     assert len(rows) == 71 and rows["f1"] == (20, ["x"]) and rows["f2"] == (0, [])
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("FileScan") <= 2
+
+
+def test_sums_of_parts_are_those_of_the_whole(spark):
+    df = spark.createDataFrame([(i % 3 if i % 5 else None, f"t{i}" if i % 4 else None, i) for i in range(200)] * 2, "k int, t string, n int")
+    whole = lineage.row_sums(df).first()
+    parts = lineage.row_sums(df, by=["k"])
+    assert parts.count() == 4 and lineage.combined_sums(parts).first() == whole
+    rest = lineage.combined_sums(parts, parts.where("k = 1")).first()
+    assert rest == lineage.row_sums(df.where("k <> 1 or k is null")).first()
+    assert lineage.row_sums(df.limit(0)).first()["row_count"] == 0
+    swapped = df.select("k", F.col("t").alias("u"), "n")
+    assert lineage.row_sums(swapped).first() == whole  # names belong to the schema text, not to the sums
+    assert lineage.row_sums(spark.createDataFrame([(None, "a")], "x string, y string")).first() != lineage.row_sums(spark.createDataFrame([("a", None)], "x string, y string")).first()
+    found = {r["k"]: r["finding"] for r in lineage.changed_partitions(parts, lineage.row_sums(df.where("n <> 7"), by=["k"]), ["k"]).collect()}
+    assert found == {1: "changed"}
