@@ -6,12 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.functions.text import sql_array
 from duelframe.functions.values import clip, logit, row_log_loss
+from duelframe.operators.isotonic import between, fit_isotonic, points
 from duelframe.operators.metrics import assert_predictions
 
 METHODS = ("none", "sigmoid", "isotonic")
@@ -38,22 +38,15 @@ class Sigmoid:
 class Isotonic:
     """Non-decreasing step map, linear between steps, clamped at the ends.
 
-    The fitted table is as long as the number of distinct steps; it is a constant
-    of the plan.
+    The corners of a saved fit are constants of the plan and searched by halves. A fit of very many steps is applied
+    as a table by `isotonic.apply_isotonic`.
     """
 
     boundaries: tuple[float, ...]
     predictions: tuple[float, ...]
 
     def __call__(self, p: Column) -> Column:
-        xs, ys = F.expr(sql_array(self.boundaries)), F.expr(sql_array(self.predictions))
-        n = len(self.boundaries)
-        above = F.size(F.filter(xs, lambda x: x <= p))
-        x0, x1 = F.get(xs, above - 1), F.get(xs, above)
-        y0, y1 = F.get(ys, above - 1), F.get(ys, above)
-        between = y0 + (y1 - y0) * F.try_divide(p - x0, x1 - x0)
-        value = F.when(above == 0, F.lit(self.predictions[0])).when(above == n, F.lit(self.predictions[-1])).otherwise(between)
-        return clip(value, 0.0, 1.0)
+        return between(F.expr(sql_array(self.boundaries)), F.expr(sql_array(self.predictions)), p, len(self.boundaries))
 
 
 @dataclass(frozen=True)
@@ -115,10 +108,9 @@ def fit_calibrator(
             raise ValueError("isotonic calibration has too few rows in one class")
         if len(df.select(p).distinct().limit(10).collect()) < 10:
             raise ValueError("isotonic calibration needs at least 10 distinct probabilities")
-        # one weighted row per distinct score keeps the fit small where scores tie
-        tied = df.groupBy(F.col(p).alias("features")).agg(F.avg(F.col(y).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
-        model = IsotonicRegression(featuresCol="features", labelCol="label", weightCol="w").fit(tied)
-        calibrator = Isotonic(tuple(float(v) for v in model.boundaries), tuple(float(v) for v in model.predictions))
+        # the steps, not the rows, come to the driver: they are saved with the run
+        corners = points(fit_isotonic(df, y, p)).first()
+        calibrator = Isotonic(tuple(corners["xs"]), tuple(corners["ys"]))
     row = calibration_summary(df, calibrator, y, p).first()
     return CalibrationFit(method=method, calibrator=calibrator, **row.asDict())
 

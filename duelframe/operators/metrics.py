@@ -227,7 +227,7 @@ def range_edges(summed: DataFrame, *, rows: str = "__n", hits: str = "__pos", p:
     return edges.scalar(), (buckets or _MOST_RANGES)
 
 
-def _with_range(df: DataFrame, edges: tuple[Column, int]) -> DataFrame:
+def with_range(df: DataFrame, edges: tuple[Column, int]) -> DataFrame:
     """Adds the number of boundaries at or below the score, by binary search inside one short expression."""
     bounds, most = edges
     steps = F.array(*(F.lit(1 << k) for k in range(most.bit_length() - 1, -1, -1)))
@@ -253,7 +253,7 @@ def _prefix_rows(
     # both branches share one shuffle of the per-score sums
     base = scored if by else scored.withColumn(_ONE, F.lit(0))
     summed = base.groupBy(*keys, "__p").agg(rows.alias("__n"), F.sum("__y").alias("__pos"))
-    totals_of_score = _with_range(summed, edges or range_edges(summed, buckets=buckets))
+    totals_of_score = with_range(summed, edges or range_edges(summed, buckets=buckets))
     # a row per range and group, so this window stays small
     per_group = Window.partitionBy(*keys)
     below = per_group.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)

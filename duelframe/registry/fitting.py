@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from duelframe.operators import calibration as k
 from duelframe.operators import models as m
-from duelframe.operators import selection, segments
+from duelframe.operators import isotonic, selection, segments
 from duelframe.operators.metrics import binary_metrics
 from duelframe.operators.scorers import positive_probability
 from duelframe.registry import fixtures as fx
@@ -143,6 +143,31 @@ def sigmoid_fit(spark, sf):
     return rounded(k.calibration_summary(rows, fit.calibrator), "log_loss_before", "log_loss_after", "brier_before", "brier_after")
 
 
+MINIMAX_SQL = f"""WITH {fx.SCORED_SQL},
+    d AS (SELECT p, COUNT(*) AS n, SUM(y) AS s, row_number() OVER (ORDER BY p) AS i FROM scored GROUP BY p),
+    c AS (SELECT *, SUM(n) OVER (ORDER BY i) AS cn, SUM(s) OVER (ORDER BY i) AS cs FROM d),
+    r AS (SELECT a.i AS a, b.i AS b, CAST(b.cs - a.cs + a.s AS DOUBLE) / (b.cn - a.cn + a.n) AS mean FROM c a JOIN c b ON a.i <= b.i),
+    m AS (SELECT c.i, r.a, MIN(r.mean) AS least FROM c JOIN r ON r.a <= c.i AND r.b >= c.i GROUP BY 1, 2),
+    g AS (SELECT c.p, c.n, c.i, v FROM c JOIN (SELECT i, MAX(least) AS v FROM m GROUP BY i) USING (i))"""
+
+
+@query(
+    "k03_isotonic_steps",
+    f"""{MINIMAX_SQL}
+    SELECT MIN(p) AS lower, MAX(p) AS upper, round(v, 6) AS value, CAST(SUM(n) AS BIGINT) AS weight FROM g GROUP BY v""",
+)
+def isotonic_steps(spark, sf):
+    """Steps pooled in ranges and merged, against the minimax form of the fit."""
+    return rounded(isotonic.fit_isotonic(fx.scored(spark, sf), buckets=8), "value")
+
+
+@query("k03_isotonic_apply", f"{MINIMAX_SQL} SELECT p, round(v, 6) AS calibrated FROM g")
+def isotonic_apply(spark, sf):
+    scored = fx.scored(spark, sf)
+    out = isotonic.apply_isotonic(scored.select("p").distinct(), isotonic.fit_isotonic(scored))
+    return rounded(out, "calibrated")
+
+
 @query("k03_isotonic_fit")
 def isotonic_fit(spark, sf):
     rows = labelled(spark, sf).withColumn("p", F.col("l_quantity") / 60)

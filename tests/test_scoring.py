@@ -310,3 +310,25 @@ def test_sums_of_parts_are_those_of_the_whole(spark):
     assert lineage.row_sums(spark.createDataFrame([(None, "a")], "x string, y string")).first() != lineage.row_sums(spark.createDataFrame([("a", None)], "x string, y string")).first()
     found = {r["k"]: r["finding"] for r in lineage.changed_partitions(parts, lineage.row_sums(df.where("n <> 7"), by=["k"]), ["k"]).collect()}
     assert found == {1: "changed"}
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 300])
+def test_isotonic_ranges_give_the_whole_fit(spark, buckets):
+    """Pooling in ranges and merging blocks equals pooling all scores at once; the map equals linear interpolation."""
+    import numpy as np
+
+    from duelframe.operators.isotonic import apply_isotonic, fit_isotonic, pool
+
+    rng = np.random.default_rng(buckets)
+    p = np.round(rng.random(3_000), 3)
+    y = (rng.random(3_000) < p**2).astype(int)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y)] + [(None, 1)], "p double, y int").repartition(5)
+    xs, at = np.unique(p, return_inverse=True)
+    n = np.bincount(at).astype(float)
+    want = pool(xs, xs, n, np.bincount(at, weights=y))
+    steps = sorted((r["lower"], r["upper"], r["weight"], r["value"]) for r in fit_isotonic(df, buckets=buckets).collect())
+    assert [s[:3] for s in steps] == [tuple(b[:3]) for b in want] and [s[3] for s in steps] == pytest.approx([b[3] / b[2] for b in want])
+    asked = spark.createDataFrame([(float(v),) for v in np.linspace(-0.2, 1.2, 57)], "p double")
+    corners = sorted({(x, s[3]) for s in steps for x in s[:2]})
+    got = {r["p"]: r["c"] for r in apply_isotonic(asked, fit_isotonic(df, buckets=buckets), out="c").collect()}
+    assert list(got.values()) == pytest.approx(list(np.interp(list(got), *zip(*corners))), abs=1e-12)
