@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import functions as F
 
 from duelframe.operators import quality
 from duelframe.registry import fixtures as fx
-from duelframe.registry.base import query, table
+from duelframe.registry.base import query, scratch, table
 from duelframe.sources import lineage as ln
 from duelframe.sources import runs
 
@@ -177,3 +179,96 @@ def changed_partitions(spark, sf):
     now = orders.where("o_orderpriority <> '5-LOW'").withColumn("o_custkey", cust).withColumn("o_orderpriority", F.when(~moved, F.col("o_orderpriority")))
     by = ["o_orderpriority"]
     return ln.changed_partitions(ln.row_sums(orders, DIGEST_COLUMNS, by=by), ln.row_sums(now, DIGEST_COLUMNS, by=by), by)
+
+
+LINES_SQL = """lines AS (SELECT CAST(l_shipdate AS DATE) AS day, CAST(l_returnflag = 'R' AS INT) AS y, (l_quantity - 0.5) / 50 AS p FROM lineitem)"""
+
+
+def _saved_runs(spark, sf, label):
+    """Two runs of one small model over the line items; the metrics of a run hold its number of rows."""
+    from duelframe.operators import models
+    from duelframe.operators.calibration import Identity
+
+    root = scratch(spark, label)
+    scored = fx.scored(spark, sf)
+    fit = models.fit_logistic(scored, ["p", "prior"], "y", models.LogisticCandidate("l2", "l2", 0.1))
+    counts = scored.groupBy("flag").count().orderBy("flag").collect()
+    for name, n in (("run-a", sum(r["count"] for r in counts)), ("run-b", counts[0]["count"])):
+        runs.save_run(
+            spark, root, name, fit.model, Identity(), ["p", "prior"], cutoff=fx.CUTOFF, metrics={"rows": n}, groups={"scores": ["p"]},
+            created_at=datetime(2024, 1, 1 if name == "run-a" else 2, tzinfo=UTC),
+        )
+    return root, fit, scored
+
+
+@query(
+    "s10_save_run",
+    """SELECT 'run-a' AS run_id, 1 AS format_version, 'p,prior' AS features, 'saved' AS outcome, COUNT(*) AS n_rows FROM lineitem
+    UNION ALL SELECT 'run-b', 1, 'p,prior', 'saved', COUNT(*) FROM lineitem WHERE l_returnflag = (SELECT MIN(l_returnflag) FROM lineitem)
+    UNION ALL SELECT 'run-b', 1, 'p,prior', 'refused', NULL""",
+)
+def save_run(spark, sf):
+    """Saved runs, and a third save of a known id, which is refused."""
+    from duelframe.operators.calibration import Identity
+
+    root, fit, _ = _saved_runs(spark, sf, "save-run")
+    try:
+        runs.save_run(spark, root, "run-b", fit.model, Identity(), ["p", "prior"], cutoff=fx.CUTOFF)
+        outcome = "saved"
+    except FileExistsError:
+        outcome = "refused"
+    n = F.get_json_object("metrics", "$.rows").cast("bigint")
+    listed = runs.list_runs(spark, root).select("run_id", "format_version", F.array_join("feature_names", ",").alias("features"), F.lit("saved").alias("outcome"), n.alias("n_rows"))
+    again = spark.createDataFrame([("run-b", 1, "p,prior", outcome, None)], listed.schema)
+    return listed.unionByName(again)
+
+
+@query(
+    "s11_load_run",
+    f"""WITH {LINES_SQL} SELECT 'run-b' AS run_id, 'p,prior' AS features, 'loaded' AS outcome, COUNT(*) AS n_rows, CAST(COUNT(*) FILTER (y = 1) AS BIGINT) AS positives FROM lines
+    UNION ALL SELECT 'run-a', 'p,prior', 'refused', 0, 0""",
+)
+def load_run(spark, sf):
+    """The latest run scores the table; a run whose model files were tampered with is not loaded."""
+    from duelframe.operators.quality import DataCheckError
+    from duelframe.operators.scorers import positive_probability
+
+    root, _, scored = _saved_runs(spark, sf, "load-run")
+    run = runs.load_run(spark, root)
+    good = positive_probability(run.model, scored, "q").where("q between 0 and 1").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("y") == 1).alias("positives"))
+    recorded = spark.read.parquet(f"{root}/components/run_id=run-a")
+    recorded.withColumn("sha256", F.sha2("path", 256)).coalesce(1).write.mode("overwrite").parquet(f"{root}/changed")
+    spark.read.parquet(f"{root}/changed").write.mode("overwrite").parquet(f"{root}/components/run_id=run-a")
+    try:
+        runs.load_run(spark, root, "run-a")
+        outcome = "loaded"
+    except DataCheckError:
+        outcome = "refused"
+    first = good.select(F.lit(run.run_id).alias("run_id"), F.lit(",".join(run.feature_names)).alias("features"), F.lit("loaded").alias("outcome"), "n_rows", "positives")
+    return first.unionByName(spark.createDataFrame([("run-a", "p,prior", outcome, 0, 0)], first.schema))
+
+
+@query(
+    "s13_final_once",
+    f"""WITH {LINES_SQL}, t AS (SELECT COUNT(*) AS sample_count, CAST(SUM(y) AS BIGINT) AS positive_count, round(AVG((p - y) * (p - y)), 6) AS brier_score FROM lines)
+    SELECT outcome, CASE WHEN outcome = 'committed' THEN sample_count END AS sample_count, CASE WHEN outcome = 'committed' THEN positive_count END AS positive_count,
+      CASE WHEN outcome = 'committed' THEN brier_score END AS brier_score FROM t, (SELECT unnest(['committed', 'refused before reading', 'refused at commit']) AS outcome)""",
+)
+def final_once(spark, sf):
+    """Held-out results are written once: a later job is refused before it reads, and one that is under way at its commit."""
+    from duelframe.operators.metrics import binary_metrics
+
+    root = scratch(spark, "final")
+    scored = fx.scored(spark, sf)
+    runs.write_final(binary_metrics(scored, ranking=False), root, "run-a")
+    outcomes = []
+    for outcome, step in (
+        ("refused before reading", lambda: runs.guard_final(spark, root, "run-a")),
+        ("refused at commit", lambda: runs.write_final(binary_metrics(scored.limit(10), ranking=False), root, "run-a")),
+    ):
+        try:
+            step()
+        except FileExistsError:
+            outcomes.append((outcome,))
+    kept = runs.read_final(spark, root, "run-a").select(F.lit("committed").alias("outcome"), "sample_count", "positive_count", F.round("brier_score", 6).alias("brier_score"))
+    return kept.unionByName(spark.createDataFrame(outcomes, "outcome string"), allowMissingColumns=True)

@@ -2,13 +2,14 @@
 
 `runs` has one row per run, `components` one row per model file with its digest,
 `reports/<table>` the evaluation tables and `final_metrics` the held-out results,
-all Parquet. Models are saved by Spark ML under `models/<run_id>`.
+all Parquet; `commits` names the runs and held-out results that count. Models are saved by Spark ML under `models/<run_id>`.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from duelframe.operators.calibration import Identity, Isotonic, Sigmoid
 from duelframe.operators.quality import DataCheckError
+from duelframe.sources import commits
 from duelframe.sources.lineage import digest_mismatches, file_fingerprints, relative_to
 
 FORMAT_VERSION = 1
@@ -81,9 +83,10 @@ def save_run(
 ) -> str:
     """Save the model and append the run; an existing run id is refused unless overwritten."""
     check_run_id(run_id)
-    known = list_runs(spark, root)
-    if known is not None and known.where(F.col("run_id") == run_id).take(1) and not overwrite:
-        raise FileExistsError(f"run {run_id!r} exists; pass overwrite=True to replace it")
+    try:  # the id is taken first, so that of two jobs at once one is refused before it writes
+        commits.commit(spark, f"{root}/commits/runs", run_id, {"format_version": FORMAT_VERSION}, overwrite=overwrite)
+    except FileExistsError as error:
+        raise FileExistsError(f"run {run_id!r} exists; pass overwrite=True to replace it") from error
     target = f"{root}/models/{run_id}"
     writer = model.write()
     (writer.overwrite() if overwrite else writer).save(target)
@@ -168,11 +171,24 @@ def load_run(spark: SparkSession, root: str, run_id: str | None = None, *, verif
 
 def guard_final(spark: SparkSession, root: str, run_id: str, *, overwrite: bool = False) -> None:
     """Refuse a second held-out evaluation before any test row is read."""
-    done = _maybe(spark, f"{root}/final_metrics")
-    if done is not None and done.where(F.col("run_id") == run_id).take(1) and not overwrite:
+    if not overwrite and commits.current(spark, f"{root}/commits/final", run_id):
         raise FileExistsError(f"held-out metrics of {run_id!r} exist; pass overwrite=True to replace them")
 
 
-def write_final(metrics: DataFrame, root: str, run_id: str) -> None:
-    stamped = metrics.withColumns({"evaluated_at": F.current_timestamp()})
-    stamped.write.mode("overwrite").parquet(f"{root}/final_metrics/run_id={run_id}")
+def write_final(metrics: DataFrame, root: str, run_id: str, *, overwrite: bool = False) -> None:
+    """Write held-out results to a folder of this attempt and commit it; of two jobs at once only one can."""
+    spark, attempt = metrics.sparkSession, uuid.uuid4().hex
+    folder = f"{root}/final_metrics/run_id={check_run_id(run_id)}/attempt={attempt}"
+    metrics.withColumns({"evaluated_at": F.current_timestamp()}).write.parquet(folder)
+    commits.commit(spark, f"{root}/commits/final", run_id, {"attempt": attempt, "files": commits.manifest(spark, folder)}, overwrite=overwrite)
+
+
+def read_final(spark: SparkSession, root: str, run_id: str) -> DataFrame:
+    """Committed held-out results; those of attempts that lost are never read."""
+    record = commits.current(spark, f"{root}/commits/final", run_id)
+    if record is None:
+        raise FileNotFoundError(f"no held-out results of {run_id!r}")
+    folder = f"{root}/final_metrics/run_id={run_id}/attempt={record['attempt']}"
+    if commits.manifest(spark, folder) != record["files"]:
+        raise DataCheckError(f"the held-out files of {run_id!r} are not those that were committed")
+    return spark.read.parquet(folder)

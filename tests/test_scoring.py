@@ -332,3 +332,29 @@ def test_isotonic_ranges_give_the_whole_fit(spark, buckets):
     corners = sorted({(x, s[3]) for s in steps for x in s[:2]})
     got = {r["p"]: r["c"] for r in apply_isotonic(asked, fit_isotonic(df, buckets=buckets), out="c").collect()}
     assert list(got.values()) == pytest.approx(list(np.interp(list(got), *zip(*corners))), abs=1e-12)
+
+
+def test_only_one_of_many_jobs_commits(spark, tmp_path):
+    """Jobs that race for one held-out result: one wins, and only what it wrote is read."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from duelframe.sources import commits
+
+    root = str(tmp_path / "race")
+
+    def job(n):
+        try:
+            runs.write_final(spark.createDataFrame([(n,)], "sample_count long"), root, "run-a")
+            return n
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(6) as pool:
+        won = [n for n in pool.map(job, range(6)) if n is not None]
+    assert len(won) == 1 and runs.read_final(spark, root, "run-a").first()["sample_count"] == won[0]
+    with pytest.raises(FileExistsError):
+        runs.guard_final(spark, root, "run-a")
+    runs.write_final(spark.createDataFrame([(77,)], "sample_count long"), root, "run-a", overwrite=True)
+    assert runs.read_final(spark, root, "run-a").first()["sample_count"] == 77 and len(commits.records(spark, f"{root}/commits/final", "run-a")) == 2
+    with pytest.raises(FileNotFoundError):
+        runs.read_final(spark, root, "run")
