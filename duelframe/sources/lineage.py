@@ -2,24 +2,58 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Sequence
+from urllib.parse import quote, urlparse
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelframe.operators.quality import DataCheckError
+from duelframe.session import shuffle_width
+
+
+#: file systems that tasks can read in pieces
+_STREAMED = ("", "file", "hdfs", "s3", "gs")
+_PIECE = 8 << 20
+
+
+def _hash_pieces(batches):
+    """SHA-256 of the files of a task, a piece of a file in memory at a time."""
+    for batch in batches:
+        digests = []
+        for path in batch.column("path").to_pylist():
+            if urlparse(path).scheme in ("", "file"):
+                system, place = fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+            else:
+                system, place = fs.FileSystem.from_uri(quote(path, safe=":/"))
+            digest = hashlib.sha256()
+            with system.open_input_stream(place) as stream:
+                while piece := stream.read(_PIECE):
+                    digest.update(piece)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(digests, pa.string()), batch.column("size_bytes")], names=["path", "sha256", "size_bytes"])
 
 
 def file_fingerprints(spark: SparkSession, paths: Sequence[str] | str, *, pattern: str | None = None) -> DataFrame:
-    """Path, SHA-256 and size of each file; files are hashed in parallel tasks.
+    """Path, SHA-256 and size of each file; files are hashed in parallel tasks, piece by piece, whatever their size.
 
-    Each file is hashed within one task, so single files must stay under 2 GB.
+    Files of a store that only Spark can open are read as one cell each, which must stay under 2 GB. Spark's reader
+    does not list empty files, so they have no row.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    files = reader.load([paths] if isinstance(paths, str) else list(paths))
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
+    listed = [paths] if isinstance(paths, str) else list(paths)
+    files = reader.load(listed)
+    if any(urlparse(p).scheme not in _STREAMED for p in listed):
+        return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
+    # only names and lengths are listed here; the contents are opened by the tasks that hash them
+    named = files.select("path", F.col("length").alias("size_bytes")).repartition(shuffle_width(spark), "path")
+    return named.mapInArrow(_hash_pieces, "path string, sha256 string, size_bytes long")
 
 
 def relative_to(files: DataFrame, root: str) -> DataFrame:
