@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import json
 import os
-import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -24,12 +23,15 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelframe.llm.common import file_system, new_folder, saved, slices
+from duelframe.llm.common import byte_words, file_system, new_folder, saved, slices
 
 MAGIC = b"TOKPLN01"
 BLOCK_IDS = 1 << 16
 MANIFEST = "path string, part long, n_docs long, n_ids long, n_bytes long"
-_SLICE_BYTES = 4 << 20
+_SLICE_BYTES = 12 << 20
+_WORD_END = "</w>"
+#: stretches of letters encoded as one text
+_JOINED = 500
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -126,31 +128,68 @@ def read_documents(stream) -> Iterator[tuple[int | None, np.ndarray]]:
         yield doc_id, np.concatenate(parts) if len(parts) > 1 else parts[0]
 
 
-class PieceCache(dict):
-    """White-space-free stretch of text -> its ids as little-endian bytes.
+class PieceCache:
+    """White-space-free stretch of text -> its ids.
 
     The tokenizer's pre-tokens never cross white space, so a text's ids are those of its stretches in
-    order. Distinct stretches are encoded once per worker; when the cache is full, further ones are
-    kept for the slice at hand only.
+    order. Two generations are kept: a stretch that is met again moves to the young one, and when that is full the
+    old one, which holds what was not met for longest, is let go.
     """
 
     def __init__(self, tokenizer, limit: int = 1_000_000):
-        super().__init__()
         self.tokenizer, self.limit = tokenizer, limit
-        self.passing: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        return self.passing[word]
-
-    def learn(self, texts: list[list[str]]) -> None:
-        new = list(set().union(*texts).difference(self))
-        self.passing = {}
-        into = self if len(self) + len(new) <= self.limit else self.passing
-        for begin in range(0, len(new), 20_000):
-            some = new[begin : begin + 20_000]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                ids = found.ids
-                into[word] = struct.pack(f"<{len(ids)}I", *ids)
+        self.young: dict[bytes, np.ndarray] = {}
+        self.old: dict[bytes, np.ndarray] = {}
+        # which ids end a pre-token, where the vocabulary marks that
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
+
+    def ids(self, stretches: list[bytes]) -> list[np.ndarray]:
+        """Ids of distinct stretches."""
+        young, old = self.young, self.old
+        found = [young.get(s) for s in stretches]
+        missing = [k for k, f in enumerate(found) if f is None]
+        new = []
+        for k in missing:
+            known = old.get(stretches[k])
+            if known is None:
+                new.append(k)
+            else:
+                found[k] = young[stretches[k]] = known
+        letters = [k for k in new if stretches[k].isalpha()] if self.ends.any() else []
+        apart = self._joined(stretches, letters, found)
+        apart += [k for k in new if not stretches[k].isalpha()] if self.ends.any() else new
+        for begin in range(0, len(apart), 20_000):
+            some = apart[begin : begin + 20_000]
+            for k, one in zip(some, self.tokenizer.encode_batch_fast([stretches[k].decode("utf-8", "surrogatepass") for k in some], add_special_tokens=False)):
+                found[k] = np.array(one.ids, dtype="<u4")
+        for k in new:
+            young[stretches[k]] = found[k]
+        if len(young) > self.limit // 2:
+            self.young, self.old = {}, young
+        return found
+
+
+    def _joined(self, stretches: list[bytes], places: list[int], found: list) -> list[int]:
+        """Encode stretches of ASCII letters, each a pre-token, many in one text; the ids that end pre-tokens part them again.
+
+        Fills `found` and returns the places where the parts are not as many as the stretches.
+        """
+        left: list[int] = []
+        groups = [places[a : a + _JOINED] for a in range(0, len(places), _JOINED)]
+        for begin in range(0, len(groups), 40):
+            some = groups[begin : begin + 40]
+            joined = [b"\n".join([stretches[k] for k in group]).decode("ascii") for group in some]
+            for group, one in zip(some, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+                ids = np.array(one.ids, dtype="<u4")
+                stop = np.flatnonzero(self.ends[ids]) + 1
+                if len(stop) != len(group) or stop[-1] != len(ids):
+                    left += group
+                    continue
+                for k, part in zip(group, np.split(ids, stop[:-1])):
+                    found[k] = part
+        return left
 
 
 _ENCODERS: dict[str, PieceCache] = {}
@@ -166,9 +205,18 @@ def word_encoder(tokenizer_path: str) -> Callable[[list[str]], list[np.ndarray]]
     cache = _ENCODERS[tokenizer_path]
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        cache.learn(split)
-        return [np.frombuffer(b"".join(map(cache.__getitem__, words)), dtype="<u4") for words in split]
+        stretches, sizes = byte_words([t.encode("utf-8", "surrogatepass") for t in texts])
+        coded = stretches.dictionary_encode()
+        known = cache.ids(coded.dictionary.to_pylist())
+        place = coded.indices.to_numpy(zero_copy_only=False)
+        lengths = np.array([len(k) for k in known], dtype=np.int64)
+        first = np.cumsum(lengths) - lengths
+        pool = np.concatenate([*known, np.zeros(0, dtype="<u4")])
+        n = lengths[place]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        flat = pool[np.repeat(first[place] - upto[:-1], n) + np.arange(upto[-1])]
+        cuts = upto[np.concatenate([[0], np.cumsum(sizes)])]
+        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
     return encode
 
