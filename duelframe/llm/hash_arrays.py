@@ -67,7 +67,7 @@ def count_rows(of_texts: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], s
 class SortedArrays:
     """Sorted hash ranges over files: keys, and aligned counts, mapped into memory.
 
-    A file holds n keys (uint64) and then n counts (uint32). On a file system that is not mounted the
+    A file holds n keys and then n counts (both uint64). On a file system that is not mounted the
     file is copied to the worker first; the copy is unlinked at once and goes with the worker.
     """
 
@@ -100,7 +100,7 @@ class SortedArrays:
             if not len(own):
                 continue
             raw = self._map(k)
-            there, tallies = raw[: 8 * n].view(np.uint64), raw[8 * n : 12 * n].view(np.uint32)
+            there, tallies = raw[: 8 * n].view(np.uint64), raw[8 * n : 16 * n].view(np.uint64)
             at = np.minimum(np.searchsorted(there, own), n - 1)
             hit = there[at] == own
             places[cuts[k] : cuts[k + 1]] = np.where(hit, at + self.first[k], -1)
@@ -114,7 +114,7 @@ def write_file(folder: str, keys: np.ndarray, counts: np.ndarray) -> str:
     name = f"{uuid.uuid4().hex}.arrays"
     with system.open_output_stream(f"{place}/{name}") as out:
         out.write(np.ascontiguousarray(keys, dtype="<u8"))
-        out.write(np.ascontiguousarray(np.minimum(counts, 2**32 - 1), dtype="<u4"))
+        out.write(np.ascontiguousarray(counts, dtype="<u8"))
     return f"{folder}/{name}"
 
 
