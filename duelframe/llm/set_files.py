@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,26 @@ def wanted_ids(ids: DataFrame, label: str) -> list[tuple[int, int, int, str]]:
     return file_list(saved(by_range(keyed, width(ids.sparkSession)).mapInArrow(write, FILES), label))
 
 
+def without_ids(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """Rows whose key (a long) is not among the ids of `gone` (column id); rows without a key stay.
+
+    Rows are kept or dropped where they are, by search in the sorted hash files of the ids: no text enters an exchange,
+    however many ids there are. The hash of one long is one-to-one.
+    """
+    files = wanted_ids(gone, "gone")
+
+    @F.pandas_udf("boolean")
+    def is_gone(hashes: pd.Series) -> pd.Series:
+        keys = hashes.to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        found = np.zeros(len(keys), dtype=bool)
+        found[order] = opened(files).find(keys[order])[1] > 0
+        return pd.Series(found)
+
+    # only the hash goes to Python; the row waits in the JVM
+    return rows.where(F.col(key).isNull() | ~is_gone(F.xxhash64(F.col(key)))) if files else rows
+
+
 def write_sets(texts: DataFrame, files, sets_of, label: str) -> DataFrame:
     """(id, path, at, n): where the set of each wanted document is. `texts` holds id and text; one pass, no shuffle."""
     folder = new_folder(texts.sparkSession, label)
