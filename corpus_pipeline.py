@@ -3,8 +3,11 @@
 Every stage takes what its predecessor kept and returns the columns of `documents`; the last one adds token ids.
 A stage's result is written as Parquet to the shared folder and read again, so a lost executor costs at most one stage.
 
-Defined results: null texts are judged as empty texts; rows without an id take part in the row-local
-stages and are never removed as duplicates; rows that share an id share their fate; an empty table stays empty.
+Each row is decided by itself. Rows that go are looked up where they stand, so texts are not dealt out again for that.
+
+Defined results: null texts are judged as empty texts. Where some id is null or repeated, rows are numbered for the
+near-duplicate stage, and of a group one row stays (otherwise the one with the smallest id). Rows with one text share
+their contamination. The last stage's columns `ids` and `round_trip` replace columns of these names. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from duelframe.llm.pieces import encode_texts
 from duelframe.llm.quality import THRESHOLD, learn_quality, with_quality
 from duelframe.llm.queries import table, tokenizer_path
 from duelframe.llm.secrets import redact
+from duelframe.llm.set_files import without_ids
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +33,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    columns, key = docs.columns, "doc_id"
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1).count():
+        docs, key = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered"), "__row"
+    gone = near_duplicates(docs, id_col=key).where("not kept").select(F.col("doc_id").alias("id"))
+    return without_ids(docs, key, gone).select(*columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages make up less than the tolerated share."""
-    hit = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("__text", F.xxhash64(F.lit(1), "text"))
+    hit = contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="__text").where("contaminated").select(F.col("doc_id").alias("id"))
+    return without_ids(keyed, "__text", hit).select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +55,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the ids of their pieces, and whether these decode to the text."""
-    return encode_texts(docs, tokenizer_path("pieces"), ids_col="ids", round_trip_col="round_trip")
+    return encode_texts(docs.drop("ids", "round_trip"), tokenizer_path("pieces"), ids_col="ids", round_trip_col="round_trip")
 
 
 STAGES = [
@@ -57,7 +65,7 @@ STAGES = [
     ("secrets", mask_secrets),
     ("pieces", encode),
 ]
-#: fitted classifiers, min-hashes and merges of pieces have no SQL: tests hold the stages against plain Python
+#: fitted classifiers and merges of pieces have no SQL: tests/llm holds the rows of all stages against plain Python
 ORACLE_SQL = None
 
 
