@@ -8,13 +8,12 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.llm.common import file_system, new_folder, saved, slices, width
-from duelframe.llm.hash_arrays import FILES, by_range, collect_ranges, file_list, opened, write_file
+from duelframe.llm.hash_arrays import FILES, by_range, collect_ranges, file_list, opened, unsigned, write_file
 
 #: 64-bit words of the bitmap of a symmetric difference
 DIFFERENCE_WORDS = 8
@@ -42,13 +41,13 @@ def without_ids(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """
     files = wanted_ids(gone, "gone")
 
-    @F.pandas_udf("boolean")
-    def is_gone(hashes: pd.Series) -> pd.Series:
-        keys = hashes.to_numpy().view(np.uint64)
+    @F.arrow_udf("boolean")
+    def is_gone(hashes: pa.Array) -> pa.Array:
+        keys = unsigned(hashes)
         order = np.argsort(keys)
         found = np.zeros(len(keys), dtype=bool)
         found[order] = opened(files).find(keys[order])[1] > 0
-        return pd.Series(found)
+        return pa.array(found)
 
     # only the hash goes to Python; the row waits in the JVM
     return rows.where(F.col(key).isNull() | ~is_gone(F.xxhash64(F.col(key)))) if files else rows
