@@ -83,21 +83,27 @@ def public_predictions(predictions: DataFrame, keep: list[str] | None = None) ->
     )
 
 
-def redact_ids(messages: DataFrame, names: DataFrame, *, key: str, message: str, out: str = "safe_message") -> DataFrame:
+def redact_ids(
+    messages: DataFrame, names: DataFrame, *, key: str, message: str, out: str = "safe_message", own_names: bool = False
+) -> DataFrame:
     """Replace id-like tokens by display names; unknown ids get a fixed text.
 
     Tokens are pulled out, made distinct and joined to the name table; the pieces
-    between them are kept in order, so nothing else in the text changes.
+    between them are kept in order, so nothing else in the text changes. An id that has
+    several names gets the first one in text order that is not blank. With `own_names`, the name table has the key
+    too, and a name counts only for the message of its key.
     """
     pattern = fv.REDACTED_ID_PATTERN
     found = F.regexp_extract_all(F.col(message), F.lit(f"({pattern})"), F.lit(1))
     base = messages.select(key, message).distinct()
-    tokens = base.select(key, F.explode(F.array_distinct(found)).alias("token"))
-    ids = names.select(F.col("entity_id"), F.col("display_name"))
+    # a token is a key of the message's map, so neither repeated keys nor repeated ids may double it
+    tokens = base.select(key, F.explode(F.array_distinct(found)).alias("token")).distinct()
+    on = [key, "entity_id"] if own_names else ["entity_id"]
+    ids = names.groupBy(*on).agg(F.min(blank_to_null("display_name")).alias("display_name"))
     named = (
         tokens.withColumn("entity_id", F.when(F.length("token") == 16, F.lower("token")).otherwise(F.col("token")))
-        .join(ids, "entity_id", "left")
-        .select(key, F.struct("token", F.coalesce(blank_to_null("display_name"), F.lit(fv.UNKNOWN_ENTITY_NAME)).alias("name")).alias("pair"))
+        .join(ids, on, "left")
+        .select(key, F.struct("token", F.coalesce("display_name", F.lit(fv.UNKNOWN_ENTITY_NAME)).alias("name")).alias("pair"))
     )
     # one message holds a handful of tokens, so the list per message is short
     per_message = named.groupBy(key).agg(F.map_from_entries(F.collect_list("pair")).alias("__names"))

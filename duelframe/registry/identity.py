@@ -296,8 +296,9 @@ def redact(spark, sf):
     message = F.concat(
         F.lit("No match for "), token, F.lit(" or "), F.upper(token), F.lit(", see "), F.substring(F.md5("html"), 1, 13), F.lit(" and abc123.")
     )
-    names = pages.where("page_id % 2 = 0").select(token.alias("entity_id"), F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("display_name"))
-    out = redact_ids(pages.select("page_id", message.alias("message")), names, key="page_id", message="message")
+    # pages may share a url and so an id: each page knows its own name only
+    names = pages.where("page_id % 2 = 0").select("page_id", token.alias("entity_id"), F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("display_name"))
+    out = redact_ids(pages.select("page_id", message.alias("message")), names, key="page_id", message="message", own_names=True)
     return out.select("page_id", "safe_message")
 
 

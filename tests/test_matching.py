@@ -11,6 +11,7 @@ from duelframe.functions.skew import hot_key_hashes, salted_lookup
 from duelframe.functions.text import class_label, display_label, id_key, name_key, simple_name_key
 from duelframe.functions.values import experience_band, iso_date, probability_band
 from duelframe.operators import asof, identity, suggest
+from duelframe.operators.serving import redact_ids
 
 
 def one(spark, value, column):
@@ -221,3 +222,13 @@ def test_asof_windows_are_narrow_and_fetch_late(spark):
     got = {(r["entity_id"], r["ref_date"]): (r["snapshot_status"], r["snapshot"] and str(r["snapshot"]["as_of"])) for r in out.collect()}
     days = sorted(r["as_of"] for r in snaps.where("entity_id = '7'").select("as_of").collect())
     assert got[("7", "2020-02-20")] == ("ok", str(days[-1])) and got[("nobody", "2020-03-01")][0] == "not_found" and got[("7", "2020-01-01")][0] == "snapshot_unavailable"
+
+
+def test_repeated_ids_and_keys_do_not_break_redaction(spark):
+    known, lost = "0123456789abcdef", "fedcba9876543210"
+    messages = spark.createDataFrame([(1, f"a {known}"), (1, f"b {known}, {lost}"), (2, known.upper())], "k int, m string")
+    names = spark.createDataFrame([(1, known, " "), (1, known, "Zoe"), (2, known, "Ann")], "k int, entity_id string, display_name string")
+    got = {(r["k"], r["safe_message"]) for r in redact_ids(messages, names.drop("k"), key="k", message="m").collect()}
+    assert got == {(1, "a Ann"), (1, "b Ann, Unknown Fighter"), (2, "Ann")}
+    own = {(r["k"], r["safe_message"]) for r in redact_ids(messages, names, key="k", message="m", own_names=True).collect()}
+    assert own == {(1, "a Zoe"), (1, "b Zoe, Unknown Fighter"), (2, "Ann")}
