@@ -232,3 +232,29 @@ def test_repeated_ids_and_keys_do_not_break_redaction(spark):
     assert got == {(1, "a Ann"), (1, "b Ann, Unknown Fighter"), (2, "Ann")}
     own = {(r["k"], r["safe_message"]) for r in redact_ids(messages, names, key="k", message="m", own_names=True).collect()}
     assert own == {(1, "a Zoe"), (1, "b Zoe, Unknown Fighter"), (2, "Ann")}
+
+
+def test_high_cutoffs_first_give_the_same_close_keys(spark):
+    rng = random.Random(8)
+    keys = sorted({f"supplier {rng.randrange(400):09d}" for _ in range(150)} | {f"the supplier {rng.randrange(400):09d}" for _ in range(60)} | {"blue anvil", "x" * 80, "red bolt"})
+    queries = sorted({k + "zz" for k in keys[::4]} | {f"the supplier {i:09d}" for i in range(0, 400, 23)} | {"blue anvils", "x" * 79 + "y", "x" * 65, "q"})
+    asked, index = (spark.createDataFrame([(k,) for k in x], "name_key string") for x in (queries, keys))
+    got = {}
+    for r in suggest.close_keys(asked, index, many=1).orderBy("query_key", "key_rank").collect():
+        got.setdefault(r["query_key"], []).append(r["name_key"])
+    for query in queries:
+        assert got.get(query, []) == get_close_matches(query, keys, n=10, cutoff=0.65), query
+
+
+def test_bound_of_the_ratio_rules_most_pairs_out():
+    import numpy as np
+    from difflib import SequenceMatcher
+
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abcé0") for _ in range(rng.randint(0, 70))) for _ in range(120)]
+    pairs = [(rng.randrange(120), rng.randrange(120)) for _ in range(800)]
+    most, total = suggest._matched_at_most([names[a] for a, _ in pairs], names, np.array([b for _, b in pairs]))
+    assert all(2 * m >= SequenceMatcher(None, names[a], names[b]).ratio() * t - 1e-9 for (a, b), m, t in zip(pairs, most, total))
+    # the same letters in another order: the bags are equal, the ratio cannot reach 0.9
+    most, total = suggest._matched_at_most(["supplier 000004321"], ["supplier 000001234"], np.array([0]))
+    assert list(most) == [15] and list(total) == [36]
