@@ -260,6 +260,8 @@ def _prefix_rows(
     offsets = (
         totals_of_score.groupBy(*keys, _BUCKET)
         .agg(F.sum("__n").alias("__bn"), F.sum("__pos").alias("__bpos"))
+        # true of every row; it keeps both sums in branches that ask for one, so that all read the same exchange
+        .where((F.col("__bn") > 0) & (F.coalesce("__bpos", F.lit(0)) >= 0))
         .select(
             *keys,
             _BUCKET,
@@ -354,9 +356,12 @@ def _ranked_scores(
             .withColumn("lower_bound", _uniform_edge(F.col("bin_index"), bins))
             .withColumn("upper_bound", _uniform_edge(F.col("bin_index") + 1, bins))
         )
-    quantiles = _edges_from_prefix(prefix, by, bins)
+    # both branches look at positives and counts, so that no column is pruned and all read one exchange of the sums per score
+    present = (F.col("__n") > 0) & (F.coalesce("__pos", F.lit(0)) >= 0)
+    quantiles = _edges_from_prefix(prefix.where(present), by, bins)
     # edges go to one row per (group, range) first, so the big side keeps its partitioning
-    per_range = prefix.select(*keys, _BUCKET).distinct().join(quantiles, keys)
+    ranges = prefix.groupBy(*keys, _BUCKET).agg(F.count_if(present).alias("__present")).where("__present > 0").drop("__present")
+    per_range = ranges.join(quantiles, keys)
     return (
         prefix.join(per_range, [*keys, _BUCKET])
         .withColumn("bin_index", _edge_bin(F.col("__p"), F.col("edges")))

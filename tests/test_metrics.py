@@ -193,6 +193,18 @@ def test_segments_and_report_read_the_table_once(spark):
     report["sums"].unpersist()
 
 
+def test_quantile_bins_read_the_table_once(spark):
+    rows = spark.range(3_000).select((F.col("id") % 2).cast("int").alias("y"), F.rand(5).alias("p"), (F.col("id") % 3).cast("string").alias("g"))
+    df, reads = counted_source(spark, rows)
+    report = s.evaluation_report(df, model_name="m", split_name="t", segments=["g"], n_bins=7, strategy="quantile")
+    assert report["bins"].count() == 7 and report["subgroups"].count() == 3
+    assert reads.value == 3_000
+    report["sums"].unpersist()
+    df, reads = counted_source(spark, rows)
+    assert len(m.reliability_bins(df, n_bins=7, strategy="quantile").collect()) == 7
+    assert reads.value == 3_000
+
+
 @pytest.mark.parametrize("rows, message", [([(2, 0.5)] * 60, "only 0 and 1"), ([(1, float("nan"))] * 60, "finite"), ([(1, 1.5)] * 60, r"\[0, 1\]"), ([], "empty"), ([(1, 0.5)] * 5, "min_samples")])
 def test_reports_refuse_bad_rows(spark, rows, message):
     df = frame(spark, rows).withColumn("g", F.lit("a"))
