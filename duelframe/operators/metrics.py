@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from duelframe.functions.values import clip, is_finite, row_log_loss
 from duelframe import fixed_values as fv
+from duelframe.session import shuffle_width
 
 _BUCKET = "__bucket"
 _ONE = "__all"
@@ -341,6 +342,14 @@ def _bins_of_group(n_bins: int, adaptive: bool | Column) -> Column:
     return fitting if adaptive is True else F.when(adaptive, fitting).otherwise(F.lit(n_bins))
 
 
+def _with_uniform_bins(prefix: DataFrame, bins: Column) -> DataFrame:
+    return (
+        prefix.withColumn("bin_index", uniform_bin(F.col("__p"), bins))
+        .withColumn("lower_bound", _uniform_edge(F.col("bin_index"), bins))
+        .withColumn("upper_bound", _uniform_edge(F.col("bin_index") + 1, bins))
+    )
+
+
 def _ranked_scores(
     scored: DataFrame, by: list[str], *, n_bins: int, strategy: str, adaptive: bool | Column, buckets: int | None,
     edges: tuple[Column, int] | None = None,
@@ -350,12 +359,7 @@ def _ranked_scores(
     prefix = _prefix_rows(scored, by, buckets, edges)
     bins = _bins_of_group(n_bins, adaptive)
     if strategy == "uniform":
-        index = uniform_bin(F.col("__p"), bins)
-        return (
-            prefix.withColumn("bin_index", index)
-            .withColumn("lower_bound", _uniform_edge(F.col("bin_index"), bins))
-            .withColumn("upper_bound", _uniform_edge(F.col("bin_index") + 1, bins))
-        )
+        return _with_uniform_bins(prefix, bins)
     # both branches look at positives and counts, so that no column is pruned and all read one exchange of the sums per score
     present = (F.col("__n") > 0) & (F.coalesce("__pos", F.lit(0)) >= 0)
     quantiles = _edges_from_prefix(prefix.where(present), by, bins)
@@ -485,14 +489,67 @@ def ranked_bins(
     """
     packed, keys = _grouped(scored, by)
     ranked = _ranked_scores(packed, keys, n_bins=n_bins, strategy=strategy, adaptive=adaptive, buckets=buckets, edges=edges)
+    n, pos = F.col("__n"), F.col("__pos")
+    neg_below = F.col("__n_below") - F.col("__pos_below")
+    tp_at = F.col("__positives") - F.col("__pos_below")
+    called_at = F.col("__total") - F.col("__n_below")
+    binned = _bin_sums(ranked, keys, threshold, auc=pos * (neg_below + (n - pos) / 2.0), ap=pos * (tp_at / called_at))
+    return binned.select(*_ungrouped(by), *[c for c in binned.columns if c not in (_GROUP, _ONE)])
+
+
+def ranked_bins_of_groups(
+    summed: DataFrame, columns: Sequence[str], groups: Column, *, threshold: float, n_bins: int, adaptive: bool | Column, edges: tuple[Column, int]
+) -> DataFrame:
+    """`ranked_bins` with uniform bins for rows that are in several groups at once, keyed by the fields `__s` and `__v` of `groups`.
+
+    `summed` has a row per distinct `columns` and score. Rows are dealt by score range alone, once, and multiplied by their
+    groups inside the tasks; what is above a range comes along as one row a group that sorts before the range's scores, so nothing is
+    joined. Rows of one group alike in score stay apart: the frame of the window counts ties.
+    """
+    placed = with_range(summed.select(*(f"`{c}`" for c in columns), "__p", "__n", "__pos"), edges)
+    keys = ["__s", "__v"]
+    cells = (
+        placed.groupBy(*(f"`{c}`" for c in columns), _BUCKET)
+        .agg(F.sum("__n").alias("__n"), F.sum("__pos").alias("__pos"))
+        .select(_BUCKET, "__n", "__pos", F.explode(groups).alias("__g"))
+        .groupBy("__g.__s", "__g.__v", _BUCKET)
+        .agg(F.sum("__n").alias("__bn"), F.sum("__pos").alias("__bpos"))
+    )
+    # a row per range and group, so this window stays small
+    per_group = Window.partitionBy(*keys)
+    above = per_group.orderBy(F.desc(_BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.select(
+        _BUCKET,
+        F.array(F.struct(*keys)).alias("__groups"),
+        F.coalesce(F.sum("__bn").over(above), F.lit(0)).alias("__n"),
+        F.coalesce(F.sum("__bpos").over(above), F.lit(0)).alias("__pos"),
+        F.sum("__bn").over(per_group).alias("__total"),
+        F.sum("__bpos").over(per_group).alias("__positives"),
+    )
+    # the number is given, so that small shuffled rows are not put together into tasks that are large once multiplied
+    dealt = placed.unionByName(offsets, allowMissingColumns=True).repartition(4 * shuffle_width(summed.sparkSession), _BUCKET)
+    carried = [_BUCKET, "__p", "__n", "__pos", "__total", "__positives"]
+    rows = dealt.select(*carried, F.col("__groups").isNull().alias("__scored"), F.explode(F.coalesce("__groups", groups)).alias("__g")).select(
+        *carried, "__scored", "__g.*"
+    )
+    # range and group in one number sort faster; the columns after it keep equal hashes apart
+    cell = F.shiftleft(F.col(_BUCKET).cast("bigint"), 32) + F.hash(*keys)
+    upto = Window.partitionBy("__cell", _BUCKET, *keys).orderBy("__scored", F.desc("__p")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = {"__n_from": F.sum("__n"), "__pos_from": F.sum("__pos"), "__total": F.max("__total"), "__positives": F.max("__positives")}
+    ranked = rows.withColumn("__cell", cell).withColumns({name: value.over(upto) for name, value in counted.items()}).where("__scored")
+    n, pos, n_from, pos_from = (F.col(c).cast("double") for c in ("__n", "__pos", "__n_from", "__pos_from"))
+    # pairs of a positive and a negative are in order, reversed or tied: what is in order and half the ties, from counts that include ties
+    auc = (pos * (F.col("__total") - F.col("__positives")) - pos * (n_from - pos_from) + (n - pos) * pos_from) / 2.0
+    return _bin_sums(_with_uniform_bins(ranked, _bins_of_group(n_bins, adaptive)), keys, threshold, auc=auc, ap=pos * (pos_from / n_from))
+
+
+def _bin_sums(ranked: DataFrame, keys: list[str], threshold: float, *, auc: Column, ap: Column) -> DataFrame:
+    """Sums per group and bin; `auc` and `ap` are what a row adds to the two ranking metrics."""
     prob, n, pos = F.col("__p"), F.col("__n"), F.col("__pos")
     called = F.when(prob >= threshold, F.lit(1)).otherwise(F.lit(0))
     neg = n - pos
     safe = clip(prob, fv.LOG_LOSS_EPSILON, 1.0 - fv.LOG_LOSS_EPSILON)
-    neg_below = F.col("__n_below") - F.col("__pos_below")
-    tp_at = F.col("__positives") - F.col("__pos_below")
-    called_at = F.col("__total") - F.col("__n_below")
-    binned = ranked.groupBy(*keys, "bin_index").agg(
+    return ranked.groupBy(*keys, "bin_index").agg(
         F.min("lower_bound").alias("lower_bound"),
         F.max("upper_bound").alias("upper_bound"),
         F.sum(n).alias("__n"),
@@ -502,11 +559,10 @@ def ranked_bins(
         F.sum(pos * (1.0 - prob) * (1.0 - prob) + neg * prob * prob).alias("__sq"),
         F.sum(called * n).alias("__called"),
         F.sum(called * pos).alias("__tp"),
-        F.sum(pos * (neg_below + neg / 2.0)).alias("__auc"),
-        F.sum(pos * (tp_at / called_at)).alias("__ap"),
+        F.sum(auc).alias("__auc"),
+        F.sum(ap).alias("__ap"),
         *(F.sum(F.when(prob == mark, n).otherwise(F.lit(0))).alias(name) for name, mark in (("__bad", BAD_TARGET), ("__not_finite", NOT_FINITE), ("__outside", OUTSIDE))),
     )
-    return binned.select(*_ungrouped(by), *[c for c in binned.columns if c not in (_GROUP, _ONE)])
 
 
 def shown_bins(binned: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from duelframe import fixed_values as fv
 from duelframe.functions.text import col
 from duelframe.functions.values import experience_band, probability_band
-from duelframe.operators.metrics import METRIC_COLUMNS, fold_bins, marked_score, raise_findings, range_edges, ranked_bins, shown_bins
+from duelframe.operators.metrics import METRIC_COLUMNS, fold_bins, marked_score, raise_findings, range_edges, ranked_bins, ranked_bins_of_groups, shown_bins
 
 
 def shown_value(value: Column | str, dtype: str = "string") -> Column:
@@ -21,10 +21,14 @@ def shown_value(value: Column | str, dtype: str = "string") -> Column:
     return F.coalesce(raw.cast("string"), F.lit(fv.MISSING_MARKER))
 
 
-def unpivot_segments(df: DataFrame, segments: Sequence[str], keep: Sequence[str], *, whole: bool = False) -> DataFrame:
-    """One row per (input row, segment); with `whole`, one more with null segment and value."""
+def _check_names(segments: Sequence[str]) -> None:
     if any(not str(name).strip() for name in segments):
         raise ValueError("segment names must not be empty.")
+
+
+def unpivot_segments(df: DataFrame, segments: Sequence[str], keep: Sequence[str], *, whole: bool = False) -> DataFrame:
+    """One row per (input row, segment); with `whole`, one more with null segment and value."""
+    _check_names(segments)
     types = dict(df.dtypes)
     pairs = [F.struct(F.lit(name).alias("segment"), shown_value(f"`{name}`", types[name]).alias("value")) for name in segments]
     if whole:
@@ -50,7 +54,8 @@ def segment_bins(
     unusable target or score take scores that no model gives, by which `__bad`, `__not_finite` and `__outside` count them.
 
     Rows alike in score and in every segment become one before they are multiplied by the number of
-    segments. The exchange of these sums also serves the size of the table and the score ranges.
+    segments. The exchange of these sums also serves the size of the table and the score ranges. With uniform bins and several groups
+    a row, they are multiplied only after they have been dealt by score range.
     """
     target = F.col(y).try_cast("double")
     usable = F.coalesce(target.isin(0.0, 1.0), F.lit(False))
@@ -59,6 +64,17 @@ def segment_bins(
         F.count(F.lit(1)).alias("__n"), F.sum(F.when(usable, target).otherwise(F.lit(0.0)).cast("int")).alias("__pos")
     )
     edges = range_edges(summed, buckets=buckets)
+    if strategy == "uniform" and len(segments) + whole > 1:
+        _check_names(segments)
+        types = dict(summed.dtypes)
+        values = [shown_value(f"`{name}`", types[name]) for name in segments] + [F.lit(None).cast("string")] * whole
+        groups = F.array(*(F.struct(F.lit(i).alias("__s"), value.alias("__v")) for i, value in enumerate(values)))
+        is_segment = F.col("__s") < len(segments)
+        binned = ranked_bins_of_groups(
+            summed, segments, groups, threshold=threshold, n_bins=n_bins, adaptive=is_segment if whole else True, edges=edges
+        )
+        name = F.get(F.array(*(F.lit(name) for name in segments)).cast("array<string>"), F.col("__s"))
+        return binned.select(name.alias("segment"), F.col("__v").alias("value"), *[c for c in binned.columns if c not in ("__s", "__v")])
     long = unpivot_segments(summed, segments, ["__p", "__n", "__pos"], whole=whole)
     return ranked_bins(
         long.withColumnRenamed("__pos", "__y"), ["segment", "value"], threshold=threshold, n_bins=n_bins, strategy=strategy,

@@ -210,3 +210,32 @@ def test_reports_refuse_bad_rows(spark, rows, message):
     df = frame(spark, rows).withColumn("g", F.lit("a"))
     with pytest.raises(ValueError, match=message):
         s.evaluation_report(df, model_name="m", split_name="t", segments=["g"])
+
+
+def segmented(spark, n=400):
+    rng = random.Random(17)
+    rows = [(int(rng.random() < 0.4), rng.choice([0.0, 0.25, 0.5, 1.0, rng.random()]), rng.choice(["x", "y", None]), rng.choice([1.0, 2.0, float("nan")])) for _ in range(n)]
+    return rows, spark.createDataFrame(rows, "y int, p double, a string, b double")
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 50])
+def test_several_segments_match_definition_with_ties(spark, buckets):
+    rows, df = segmented(spark)
+    got = {(r["segment"], r["value"]): r for r in s.subgroup_metrics(df, ["a", "b"], min_samples=2, buckets=buckets).collect()}
+    shown = lambda v: "<missing>" if v is None or v != v else str(v)
+    wanted = {("a", shown(r[2])) for r in rows} | {("b", shown(r[3])) for r in rows}
+    assert set(got) == wanted
+    for segment, value in wanted:
+        part = [(r[0], r[1]) for r in rows if shown(r[2] if segment == "a" else r[3]) == value]
+        auc, ap, ll = brute(part)
+        row = got[segment, value]
+        assert row["sample_count"] == len(part)
+        assert row["roc_auc"] == pytest.approx(auc, abs=1e-12)
+        assert row["average_precision"] == pytest.approx(ap, abs=1e-12)
+        assert row["log_loss"] == pytest.approx(ll, abs=1e-9)
+
+
+def test_rows_are_dealt_before_they_are_multiplied_by_segments(spark):
+    _, df = segmented(spark)
+    plan = s.segment_bins(df, ["a", "b"], whole=True)._jdf.queryExecution().toString()
+    assert "hashpartitioning(__group" not in plan
