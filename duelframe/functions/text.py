@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from duelframe import fixed_values as fv
 
-# whitespace as str.split()/str.strip() understand it
-_SPACE = r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+# whitespace as str.split()/str.strip() understand it; a character class of all these is slow to match
+_SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 _ASCII_ONLY = r"^[\x00-\x7F]*$"
 
 
@@ -22,11 +22,12 @@ def col(value: Column | str) -> Column:
 
 def strip(value: Column | str) -> Column:
     """Remove leading and trailing whitespace of every kind."""
-    return F.regexp_replace(col(value), f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(col(value), F.lit(_SPACES))
 
 
 def collapse_spaces(value: Column | str) -> Column:
-    return strip(F.regexp_replace(col(value), f"{_SPACE}+", " "))
+    spaced = F.translate(col(value), _SPACES, " " * len(_SPACES))
+    return F.btrim(F.regexp_replace(spaced, " {2,}", " "))
 
 
 def is_blank(value: Column | str) -> Column:
@@ -89,10 +90,29 @@ def id_key(value: Column | str) -> Column:
     return F.when(F.length(last) > 0, last)
 
 
-def class_label(value: Column | str, *, ascii_only: bool = False) -> Column:
-    """Cleaned context-class label, noise words removed in their fixed order."""
+#: all characters beyond ASCII whose case-folded form is ASCII
+FOLDED_TO_ASCII = {
+    "\u00df": "ss", "\u017f": "s", "\u1e9e": "ss", "\u212a": "k", "\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl",
+    "\ufb05": "st", "\ufb06": "st",
+}
+
+
+def folded_to_ascii(value: Column) -> Column:
+    """Case-folded text without Python, as far as it can equal an ASCII text: what folds to other characters may differ."""
+    replaced = value
+    for letter, folded in FOLDED_TO_ASCII.items():
+        replaced = F.replace(replaced, F.lit(letter), F.lit(folded))
+    return F.lower(F.when(value.rlike(_ASCII_ONLY), value).otherwise(replaced))
+
+
+def class_label(value: Column | str, *, ascii_only: bool = False, for_lookup: bool = False) -> Column:
+    """Cleaned context-class label, noise words removed in their fixed order.
+
+    With `for_lookup`, the label is only compared with ASCII texts, and no row goes through Python.
+    """
     spaced = F.replace(strip(value), F.lit("_"), F.lit(" "))
-    label = F.replace(_folded(spaced, _fold_case, ascii_only), F.lit("'"), F.lit(""))
+    folded = folded_to_ascii(spaced) if for_lookup and not ascii_only else _folded(spaced, _fold_case, ascii_only)
+    label = F.replace(folded, F.lit("'"), F.lit(""))
     for noise in fv.CLASS_LABEL_NOISE:
         label = F.replace(label, F.lit(noise), F.lit(" "))
     return collapse_spaces(label)

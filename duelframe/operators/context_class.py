@@ -30,7 +30,7 @@ def _class_table() -> str:
 def class_code(label: Column, *, ascii_only: bool = False) -> Column:
     """Code of a code or label, null when unknown. With `ascii_only`, labels beyond ASCII are not case-folded."""
     direct = F.upper(strip(label))
-    return F.when(direct.isin(*_CODES), direct).otherwise(lookup(fv.CONTEXT_ALIASES, class_label(label, ascii_only=ascii_only)))
+    return F.when(direct.isin(*_CODES), direct).otherwise(lookup(fv.CONTEXT_ALIASES, class_label(label, ascii_only=ascii_only, for_lookup=True)))
 
 
 def with_class(

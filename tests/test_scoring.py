@@ -377,3 +377,27 @@ def test_files_are_hashed_in_pieces(spark, tmp_path):
         want["big"] = hashlib.file_digest(source, "sha256").hexdigest()
     rows = lineage.relative_to(lineage.file_fingerprints(spark, str(folder)), str(folder)).collect()
     assert sorted(r["sha256"] for r in rows) == sorted(want.values()) and {r["size_bytes"] for r in rows} == {100, 1, 9 << 20, (2 << 30) + 17}
+
+
+def test_trimmed_and_collapsed_texts_match_python_without_regular_expressions(spark):
+    from duelframe.functions.text import collapse_spaces, strip
+
+    spaces = [chr(i) for i in range(0x3100) if chr(i).isspace()]
+    texts = [f"{c}a{c}{c}b {c}{c}" for c in spaces] + ["", " ", "".join(spaces), "x\n", "a​b", "​", "no space", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    shown = df.select("t", strip("t").alias("s"), collapse_spaces("t").alias("c"))
+    for row in shown.collect():
+        assert row["s"] == (None if row["t"] is None else row["t"].strip())
+        assert row["c"] == (None if row["t"] is None else " ".join(row["t"].split()))
+    assert "regexp_replace" not in df.select(strip("t"))._jdf.queryExecution().toString()
+
+
+def test_class_codes_of_labels_beyond_ascii_need_no_python(spark):
+    from duelframe.functions.text import FOLDED_TO_ASCII
+    from duelframe.operators.context_class import class_code
+
+    assert FOLDED_TO_ASCII == {chr(i): chr(i).casefold() for i in range(128, 0x110000) if chr(i).casefold().isascii()}
+    labels = ["ﬂyweight", "ﬂYWEIGHT Bout", "Women’s Flyweight", "baſketweight", "\xa0Flyweight　", "flyweİght", "Flyweight", None]
+    df = spark.createDataFrame([(t,) for t in labels], "t string").select("t", class_code(F.col("t")).alias("c"))
+    assert "ArrowEvalPython" not in df._jdf.queryExecution().toString()
+    assert [r["c"] for r in df.collect()] == ["M_FLY", "M_FLY", None, None, "M_FLY", None, "M_FLY", None]
