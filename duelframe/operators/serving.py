@@ -117,6 +117,11 @@ def redact_ids(
     return joined.withColumn(out, text).drop("__names")
 
 
+def ambiguous_message(candidates: Column) -> Column:
+    """The text for an ambiguous name, with the list of its matches where there is one."""
+    return F.when(F.length(candidates) > 0, F.concat(F.lit(f"{fv.MSG_AMBIGUOUS} Matches: "), candidates, F.lit("."))).otherwise(F.lit(fv.MSG_AMBIGUOUS))
+
+
 def rejection_message(
     code: Column | str,
     *,
@@ -137,12 +142,9 @@ def rejection_message(
         F.coalesce(entity, F.lit(fv.UNKNOWN_ENTITY_NAME)), F.lit(" has no snapshot available before the current server date ("),
         reference.cast("string"), F.lit(")."), dates,
     )
-    listed = F.when(F.length(candidates) > 0, F.concat(F.lit(f"{fv.MSG_AMBIGUOUS} Matches: "), candidates, F.lit("."))).otherwise(
-        F.lit(fv.MSG_AMBIGUOUS)
-    )
     return (
         F.when(c.isin(*UNAVAILABLE_CODES), unavailable)
-        .when(c == "ambiguous", listed)
+        .when(c == "ambiguous", ambiguous_message(candidates))
         .when(c == "same_entity", F.lit(fv.MSG_SAME))
         .when(c.isin(*LOOKUP_CODES, *UNSUPPORTED_CODES), F.coalesce(detail, F.lit(fv.MSG_GENERIC)))
         .otherwise(F.lit(fv.MSG_GENERIC))

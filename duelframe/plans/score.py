@@ -393,21 +393,23 @@ def rejection_table(
     )
     several = asked.where("error_code = 'ambiguous'").join(index, "name_key").select(F.col("name_key").alias("__key"), "entity_id")
     near = suggestions(asked.where("error_code = 'not_found'").select("name_key"), index).select(F.col("query_key").alias("__key"), "entity_id", "suggestion_rank")
-    found = listed(several, "entity_id").select("__key", F.col("names").alias("candidates"), F.lit(None).cast("string").alias("close")).unionByName(
-        listed(near, "suggestion_rank").select("__key", F.lit(None).cast("string").alias("candidates"), F.col("names").alias("close"))
-    )
+    close = listed(near, "suggestion_rank").select("__key", F.col("names").alias("close"))
+    candidates = listed(several, "entity_id").select("__key", F.lit("ambiguous").alias("error_code"), F.col("names").alias("candidates"))
     # most rejections name neither a list nor an entity; their nulls are spread over all tasks
     spread = keyed.withColumns({"__key": scattered(F.col("__key"), F.col(key)), "__failed": scattered(F.col("failed_entity_id"), F.col(key))})
-    joined = spread.join(found, "__key", "left").join(
+    joined = spread.join(close, "__key", "left").join(
         names.select(F.col("entity_id").alias("__failed"), F.col("display_name").alias("failed_name")), "__failed", "left"
     )
     message = serving.rejection_message(
         "error_code", entity=F.col("failed_name"), reference=F.col("ref_date"), first=F.col("available_first"),
-        last=F.col("available_last"), candidates=F.col("candidates"), detail=_detail(),
+        last=F.col("available_last"), candidates=F.lit(None).cast("string"), detail=_detail(),
     )
     said = joined.withColumn("__message", message)
     # ids stand only in messages that quote a request or name an entity
     quotes = said.where(F.col("error_code").isin(*serving.LOOKUP_CODES, *serving.UNSUPPORTED_CODES)).select(key, "__message").distinct()
     safe = serving.redact_ids(quotes, names, key=key, message="__message").select(key, "safe_message").distinct()
-    out = said.join(safe, key, "left").withColumn("error_message", F.coalesce("safe_message", "__message"))
+    # a common name has any number of matches: their list comes last, so that no other join or sort carries it
+    final = said.join(safe, key, "left").join(candidates, ["__key", "error_code"], "left")
+    listed_message = F.when(F.col("error_code") == "ambiguous", serving.ambiguous_message(F.col("candidates")))
+    out = final.withColumn("error_message", F.coalesce(listed_message, "safe_message", "__message"))
     return out.select(key, "error_code", "query_a", "query_b", "ref_date", "available_first", "available_last", "error_message")
