@@ -401,3 +401,9 @@ def test_class_codes_of_labels_beyond_ascii_need_no_python(spark):
     df = spark.createDataFrame([(t,) for t in labels], "t string").select("t", class_code(F.col("t")).alias("c"))
     assert "ArrowEvalPython" not in df._jdf.queryExecution().toString()
     assert [r["c"] for r in df.collect()] == ["M_FLY", "M_FLY", None, None, "M_FLY", None, "M_FLY", None]
+
+
+def test_lists_of_matches_are_joined_last(spark, sf):
+    plan = matchups.lookup_messages(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    outermost = next(line for line in plan.splitlines() if "Join" in line)
+    assert "__key" in outermost and "error_code" in outermost
