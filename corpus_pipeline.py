@@ -3,7 +3,8 @@
 Every stage takes what its predecessor kept and returns the columns of `documents`; the last one adds token ids.
 A stage's result is written as Parquet to the shared folder and read again, so a lost executor costs at most one stage.
 
-Each row is decided by itself. Rows that go are looked up where they stand, so texts are not dealt out again for that.
+Each row is decided by itself. Near-duplicates that go are looked up where they stand, so texts are not dealt out again for that.
+Contaminated rows go by an anti-join: texts stay where they are while the keys are below Spark's broadcast threshold.
 
 Defined results: null texts are judged as empty texts. Where some id is null or repeated, rows are numbered for the
 near-duplicate stage, and of a group one row stays (otherwise the one with the smallest id). Rows with one text share
@@ -43,8 +44,9 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages make up less than the tolerated share."""
     keyed = docs.withColumn("__text", F.xxhash64(F.lit(1), "text"))
-    hit = contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="__text").where("contaminated").select(F.col("doc_id").alias("id"))
-    return without_ids(keyed, "__text", hit).select(*docs.columns)
+    hit = contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="__text").where("contaminated").select(F.col("doc_id").alias("__text"))
+    # written first, so that Spark knows how small the keys are and deals no text out where it can broadcast them
+    return keyed.join(saved(hit.distinct(), "contaminated"), "__text", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,3 +73,19 @@ def test_rows_are_decided_by_themselves(spark, monkeypatch):
 
 def test_nothing_stays_nothing(spark, monkeypatch):
     assert run_from_second(spark, monkeypatch, [], [], "a b c") == []
+
+
+def test_contaminated_rows_go_without_python(spark, monkeypatch, capsys):
+    """Decontamination is DataFrame operations only: its plan, and every step that it writes, run no Python."""
+    texts, item = planted()
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "own") for i, t in enumerate(texts)], DOCS)
+    docs = corpus_pipeline.saved(docs, "test-documents")
+    items = corpus_pipeline.saved(spark.createDataFrame([(1, item)], "item_id long, text string"), "test-items")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda spark, sf, name: items)
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda *a, **k: (_ for _ in ()).throw(AssertionError("mapInArrow")))
+    left = corpus_pipeline.drop_contaminated(spark, docs, "")
+    left.explain()
+    plan = capsys.readouterr().out
+    assert "Physical Plan" in plan and not [k for k in ("Python", "Pandas", "Arrow") if k in plan]
+    assert sorted(r["doc_id"] for r in left.collect()) == [i for i, t in enumerate(texts) if item not in (t or "")]
+    assert left.columns == docs.columns
