@@ -229,14 +229,17 @@ def range_edges(summed: DataFrame, *, rows: str = "__n", hits: str = "__pos", p:
 
 
 def with_range(df: DataFrame, edges: tuple[Column, int]) -> DataFrame:
-    """Adds the number of boundaries at or below the score, by binary search inside one short expression."""
-    bounds, most = edges
-    steps = F.array(*(F.lit(1 << k) for k in range(most.bit_length() - 1, -1, -1)))
-
-    def step(at: Column, width: Column) -> Column:
-        return F.when(F.get(F.col("__edges"), at + width - 1) <= F.col("__p"), at + width).otherwise(at)
+    """Adds the number of boundaries at or below the score, by binary search.
 
-    return df.withColumn("__edges", bounds).withColumn(_BUCKET, F.coalesce(F.aggregate(steps, F.lit(0), step), F.lit(0))).drop("__edges")
+    A column for each step, because Spark compiles these, while a fold over the steps would be interpreted for every row. There
+    are as many steps for few ranges as for many, so that the plan does not depend on them.
+    """
+    bounds, most = edges
+    placed = df.withColumn("__edges", bounds).withColumn(_BUCKET, F.lit(0))
+    for k in range(max(most, _MOST_RANGES).bit_length() - 1, -1, -1):
+        at = F.col(_BUCKET)
+        placed = placed.withColumn(_BUCKET, at + F.when(F.get(F.col("__edges"), at + ((1 << k) - 1)) <= F.col("__p"), F.lit(1 << k)).otherwise(F.lit(0)))
+    return placed.drop("__edges")
 
 
 def _prefix_rows(
@@ -521,20 +524,23 @@ def ranked_bins_of_groups(
     offsets = cells.select(
         _BUCKET,
         F.array(F.struct(*keys)).alias("__groups"),
+        # sorts before every score
+        F.lit(float("nan")).alias("__p"),
         F.coalesce(F.sum("__bn").over(above), F.lit(0)).alias("__n"),
         F.coalesce(F.sum("__bpos").over(above), F.lit(0)).alias("__pos"),
         F.sum("__bn").over(per_group).alias("__total"),
         F.sum("__bpos").over(per_group).alias("__positives"),
     )
     # the number is given, so that small shuffled rows are not put together into tasks that are large once multiplied
-    dealt = placed.unionByName(offsets, allowMissingColumns=True).repartition(4 * shuffle_width(summed.sparkSession), _BUCKET)
+    dealt = placed.withColumn("__p", F.col("__p").cast("double")).unionByName(offsets, allowMissingColumns=True).repartition(4 * shuffle_width(summed.sparkSession), _BUCKET)
     carried = [_BUCKET, "__p", "__n", "__pos", "__total", "__positives"]
     rows = dealt.select(*carried, F.col("__groups").isNull().alias("__scored"), F.explode(F.coalesce("__groups", groups)).alias("__g")).select(
         *carried, "__scored", "__g.*"
     )
-    # range and group in one number sort faster; the columns after it keep equal hashes apart
-    cell = F.shiftleft(F.col(_BUCKET).cast("bigint"), 32) + F.hash(*keys)
-    upto = Window.partitionBy("__cell", _BUCKET, *keys).orderBy("__scored", F.desc("__p")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # most comparisons of the sort are between rows of one range and group, so it has few keys: range and segment are whole in the
+    # first one, which sorts fast; the value keeps equal hashes apart, and the range is there because rows are dealt by it
+    cell = F.shiftleft(F.col(_BUCKET).cast("bigint"), 48) + F.shiftleft(F.col("__s").cast("bigint"), 32) + F.hash("__v")
+    upto = Window.partitionBy("__cell", _BUCKET, "__v").orderBy(F.desc("__p")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     counted = {"__n_from": F.sum("__n"), "__pos_from": F.sum("__pos"), "__total": F.max("__total"), "__positives": F.max("__positives")}
     ranked = rows.withColumn("__cell", cell).withColumns({name: value.over(upto) for name, value in counted.items()}).where("__scored")
     n, pos, n_from, pos_from = (F.col(c).cast("double") for c in ("__n", "__pos", "__n_from", "__pos_from"))

@@ -239,3 +239,40 @@ def test_rows_are_dealt_before_they_are_multiplied_by_segments(spark):
     _, df = segmented(spark)
     plan = s.segment_bins(df, ["a", "b"], whole=True)._jdf.queryExecution().toString()
     assert "hashpartitioning(__group" not in plan
+
+
+def test_score_ranges_are_compiled_and_sorted_by_few_keys(spark, capsys):
+    """Rows find their range without interpreted folds, and those multiplied by segments are sorted by range and segment, value and score."""
+    rows = [(f"v{i % 5}", f"w{i % 3}", i % 2, (i % 97) / 97.0) for i in range(500)]
+    df = spark.createDataFrame(rows, "a string, b string, y int, p double")
+    m.with_range(df.withColumnRenamed("p", "__p"), (F.array(F.lit(0.25), F.lit(0.5)), 8)).explain()
+    s.segment_bins(df, ["a", "b"], buckets=8).explain()
+    ranges, plan = capsys.readouterr().out.split("== Physical Plan ==")[1:]
+    assert "lambdafunction" not in ranges
+    sorts = [line.split("],")[0] for line in plan.splitlines() if "Sort [__cell" in line]
+    assert sorts and all(line.count(" ASC ") + line.count(" DESC ") == 4 for line in sorts)
+
+
+def test_range_of_every_score(spark):
+    """The number of boundaries at or below a score, also at, below and beyond the ends and for null and NaN."""
+    edges = [0.1, 0.2, 0.2000001, 0.5, 0.9]
+    scores = [0.0, 0.1, 0.15, 0.2, 0.2000001, 0.4, 0.5, 0.9, 1.0, -3.0, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in scores], "__p double")
+    placed = m.with_range(df, (F.array(*(F.lit(e) for e in edges)), 8)).collect()
+    expected = [0 if v is None else len(edges) if math.isnan(v) else sum(e <= v for e in edges) for v in scores]
+    assert [r["__bucket"] for r in placed] == expected
+    none = m.with_range(df, (F.array().cast("array<double>"), 8)).collect()
+    assert {r["__bucket"] for r in none} == {0}
+
+
+def test_values_with_equal_hashes_are_apart(spark):
+    """Segment values that Spark hashes alike are groups of their own, in every score range."""
+    named = spark.range(300_000).select(F.col("id").cast("string").alias("v"))
+    one, two = named.groupBy(F.hash("v").alias("h")).agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b").select("a", "b").first()
+    rows = [(v, "x", int((i * 7 + k) % 3 == 0), ((i * 13 + k) % 50) / 50.0) for k, v in enumerate((one, two)) for i in range(200 + 50 * k)]
+    df = spark.createDataFrame(rows, "v string, o string, y int, p double")
+    got = {r["value"]: r for r in s.subgroup_metrics(df, ["v", "o"], buckets=4).where("segment = 'v'").collect()}
+    for v in (one, two):
+        alone = m.binary_metrics(df.where(F.col("v") == v)).first()
+        assert got[v]["sample_count"] == alone["sample_count"]
+        assert abs(got[v]["roc_auc"] - alone["roc_auc"]) < 1e-9 and abs(got[v]["average_precision"] - alone["average_precision"]) < 1e-9
