@@ -31,7 +31,7 @@ from duelframe.llm.set_files import DIFFERENCE_WORDS, shared_sizes, wanted_ids,
 SHINGLE_WORDS = 5
 SIMILARITY = 80
 KEYS, HASHES_A_KEY = 14, 3
-_SLICE_BYTES = 4 << 20
+_SLICE_BYTES = 1 << 20
 _BLOCK = 4096
 _MULTIPLY = np.random.default_rng(41).integers(1, 1 << 62, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

@@ -17,7 +17,7 @@ from duelframe.llm.hash_arrays import FILES, by_range, collect_ranges, file_list
 
 #: 64-bit words of the bitmap of a symmetric difference
 DIFFERENCE_WORDS = 8
-_SLICE_BYTES = 4 << 20
+_SLICE_BYTES = 1 << 20
 _MAPS: dict[str, np.ndarray] = {}
 
 
