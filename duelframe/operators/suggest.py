@@ -182,6 +182,11 @@ def _close(left: DataFrame, right: DataFrame, cutoff: float, limit: int) -> Data
     return scored.withColumn("key_rank", F.row_number().over(best)).where(F.col("key_rank") <= limit)
 
 
+def _different(df: DataFrame) -> DataFrame:
+    """Distinct keys, by a count: through a plain distinct, Spark takes what follows, tokens and filters on them, to every row."""
+    return df.groupBy("name_key").count().select(F.when(F.col("count") > 0, F.col("name_key")).alias("name_key"))
+
+
 def _kept(df: DataFrame) -> DataFrame:
     """The rows, computed now, with a plan that starts from them; on executors only where no shared folder is named."""
     return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
@@ -198,8 +203,8 @@ def close_keys(
     """
     if not 0.0 < cutoff <= 1.0:
         raise ValueError("a cutoff lies above 0 and is 1 at most")
-    asked = queries.select("name_key").where("name_key <> ''").distinct()
-    keys = index_keys.select("name_key").distinct()
+    asked = _different(queries.where("name_key <> ''"))
+    keys = _different(index_keys)
     if asked.limit(many).count() < many:
         return _close(*(side.withColumn("tokens", _tokens(F.col("name_key"))) for side in (asked, keys)), cutoff, limit)
     counts = keys.select(F.explode(_tokens(F.col("name_key"))).alias("t")).groupBy("t").count().orderBy("count", "t").collect()

@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelframe import fixed_values as fv
@@ -25,8 +25,11 @@ from duelframe.operators import asof, identity, serving
 from duelframe.operators.confidence import SupportPolicy, with_support_grade
 from duelframe.operators.context_class import class_state_error, inferred_class, snapshot_class, uses_class_state, with_class
 from duelframe.operators.pairing import Side, feature_error, history_error, ordered_distinct, out_of_range, with_feature_rows
+from duelframe.session import shuffle_width
 
 ALL_CLASSES = tuple(code for code, _, _, _ in fv.CONTEXT_CLASSES)
+#: names of a long list that are made one text before the whole list is
+_NAMES_A_SLICE = 1000
 
 
 @dataclass(frozen=True)
@@ -362,6 +365,24 @@ def _detail() -> Column:
     )
 
 
+def _text_list(order: str, text: str) -> Column:
+    """Texts of a group in order; only for groups that a task can hold as rows."""
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text]), ", ")
+
+
+def _long_lists(matches: DataFrame) -> DataFrame:
+    """Display names of every `__key` as one `__list`, by entity id; `__fewest` is their number below zero.
+
+    A common name has any number of entities, and rows that are being collected stay in memory, where nothing spills
+    them. So names are numbered by a sort and made one text a thousand; what is collected of a key are these texts.
+    """
+    order = Window.partitionBy("__key").orderBy("entity_id", "display_name")
+    numbered = matches.select("__key", "display_name", (F.row_number().over(order) - 1).cast("bigint").alias("__place"))
+    sliced = numbered.withColumn("__slice", F.floor(F.col("__place") / _NAMES_A_SLICE))
+    slices = sliced.groupBy("__key", "__slice").agg(_text_list("__place", "display_name").alias("__names"), F.count(F.lit(1)).alias("__size"))
+    return slices.groupBy("__key").agg(_text_list("__slice", "__names").alias("__list"), (-F.sum("__size")).alias("__fewest"))
+
+
 def rejection_table(
     rejected: DataFrame,
     snapshots: DataFrame | None,
@@ -388,15 +409,15 @@ def rejection_table(
     by_name = F.col("error_code").isin("ambiguous", "not_found") & F.col("failed_id").isNull()
     keyed = rejected.withColumn("__key", F.when(by_name, name_key("failed_query", ascii_only=ascii_names)))
     asked = keyed.where("__key IS NOT NULL").select("error_code", F.col("__key").alias("name_key")).distinct()
-    listed = lambda df, order: df.join(names, "entity_id").groupBy("__key").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "display_name"))), lambda x: x["display_name"]), ", ").alias("names")
-    )
     several = asked.where("error_code = 'ambiguous'").join(index, "name_key").select(F.col("name_key").alias("__key"), "entity_id")
     near = suggestions(asked.where("error_code = 'not_found'").select("name_key"), index).select(F.col("query_key").alias("__key"), "entity_id", "suggestion_rank")
-    close = listed(near, "suggestion_rank").select("__key", F.col("names").alias("close"))
-    candidates = listed(several, "entity_id").select("__key", F.lit("ambiguous").alias("error_code"), F.col("names").alias("candidates"))
+    close = near.join(names, "entity_id").groupBy("__key").agg(_text_list("suggestion_rank", "display_name").alias("close"))
+    # a missing name is left out here, as the text of a slice without names would leave a comma
+    matches = several.join(names, "entity_id").where("display_name IS NOT NULL")
     # most rejections name neither a list nor an entity; their nulls are spread over all tasks
-    spread = keyed.withColumns({"__key": scattered(F.col("__key"), F.col(key)), "__failed": scattered(F.col("failed_entity_id"), F.col(key))})
+    keyed = keyed.withColumn("__key", scattered(F.col("__key"), F.col(key)))
+    ambiguous = F.col("error_code").eqNullSafe("ambiguous")
+    spread = keyed.where(~ambiguous).withColumns({"__failed": scattered(F.col("failed_entity_id"), F.col(key))})
     joined = spread.join(close, "__key", "left").join(
         names.select(F.col("entity_id").alias("__failed"), F.col("display_name").alias("failed_name")), "__failed", "left"
     )
@@ -408,8 +429,15 @@ def rejection_table(
     # ids stand only in messages that quote a request or name an entity
     quotes = said.where(F.col("error_code").isin(*serving.LOOKUP_CODES, *serving.UNSUPPORTED_CODES)).select(key, "__message").distinct()
     safe = serving.redact_ids(quotes, names, key=key, message="__message").select(key, "safe_message").distinct()
-    # a common name has any number of matches: their list comes last, so that no other join or sort carries it
-    final = said.join(safe, key, "left").join(candidates, ["__key", "error_code"], "left")
-    listed_message = F.when(F.col("error_code") == "ambiguous", serving.ambiguous_message(F.col("candidates")))
-    out = final.withColumn("error_message", F.coalesce(listed_message, "safe_message", "__message"))
-    return out.select(key, "error_code", "query_a", "query_b", "ref_date", "available_first", "available_last", "error_message")
+    unlisted = said.join(safe, key, "left").withColumn("error_message", F.coalesce("safe_message", "__message"))
+    # A common name has any number of matches. Their list is joined last, in tasks that make no other messages, longest lists first:
+    # a writer that sizes its pages by the rows before would take in thousands of long rows behind short ones. The width is stated,
+    # as a few bytes a request become long texts.
+    counts = matches.groupBy("__key").agg((-F.count(F.lit(1))).alias("__fewest"))
+    asking = keyed.where(ambiguous).join(counts, "__key", "left").withColumn("__fewest", F.coalesce("__fewest", F.lit(0)))
+    asking = asking.repartition(shuffle_width(rejected.sparkSession), "__fewest", "__key")
+    # the whole message of a name is made once
+    lists = _long_lists(matches).select("__fewest", "__key", F.lit("ambiguous").alias("error_code"), serving.ambiguous_message(F.col("__list")).alias("__listed"))
+    listed = asking.join(lists, ["__fewest", "__key", "error_code"], "left").withColumn("error_message", F.coalesce("__listed", F.lit(fv.MSG_AMBIGUOUS)))
+    shown = (key, "error_code", "query_a", "query_b", "ref_date", "available_first", "available_last", "error_message")
+    return listed.select(*shown).unionByName(unlisted.select(*shown))

@@ -258,3 +258,14 @@ def test_bound_of_the_ratio_rules_most_pairs_out():
     # the same letters in another order: the bags are equal, the ratio cannot reach 0.9
     most, total = suggest._matched_at_most(["supplier 000004321"], ["supplier 000001234"], np.array([0]))
     assert list(most) == [15] and list(total) == [36]
+
+
+def test_tokens_are_made_of_distinct_keys(spark):
+    """Repeated keys are counted first; the optimizer would otherwise make tokens of every row."""
+    keys = spark.range(20).select(F.concat(F.lit("name "), (F.col("id") % 3).cast("string")).alias("name_key"))
+    near = suggest.close_keys(keys, keys)
+    assert {(r["query_key"], r["name_key"]) for r in near.collect()} == {(f"name {a}", f"name {b}") for a in range(3) for b in range(3)}
+    lines = near._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    for leaf in (i for i, line in enumerate(lines) if "Range (" in line):
+        top = max(i for i in range(leaf) if "Aggregate [name_key" in lines[i])
+        assert not any("instr(" in line for line in lines[top + 1:leaf])

@@ -407,3 +407,37 @@ def test_lists_of_matches_are_joined_last(spark, sf):
     plan = matchups.lookup_messages(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     outermost = next(line for line in plan.splitlines() if "Join" in line)
     assert "__key" in outermost and "error_code" in outermost
+
+
+def test_long_lists_are_made_in_slices_and_by_tasks_of_their_own(spark, monkeypatch):
+    """No task makes a long message behind a short one, which a writer of pages would not expect."""
+    from duelframe.plans import score
+
+    monkeypatch.setattr(score, "_NAMES_A_SLICE", 2, raising=False)
+    shown = {"bo": ["Bo", None, "", None, "Bo 4", "Bo 5", ""], "al": ["Al", "Al 1"], "cy": [None, None]}
+    people = [(f"{k}{i}", k, name) for k, names in shown.items() for i, name in enumerate(names)]
+    index = spark.createDataFrame([(k, i) for i, k, _ in people], "name_key string, entity_id string")
+    names = spark.createDataFrame([(i, name) for i, _, name in people], "entity_id string, display_name string")
+    asked = [("Bo", None), ("AL", None), ("cy", None), ("nobody", None), ("bo", "x")]
+    rows = [(n, "not_found" if q == "nobody" else "ambiguous", q, i) for n, (q, i) in enumerate(asked * 6)] + [(99, "same_entity", None, None)]
+    rejected = spark.createDataFrame(rows, "request_id bigint, error_code string, failed_query string, failed_id string").select(
+        "request_id", "error_code", *[F.lit(None).cast("string").alias(c) for c in ("query_a", "query_b")],
+        *[F.lit(None).cast("date").alias(c) for c in ("ref_date", "available_first", "available_last")], "failed_query", "failed_id",
+        *[F.lit(None).cast("string").alias(c) for c in ("failed_entity_id", "failed_side", "failed_state", "failed_label", "failed_class")],
+        F.lit(None).cast("struct<n:bigint,day:date>").alias("failed_repeats"),
+    )
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    try:
+        out = rejection_table(rejected, None, names=names, index=index).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(setting, before)
+    lists = {"bo": " Matches: Bo, , Bo 4, Bo 5, .", "al": " Matches: Al, Al 1.", "cy": ""}
+    want = {n: fv.MSG_AMBIGUOUS + (lists[q.lower()] if i is None else "") for n, code, q, i in rows if code == "ambiguous"}
+    assert {r["request_id"]: r["error_message"] for r in out if r["error_code"] == "ambiguous"} == want and len(out) == len(rows)
+    for task in {r["task"] for r in out}:
+        inside = [r for r in out if r["task"] == task]
+        assert len({r["error_code"] == "ambiguous" for r in inside}) == 1
+        sizes = [r["error_message"].count(",") for r in inside if "Matches" in r["error_message"]]
+        assert sizes == sorted(sizes, reverse=True)
